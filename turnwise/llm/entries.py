@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import language_id, packing, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixture_packing": packing.op1,
+        "op3_token_counts": token_counts.op3,
+        "op4_toxicity": toxicity.op4,
+        "op5_language_id": language_id.op5,
         "op6_simhash_near_dedup": simhash.op6,
     }
 
