@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, simhash, token_counts, toxicity
+from . import embedding_dedup, language_id, packing, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4,
         "op5_language_id": language_id.op5,
         "op6_simhash_near_dedup": simhash.op6,
+        "op7_embedding_near_dedup": embedding_dedup.op7,
     }
 
 
