@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, packing, simhash, token_counts, toxicity
+from . import decontaminate, embedding_dedup, language_id, line_dedup, packing, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture_packing": packing.op1,
+        "op2_line_dedup": line_dedup.op2,
         "op3_token_counts": token_counts.op3,
         "op4_toxicity": toxicity.op4,
         "op5_language_id": language_id.op5,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_embedding_near_dedup": embedding_dedup.op7,
+        "op10_benchmark_decontamination": decontaminate.op10,
     }
 
 

@@ -28,11 +28,9 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 ALPHABET, WINDOW, DECAY, MAX_SPAN = 40, 9, 0.5, 6
-#: Offsets of the second to fourth character of a subsequence from its first.
-OFFSETS = tuple((a, b, c) for c in range(3, MAX_SPAN) for b in range(2, c) for a in range(1, b))
 THRESHOLD = 0.3
 #: Bounds of the labelled sample: documents a class and characters a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 12_000
+SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 10_000
 LANDMARKS, ROUNDS = 160, 4
 _PAD = 12
 _GROUP_CHARS = 2_000_000
@@ -69,15 +67,16 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def subsequence_ids(s: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """For each pair of offsets: the kernel's weight and, at each position, the number of the subsequence."""
-    x = s.astype(np.int32)
-    x = np.concatenate([x, np.zeros(MAX_SPAN, np.int32)])
-    n = len(s)
-    one = x[:n] * np.int32(ALPHABET)
-    two = {a: (one + x[a : a + n]) * np.int32(ALPHABET) for a in {o[0] for o in OFFSETS}}
-    three = {(a, b): (two[a] + x[b : b + n]) * np.int32(ALPHABET) for a, b in {o[:2] for o in OFFSETS}}
-    return [(DECAY ** (c - 3), three[a, b] + x[c : c + n]) for a, b, c in OFFSETS]
+def subsequence_ids(s: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+    """For each tuple of offsets: the kernel's weight and, at each position, the number of the subsequence."""
+    x = np.concatenate([s.astype(np.int32), np.zeros(MAX_SPAN, np.int32)])
+    n, k = len(s), np.int32(ALPHABET)
+    for a in range(1, MAX_SPAN - 2):
+        two = (x[:n] * k + x[a : a + n]) * k
+        for b in range(a + 1, MAX_SPAN - 1):
+            three = (two + x[b : b + n]) * k
+            for c in range(b + 1, MAX_SPAN):
+                yield DECAY ** (c - 3), three + x[c : c + n]
 
 
 def stretch_scores(weights: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -160,7 +159,7 @@ class Model:
         """First weights: log odds of contiguous subsequences that toxic documents have far beyond chance."""
         n = np.zeros((2, ALPHABET**4), np.float32)
         for d, t in zip(docs, y, strict=True):
-            n[int(t), np.unique(subsequence_ids(np.concatenate([[0, 0], d, [0, 0]]))[0][1])] += 1
+            n[int(t), np.unique(next(subsequence_ids(np.concatenate([[0, 0], d, [0, 0]])))[1])] += 1
         size = np.array([[(~y).sum() + 1.0], [y.sum() + 1.0]])
         rate = (n + 0.5) / size
         expected = rate[0] * size[1]
