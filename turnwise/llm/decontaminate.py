@@ -142,7 +142,8 @@ class Items:
         """The text's words, and the items and window starts that may match in it.
 
         A window within e edits of an item of n words keeps n - 2 - 3e of its word triples, and they
-        imply starts at most 2e apart: starts with fewer triples about them are left out.
+        imply starts at most 2e apart: starts with fewer triples about them are left out. The window
+        itself begins at most e words from the start that a triple implies.
         """
         none = np.zeros(0, np.int64)
         if not len(self.codes) or not text:
@@ -168,7 +169,12 @@ class Items:
         slack = 2 * self.bound[item]
         about = np.searchsorted(line, line + slack, "right") - np.searchsorted(line, line - slack, "left")
         enough = about >= np.maximum(1, self.length[item] - GRAM + 1 - GRAM * self.bound[item])
-        tried = np.unique(np.stack([item[enough], np.maximum(start[enough], 0)], axis=1), axis=0)
+        item, start = np.unique(np.stack([item[enough], start[enough]], axis=1), axis=0).T
+        reach = 2 * self.bound[item] + 1
+        row = np.repeat(np.arange(len(item)), reach)
+        start = start[row] - self.bound[item[row]] + np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
+        start = np.clip(start, 0, len(w) - 1)
+        tried = np.unique(np.stack([item[row], start], axis=1), axis=0)
         return w, tried[:, 0], tried[:, 1]
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, packing, simhash, token_counts, toxicity
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, packing, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_embedding_near_dedup": embedding_dedup.op7,
+        "op8_perspective_rotation": chat_format.op8,
+        "op9_html_extraction": html_extract.op9,
         "op10_benchmark_decontamination": decontaminate.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_perspective_rotation": chat_format.OP8_SQL}

@@ -275,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(texts, toxic)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxic_score; its other columns are as they were."""
+def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
+    """docs with the score of each whole text in a new column (named otherwise where docs has one of that name)."""
     spark = docs.sparkSession
     C.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -285,12 +285,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = shared.value.scores(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, column])
 
     from pyspark.sql import types as T
 
     names = docs.columns
-    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
