@@ -9,13 +9,14 @@ Z = 1.96
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
-    """Lower and upper Wilson bounds at Z, clamped to 0 and 1; (0, 0) without rows."""
+    """Lower and upper Wilson bounds at Z to nine digits, clamped to 0 and 1; (0, 0) without rows."""
     p = successes / n
     base = 1 + Z * Z / n
     centre = (p + Z * Z / (2 * n)) / base
     half = F.lit(Z) * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / base
     none = n == 0
-    return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half)), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), centre + half))
+    low, high = F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(none, 0.0).otherwise(F.round(low, 9)), F.when(none, 0.0).otherwise(F.round(high, 9))
 
 
 def rates(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.tokens import literal_token
 from ..operators import adjacency as adj
 from ..operators import local, metrics, paths, structure
 from ..operators import sessions as ses
+from ..shared import settle
 from ..sources import trade
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,20 +28,26 @@ def _with_attribute(q: DataFrame, name: str, value) -> DataFrame:
     return q.withColumn("attribute", F.lit(name)).withColumn("token", F.lit(literal_token(value)))
 
 
+def _graphs(spark: SparkSession, d: str, k: int = 1) -> trade.Graphs:
+    """The trade graphs, with the edges written once: operators read them several times."""
+    g = trade.trade_graphs(spark, d, k)
+    return trade.Graphs(g.nodes, settle(g.edges, "edges"), g.attrs)
+
+
 def _graph_query(f: Callable[[trade.Graphs], DataFrame], k: int = 1) -> Query:
-    return lambda spark, d: f(trade.trade_graphs(spark, d, k))
+    return lambda spark, d: f(_graphs(spark, d, k))
 
 
 def _session_query(f: Callable[[DataFrame, trade.Graphs], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = trade.trade_graphs(spark, d)
-        return f(ses.resolved(trade.sessions(spark, d), g), g)
+        g = _graphs(spark, d)
+        return f(settle(ses.resolved(trade.sessions(spark, d), g), "turns"), g)
 
     return run
 
 
 def _rows_query(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return _session_query(lambda t, g: f(ses.evaluation_rows(ses.answers(t, g))))
+    return _session_query(lambda t, g: f(ses.evaluation_rows(settle(ses.answers(t, g), "answers"))))
 
 
 def _answers_query(f: Callable[[DataFrame], DataFrame]) -> Query:

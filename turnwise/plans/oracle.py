@@ -114,8 +114,8 @@ _TURNS = """, numbered as (
 def _rates(by: str, source: str) -> str:
     return f"""
 select {by}, turns, sessions, r / turns as accuracy, o / turns as stale_rate,
-  greatest(0.0, (r / turns + 1.96 * 1.96 / (2 * turns) - 1.96 * sqrt((r / turns) * (1 - r / turns) / turns + 1.96 * 1.96 / (4.0 * turns * turns))) / (1 + 1.96 * 1.96 / turns)) as wilson_low,
-  least(1.0, (r / turns + 1.96 * 1.96 / (2 * turns) + 1.96 * sqrt((r / turns) * (1 - r / turns) / turns + 1.96 * 1.96 / (4.0 * turns * turns))) / (1 + 1.96 * 1.96 / turns)) as wilson_high
+  round(greatest(0.0, (r / turns + 1.96 * 1.96 / (2 * turns) - 1.96 * sqrt((r / turns) * (1 - r / turns) / turns + 1.96 * 1.96 / (4.0 * turns * turns))) / (1 + 1.96 * 1.96 / turns)), 9) as wilson_low,
+  round(least(1.0, (r / turns + 1.96 * 1.96 / (2 * turns) + 1.96 * sqrt((r / turns) * (1 - r / turns) / turns + 1.96 * 1.96 / (4.0 * turns * turns))) / (1 + 1.96 * 1.96 / turns)), 9) as wilson_high
 from (select {by}, count(*) as turns, count(distinct session_id) as sessions, count(*) filter (where correct) as r, count(*) filter (where stale) as o from {source} group by {by})"""
 
 
@@ -152,9 +152,9 @@ def oracle_sql() -> dict[str, str]:
         "shortest_path": b + _PATHS + "select pq.*, coalesce(cast(len(path) as varchar), 'unreachable') as answer from pq left join best using (graph_id, source, target)",
         "path_cost": b + _PATHS + "select pq.*, coalesce(cast(cast(cost as bigint) as varchar), 'unreachable') as answer from pq left join best using (graph_id, source, target)",
         "filtered_path_count": b + _PATHS + "select pq.*, case when path is null then 'unreachable' else cast((select count(*) from nodes n where n.graph_id = pq.graph_id and list_contains(path, n.node_id) and n.has_rail) as varchar) end as answer from pq left join best using (graph_id, source, target)",
-        "constrained_reachability": b + ", r as (select graph_id, source, target, source as at from pq union select r.graph_id, r.source, r.target, a.dst from r join adj a on a.graph_id = r.graph_id and a.src = r.at join nodes n on n.graph_id = a.graph_id and n.node_id = a.dst where n.has_rail or a.dst = r.target) select graph_id, source, target, case when bool_or(at = target) then 'yes' else 'no' end as answer from r group by 1, 2, 3",
-        "cycle_membership": b + ", r as (select a.graph_id, a.src as v, a.dst as s, a.dst as at from adj a union select r.graph_id, v, s, dst from r join adj on adj.graph_id = r.graph_id and src = at where dst <> v), on_cycle as (select distinct r.graph_id, v from r join adj a on a.graph_id = r.graph_id and a.src = v and a.dst = at where at <> s) select n.graph_id, n.node_id as source, case when c.v is null then 'no' else 'yes' end as answer from nodes n left join on_cycle c on c.graph_id = n.graph_id and c.v = n.node_id",
-        "bridges": b + ", p as (select distinct graph_id, least(src, dst) as a, greatest(src, dst) as b from edges), r as (select graph_id, a, b, a as at from p union select r.graph_id, a, b, dst from r join adj on adj.graph_id = r.graph_id and src = at where not (least(src, dst) = a and greatest(src, dst) = b)) select graph_id, a, b from r group by all having not bool_or(at = b)",
+        "constrained_reachability": b + ", r as (select graph_id, source, target, source as spot from pq union select r.graph_id, r.source, r.target, a.dst from r join adj a on a.graph_id = r.graph_id and a.src = r.spot join nodes n on n.graph_id = a.graph_id and n.node_id = a.dst where n.has_rail or a.dst = r.target) select graph_id, source, target, case when bool_or(spot = target) then 'yes' else 'no' end as answer from r group by 1, 2, 3",
+        "cycle_membership": b + ", r as (select a.graph_id, a.src as v, a.dst as s, a.dst as spot from adj a union select r.graph_id, v, s, dst from r join adj on adj.graph_id = r.graph_id and src = spot where dst <> v), on_cycle as (select distinct r.graph_id, v from r join adj a on a.graph_id = r.graph_id and a.src = v and a.dst = spot where spot <> s) select n.graph_id, n.node_id as source, case when c.v is null then 'no' else 'yes' end as answer from nodes n left join on_cycle c on c.graph_id = n.graph_id and c.v = n.node_id",
+        "bridges": b + ", p as (select distinct graph_id, least(src, dst) as a, greatest(src, dst) as b from edges), r as (select graph_id, a, b, a as spot from p union select r.graph_id, a, b, dst from r join adj on adj.graph_id = r.graph_id and src = spot where not (least(src, dst) = a and greatest(src, dst) = b)) select graph_id, a, b from r group by all having not bool_or(spot = b)",
         "graph_extent": b2 + ", r as (select graph_id, node_id as s, node_id as t, 0 as d from nodes union select r.graph_id, s, dst, d + 1 from r join adj on adj.graph_id = r.graph_id and src = t where d < 24), m as (select graph_id, s, t, min(d) as d from r group by all), e as (select graph_id, s, max(d) as ecc, count(*) as n from m group by all) select graph_id, bool_and(n = 25) as connected, cast(case when bool_and(n = 25) then max(ecc) end as bigint) as diameter, cast(case when bool_and(n = 25) then min(ecc) end as bigint) as radius from e group by 1",
         "triangles": b2 + ", p as (select distinct graph_id, least(src, dst) as a, greatest(src, dst) as b from edges) select x.graph_id, x.a, x.b, y.b as c from p x join p y on y.graph_id = x.graph_id and y.a = x.b join p z on z.graph_id = x.graph_id and z.a = x.a and z.b = y.b",
         "common_neighbors": b + ", d as (select distinct graph_id, src, dst from adj) select x.graph_id, x.src as a, y.src as b, count(*) as n from d x join d y on y.graph_id = x.graph_id and y.dst = x.dst and x.src < y.src group by 1, 2, 3",
