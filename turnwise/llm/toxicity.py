@@ -31,7 +31,7 @@ ALPHABET, WINDOW, DECAY, MAX_SPAN = 40, 9, 0.5, 6
 THRESHOLD = 0.3
 #: Bounds of the labelled sample: documents a class and characters a document.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 10_000
-LANDMARKS, ROUNDS = 160, 4
+LANDMARKS, ROUNDS = 160, 5
 _PAD = 12
 _GROUP_CHARS = 2_000_000
 
@@ -114,10 +114,11 @@ def self_kernel(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
 class Model:
     """weights: one number per subsequence; bias; slope and offset of the logistic curve.
 
-    Two thirds of the sample train the machine, the last third sets the logistic curve.
+    Two thirds of the sample train the machine; the last third chooses the round whose machine is
+    kept and sets the logistic curve, for which classes weigh as their ``rate`` among all labels.
     """
 
-    def __init__(self, texts: list[str], toxic: list[int]):
+    def __init__(self, texts: list[str], toxic: list[int], rate: float | None = None):
         self.weights, self.bias = np.zeros(ALPHABET**4, np.float32), -1.0
         self.slope, self.offset = 1.0, -4.0
         y = np.array(toxic, bool)
@@ -132,7 +133,12 @@ class Model:
         s, at = joined(own)
         ends = np.append(at[1:], len(s))
         self.weights = self._odds(own, own_y)
+        test, test_y = [d for d, f in zip(docs, fold, strict=True) if f], y[fold]
+        if not len(test_y) or test_y.all() or not test_y.any():
+            test, test_y = docs, y
+        weight = np.where(test_y, (rate or y.mean()) / test_y.mean(), (1 - (rate or y.mean())) / (1 - test_y.mean()))
         seen: dict[bytes, int] = {}
+        best_loss, kept = np.inf, (self.weights, self.bias, self.slope, self.offset)
         for round_ in range(ROUNDS):
             score = stretch_scores(self.weights, s)
             for t, a, e in zip(own_y, at, ends, strict=True):
@@ -151,8 +157,10 @@ class Model:
             if all(seen.values()):
                 break
             self._train(seen)
-        margin = self._margins(docs)
-        self._calibrate(margin[fold], y[fold]) if y[fold].any() and not y[fold].all() else self._calibrate(margin, y)
+            loss = self._calibrate(self._margins(test), test_y, weight)
+            if loss < best_loss:
+                best_loss, kept = loss, (self.weights, self.bias, self.slope, self.offset)
+        self.weights, self.bias, self.slope, self.offset = kept
 
     @staticmethod
     def _odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -198,16 +206,19 @@ class Model:
         for b, z in zip(beta, chosen, strict=True):
             np.add.at(self.weights, ids[z], np.float32(b) * vals[z])
 
-    def _calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
+    def _calibrate(self, margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+        """Set the logistic curve; returns its weighted log loss."""
         a, b = 2.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-            g, h = p - (y * 0.98 + 0.01), p * (1 - p) + 1e-6
+            g, h = weight * (p - (y * 0.98 + 0.01)), weight * p * (1 - p) + 1e-6
             grad = np.array([(g * margin).mean() + 1e-3 * a, g.mean()])
             hess = np.array([[(h * margin * margin).mean() + 1e-3, (h * margin).mean()], [(h * margin).mean(), h.mean() + 1e-6]])
             step = np.linalg.solve(hess, grad)
             a, b = a - 0.5 * step[0], b - 0.5 * step[1]
         self.slope, self.offset = float(max(a, 0.1)), float(b)
+        p = np.clip(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))), 1e-6, 1 - 1e-6)
+        return float((weight * -np.where(y, np.log(p), np.log(1 - p))).mean())
 
     def _margins(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(docs))
@@ -272,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             size[r["_toxic"]] += 1
             texts.append(r["_text"])
             toxic.append(r["_toxic"])
-    return Model(texts, toxic)
+    return Model(texts, toxic, many.get(1, 0) / max(1, sum(many.values())))
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
