@@ -251,8 +251,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a passage of the benchmark. Rows with a null doc_id stay."""
-    leaks = C.materialize(contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_leak")).where("_leak is not null").distinct(), "leaks")
-    return docs.join(leaks, docs.doc_id.cast("long") == F.col("_leak"), "left_anti")
+    own = C.own_name(docs, "_leak")
+    leaks = contaminated(docs.select("doc_id", "text"), benchmark).where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(C.materialize(leaks, "leaks"), F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,11 @@ with the place in the key, so a shared key is the verification: every member of
 one edit of every other, and each only has to look at the earliest. No pairs are formed, however
 many lines share a key.
 
-Variants of all lines would be as many as the characters of the corpus. An edit leaves one half of
-a line untouched, so lines are first filed under their halves (for both lengths that a partner may
-agree on) and only lines that share a half with a different line spell out their variants. This
-loses nothing: it is the pigeonhole rule on two halves.
+Variants of all lines would be as many as the characters of the corpus. A line is cut into PIECES
+pieces, and an edit leaves all of them but one untouched. So lines are first filed under what each
+piece leaves over (for both lengths that a partner may agree on), and only a line that shares such
+a remainder with a different line spells out its variants, and of these only the ones with a place
+of that piece deleted. This loses nothing: it is the pigeonhole rule on pieces.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-MIN_CHARS = 20
-_LINE_SCHEMA = "ha long, hb long, doc_id long, line int, halves array<long>"
+MIN_CHARS, PIECES = 20, 3
+_LINE_SCHEMA = "ha long, hb long, doc_id long, line int, rests array<long>"
 
 
 def _hash128(data: bytes) -> tuple[int, int]:
@@ -39,16 +40,29 @@ def _hash128(data: bytes) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def _half_keys(line: str) -> list[int]:
-    """Hashes of the halves of a line for a partner at least as long, and for one a character shorter."""
+def _slots(n: int) -> list[tuple[int, int, int, int]]:
+    """(key seed, characters before the piece, characters after it, last place in it) for a line of n characters.
+
+    The first PIECES slots are for partners of n characters or one more, the others for those of one
+    fewer: the piece then has one character more than the partner's.
+    """
+    out = []
+    for m in (n, n - 1):
+        for q in range(PIECES):
+            begin, end = m * q // PIECES, m * (q + 1) // PIECES
+            out.append((m * PIECES + q, begin, m - end, end - (m == n)))
+    return out
+
+
+def _rest_keys(line: str) -> list[int]:
+    """Hashes of what is left of a line without each of its pieces."""
     import xxhash
 
     out = []
-    for m in (len(line), len(line) - 1):
-        h = m // 2
-        for side, part in ((0, line[:h]), (1, line[len(line) - (m - h) :])):
-            x = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), m * 2 + side)
-            out.append(x - (1 << 64) if x >> 63 else x)
+    for seed, before, after, _ in _slots(len(line)):
+        rest = line[:before] + "\n" + line[len(line) - after :]
+        x = xxhash.xxh3_64_intdigest(rest.encode("utf-8", "surrogatepass"), seed)
+        out.append(x - (1 << 64) if x >> 63 else x)
     return out
 
 
@@ -57,12 +71,12 @@ def lines_of(text: str | None) -> list[str]:
 
 
 def compared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(ha, hb, doc_id, line, halves) of every line long enough to be compared."""
+    """(ha, hb, doc_id, line, rests) of every line long enough to be compared."""
     C.prepare(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ha, hb, ids, nos, halves = [], [], [], [], []
+            ha, hb, ids, nos, rests = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for no, raw in enumerate(lines_of(t)):
                     line = raw.strip()
@@ -72,18 +86,18 @@ def compared_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                         hb.append(y)
                         ids.append(i)
                         nos.append(no)
-                        halves.append(_half_keys(line))
+                        rests.append(_rest_keys(line))
                 if len(ha) > 20000:
-                    yield pa.record_batch([pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(halves, pa.list_(pa.int64()))], names=["ha", "hb", "doc_id", "line", "halves"])
-                    ha, hb, ids, nos, halves = [], [], [], [], []
-            yield pa.record_batch([pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(halves, pa.list_(pa.int64()))], names=["ha", "hb", "doc_id", "line", "halves"])
+                    yield pa.record_batch([pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(rests, pa.list_(pa.int64()))], names=["ha", "hb", "doc_id", "line", "rests"])
+                    ha, hb, ids, nos, rests = [], [], [], [], []
+            yield pa.record_batch([pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(rests, pa.list_(pa.int64()))], names=["ha", "hb", "doc_id", "line", "rests"])
 
     src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(each, _LINE_SCHEMA)
 
 
 def _variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(va, vb, place, ha, hb, doc_id, line) of wanted lines: place is the deleted one, -1 for the whole line."""
+    """(va, vb, place, ha, hb, doc_id, line) of wanted lines (doc_id, line, slot): place is the deleted one, -1 for the whole line."""
     C.prepare(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +107,13 @@ def _variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cols: list[list[int]] = [[] for _ in names]
             for i, t, nos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 all_lines = lines_of(t)
-                for no in nos:
+                slots: dict[int, set[int]] = {}
+                for x in nos:
+                    slots.setdefault(x // (2 * PIECES), set()).add(x % (2 * PIECES))
+                for no, own in slots.items():
                     line = all_lines[no].strip()
-                    for place in range(-1, len(line)):
+                    ranges = _slots(len(line))
+                    for place in sorted({-1}.union(*(range(ranges[k][1], ranges[k][3] + 1) for k in own))):
                         v = line if place < 0 else line[:place] + line[place + 1 :]
                         for c, x in zip(cols, (*_hash128(v.encode("utf-8", "surrogatepass")), place, i, no), strict=True):
                             c.append(x)
@@ -104,7 +122,7 @@ def _variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         cols = [[] for _ in names]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=names)
 
-    lists = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line").alias("lines"))
+    lists = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.col("line") * F.lit(2 * PIECES) + F.col("slot")).alias("lines"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.join(lists, src.doc_id == F.col("_doc")).select("doc_id", "text", "lines")
     return src.mapInArrow(each, "va long, vb long, place int, doc_id long, line int")
@@ -118,13 +136,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     lines = C.materialize(compared_lines(docs, min_chars), "lines")
     at = F.struct("doc_id", "line")
-    kinds = lines.groupBy("ha", "hb").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
+    kinds = lines.groupBy("ha", "hb").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.first("rests").alias("rests"))
     kinds = C.materialize(kinds, "line-kinds")
-    # Lines that share a half with a different line.
-    halves = kinds.select(F.explode(F.array_distinct("halves")).alias("half"), "ha", "first")
-    shared = halves.groupBy("half").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi")).where("lo <> hi").select("half")
-    shared = C.materialize(shared, "line-halves")  # as a table of its own, so that the join can split a hot half
-    wanted = halves.join(shared, "half", "left_semi").select("first.doc_id", "first.line").distinct()
+    # Lines that share a remainder with a different line.
+    rests = kinds.select(F.posexplode("rests").alias("slot", "rest"), "ha", "first")
+    shared = rests.groupBy("rest").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi")).where("lo <> hi").select("rest")
+    shared = C.materialize(shared, "line-rests")  # as a table of its own, so that the join can split a hot remainder
+    wanted = rests.join(shared, "rest", "left_semi").select("first.doc_id", "first.line", "slot")
     variants = C.materialize(_variants(docs, wanted), "line-variants")
     # Same place deleted from lines of one length: all are within a substitution of the earliest.
     places = variants.where("place >= 0")
@@ -147,13 +165,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     n_chars, if docs has it, is set anew for the rows that change.
     """
-    gone = dropped_lines(docs, min_chars).select(F.col("doc_id").alias("_gone_id"), F.col("dropped").alias("_dropped"))
-    both = docs.join(gone, docs.doc_id.cast("long") == F.col("_gone_id"), "left")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("_dropped"), i))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    own_id, own = C.own_name(docs, "_gone_id"), C.own_name(docs, "_dropped")
+    gone = dropped_lines(docs, min_chars).select(F.col("doc_id").alias(own_id), F.col("dropped").alias(own))
+    both = docs.join(gone, F.col("doc_id").cast("long") == F.col(own_id), "left")
+    kept = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col(own), i))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     both = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        both = both.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return both.select(*docs.columns)
 
 

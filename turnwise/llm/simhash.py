@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,11 +203,10 @@ def near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Of repeated rows of that doc_id one stays. Rows with a null doc_id stay. Columns are those of docs.
     """
-    keep = simhash_components(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    from pyspark.sql import Window
-
+    own, nth = C.own_name(docs, "_keep"), C.own_name(docs, "_nth")
+    keep = simhash_components(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
-    kept = docs.join(keep, docs.doc_id == F.col("_keep")).drop("_keep").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col(own)).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
