@@ -246,15 +246,18 @@ def test_edited_passages_are_found_and_verified(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(rng.choices(vocab, k=rng.randint(10, 40)))) for i in range(40)] + [(40, None), (41, "a b")]
-    docs, planted = [], 0
+    docs, within = [], set()
     for i in range(120):
         w = rng.choices(vocab, k=80)
-        item = rng.choice(items[:40])[1].split()
-        for _ in range(rng.randint(0, decontaminate.edit_bound(len(item)))):
+        own = rng.choice(items[:40])[1].split()
+        item, bound = [*own], decontaminate.edit_bound(len(own))
+        for _ in range(rng.randint(0, bound)):
             p = rng.randrange(len(item))
             item[p : p + 1] = rng.choice([[], ["zz"], [item[p], "zz"]])
-        docs.append((i, " ".join(w[:40] + item * (i % 2) + w[40:]), i))
-        planted += i % 2
+        w = w[:40] + item * (i % 2) + w[40:]
+        docs.append((i, " ".join(w), i))
+        if any(decontaminate.edit_distance(own, w[s : s + len(own)], bound) <= bound for s in range(40 - bound, 41 + bound)):
+            within.add(i)
     out = decontaminate.contaminated(spark.createDataFrame(docs + [(500, None, 0), (501, "", 0)], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")).collect()
     words = {i: decontaminate.words_of(t) for i, t, _ in docs}
     named = {i: decontaminate.words_of(t) for i, t in items}
@@ -262,6 +265,6 @@ def test_edited_passages_are_found_and_verified(spark):
         n = len(named[r.item_id])
         assert decontaminate.edit_distance(named[r.item_id], words[r.doc_id][r.first_word : r.first_word + n], n) == r.distance <= decontaminate.edit_bound(n)
     hit = {r.doc_id for r in out}
-    assert not {i for i in hit if i % 2 == 0} and len(hit) >= decontaminate.TARGET_RECALL * planted
+    assert len(within) > 40 and hit <= within and len(hit) >= decontaminate.TARGET_RECALL * len(within)
     kept = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, _leak int"), spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == ["doc_id", "text", "_leak"] and kept.count() == 120 - len(hit)
