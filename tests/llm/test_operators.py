@@ -268,3 +268,11 @@ def test_edited_passages_are_found_and_verified(spark):
     assert len(within) > 40 and hit <= within and len(hit) >= decontaminate.TARGET_RECALL * len(within)
     kept = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, _leak int"), spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == ["doc_id", "text", "_leak"] and kept.count() == 120 - len(hit)
+
+
+def test_stretches_at_the_end_of_the_last_text_have_full_width():
+    """The last sampled text may be the shortest or end in the stretch that scores highest."""
+    for last in ("", "a", "you dumb fool", "fair words and then you dumb fool"):
+        texts = ["you dumb fool", "a fine day", "such a dumb fool", "a calm evening"] * 4 + [last]
+        model = toxicity.Model(texts, [1, 0, 1, 0] * 4 + [1])
+        assert np.isfinite(model.bias) and np.isfinite(model.weights).all()

@@ -131,7 +131,7 @@ class Model:
         if own_y.all() or not own_y.any():
             own, own_y = docs, y
         s, at = joined(own)
-        ends = np.append(at[1:], len(s))
+        ends = np.append(at[1:], len(s) - _PAD)
         self.weights = self._odds(own, own_y)
         test, test_y = [d for d, f in zip(docs, fold, strict=True) if f], y[fold]
         if not len(test_y) or test_y.all() or not test_y.any():
