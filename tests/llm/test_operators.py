@@ -271,8 +271,9 @@ def test_edited_passages_are_found_and_verified(spark):
 
 
 def test_stretches_at_the_end_of_the_last_text_have_full_width():
-    """The last sampled text may be the shortest or end in the stretch that scores highest."""
-    for last in ("", "a", "you dumb fool", "fair words and then you dumb fool"):
-        texts = ["you dumb fool", "a fine day", "such a dumb fool", "a calm evening"] * 4 + [last]
-        model = toxicity.Model(texts, [1, 0, 1, 0] * 4 + [1])
+    """The last sampled text is clean and unlike the others, so that its end scores as high as any of its stretches."""
+    for size in range(1, 60):
+        last = ("a fine day and a calm evening by the sea " * 2)[:size]
+        texts = ["you dumb fool", "a fine day", "such a dumb fool", "a calm evening"] * 12 + [last]
+        model = toxicity.Model(texts, [1, 0, 1, 0] * 12 + [0])
         assert np.isfinite(model.bias) and np.isfinite(model.weights).all()
