@@ -14,6 +14,11 @@ within the bound, and are never embedded. The number of tables reaches the
 target recall of TARGET_RECALL at the edit bound itself (measured in the tests); closer copies are
 found more surely, exact ones always.
 
+With free ends, as op10 and the pipeline search, a passage may be shorter or longer than the item:
+the places that the triples imply are all held against the item by an edit distance with free start
+and end, so an inserted or deleted word costs one edit and nothing within the bound is missed. No
+embedding is needed there. Windows of exactly n words are searched where free ends are not asked for.
+
 Whole texts are searched within map tasks and nothing but matches leaves them. Items are sent to
 the tasks in blocks of a fixed size, so the benchmark may grow without bound.
 """
@@ -68,6 +73,30 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return min(prev[len(b)], far)
 
 
+def end_distances(item: list[int], words: list[int]) -> list[int]:
+    """For each place j of words: the least edit distance of item to any stretch that ends before j, wherever it starts.
+
+    Myers' bit-parallel form of the table with a free start, one big integer a column.
+    """
+    n = len(item)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    same: dict[int, int] = defaultdict(int)
+    for i, x in enumerate(item):
+        same[x] |= 1 << i
+    up, down, d = full, 0, n
+    out = [n]
+    for x in words:
+        eq = same.get(x, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = (down | ~(h | up)) & full, up & h
+        d += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1, minus << 1
+        up, down = (minus | ~(v | plus)) & full, plus & v & full
+        out.append(d)
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -112,7 +141,7 @@ def cgk_keys(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Items:
     """One block of benchmark items, ready to search: vocabulary, word triples and LSH keys."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], free_ends: bool = False):
         self.vocab: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         for item_id, text in items:
@@ -133,17 +162,16 @@ class Items:
         self.bound = np.array([edit_bound(len(w)) for _, w in self.items], np.int64)
         width = int(self.length.max()) if self.items else 0
         padded = np.array([w + [-1] * (width - len(w)) for _, w in self.items], np.int64).reshape(len(self.items), width)
-        self.keys = cgk_keys(padded, self.length)
+        self.keys = None if free_ends else cgk_keys(padded, self.length)
 
     def _code(self, a, b, c):
         return (a * self.base + b) * self.base + c
 
-    def starts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text's words, and the items and window starts that may match in it.
+    def anchors(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text's words, and the items and starts that enough word triples imply.
 
-        A window within e edits of an item of n words keeps n - 2 - 3e of its word triples, and they
-        imply starts at most 2e apart: starts with fewer triples about them are left out. The window
-        itself begins at most e words from the start that a triple implies.
+        A stretch within e edits of an item of n words keeps n - 2 - 3e of its word triples, and they
+        imply starts at most 2e apart: starts with fewer triples about them are left out.
         """
         none = np.zeros(0, np.int64)
         if not len(self.codes) or not text:
@@ -170,6 +198,13 @@ class Items:
         about = np.searchsorted(line, line + slack, "right") - np.searchsorted(line, line - slack, "left")
         enough = about >= np.maximum(1, self.length[item] - GRAM + 1 - GRAM * self.bound[item])
         item, start = np.unique(np.stack([item[enough], start[enough]], axis=1), axis=0).T
+        return w, item, start
+
+    def starts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text's words, and the items and window starts that may match in it: at most e words from the start that a triple implies."""
+        w, item, start = self.anchors(text)
+        if not len(item):
+            return w, item, start
         reach = 2 * self.bound[item] + 1
         row = np.repeat(np.arange(len(item)), reach)
         start = start[row] - self.bound[item[row]] + np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
@@ -202,6 +237,42 @@ class Items:
                     found[t[r]].append((d, int(begin[r]), int(k[r]), min(size, len(parts[t[r]][0]) - int(begin[r]))))
         return [self._apart(f) for f in found]
 
+    def search_free(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item_id, first word, words, distance) of each stretch within the bound, of whatever length.
+
+        Every stretch within the bound keeps triples that imply its start, so the regions about the
+        implied starts are all that must be looked at, and the edit distance with free ends finds
+        every match in them. Of stretches of one item that overlap the closest is given, the first
+        among equals.
+        """
+        out = []
+        for text in texts:
+            w, items, starts = self.anchors(text)
+            found: list[tuple[int, int, int, int]] = []
+            regions: list[list[int]] = []
+            for k, s in zip(items.tolist(), starts.tolist(), strict=True):
+                slack = 2 * int(self.bound[k])
+                lo, hi = max(0, s - slack), min(len(w), s + int(self.length[k]) + slack)
+                if regions and regions[-1][0] == k and lo <= regions[-1][2]:
+                    regions[-1][2] = max(hi, regions[-1][2])
+                else:
+                    regions.append([k, lo, hi])
+            for k, lo, hi in regions:
+                own, bound, words = self.items[k][1], int(self.bound[k]), w[lo:hi].tolist()
+                ends = sorted((d, j) for j, d in enumerate(end_distances(own, words)) if d <= bound)
+                taken: list[tuple[int, int]] = []
+                for d, end in ends:
+                    if any(a < end <= b for a, b in taken):
+                        continue
+                    # Of the stretches with this end and distance, the one whose length is closest to the item's.
+                    sizes = sorted(range(max(1, len(own) - d), min(len(own) + d, end) + 1), key=lambda m: abs(m - len(own)))
+                    size = next(m for m in sizes if edit_distance(own, words[end - m : end], d) == d)
+                    if all(end - size >= b or end <= a for a, b in taken):
+                        taken.append((end - size, end))
+                        found.append((self.items[k][0], lo + end - size, size, d))
+            out.append(sorted(found))
+        return out
+
     def _apart(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         out = []
         taken: dict[int, list[int]] = defaultdict(list)
@@ -221,9 +292,11 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[li
     return [[(r["item_id"], r["text"]) for r in sorted(rows.where(part == i).collect())] for i in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, free_ends: bool = False) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance): a row for each passage of docs within the edit bound of an item.
 
+    A passage has as many words as the item; with ``free_ends`` it may have any number of words.
+
     Null texts on either side match nothing; rows of docs with a null doc_id are searched and keep
     it; repeated documents and items give repeated rows. Empty tables give no rows.
     """
@@ -232,14 +305,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items(block))
+        shared = spark.sparkContext.broadcast(Items(block, free_ends))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:
                 for at in range(0, b.num_rows, 1000):
                     part = b.slice(at, 1000)
-                    hits = items.search(part.column(1).to_pylist())
+                    hits = (items.search_free if free_ends else items.search)(part.column(1).to_pylist())
                     rows = [(i, *hit) for i, own in zip(part.column(0).to_pylist(), hits, strict=True) for hit in own]
                     cols = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_word", "n_words", "distance"])
@@ -249,13 +322,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, free_ends: bool = False) -> DataFrame:
     """docs without the documents that hold a passage of the benchmark. Rows with a null doc_id stay."""
     own = C.own_name(docs, "_leak")
-    leaks = contaminated(docs.select("doc_id", "text"), benchmark).where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    leaks = contaminated(docs.select("doc_id", "text"), benchmark, free_ends).where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(C.materialize(leaks, "leaks"), F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op10_benchmark_decontamination over the whole documents and benchmark tables."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free_ends=True)
