@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import settle
+from ..shared import discard, linked_components, settle
 from .adjacency import adjacency, open_adjacency
 from .local import checked
 
@@ -23,19 +23,10 @@ def components(nodes: DataFrame, adj: DataFrame, keys: list[str]) -> DataFrame:
     are not listed are ignored.
     """
     node = nodes.select(*keys, "node_id").distinct()
-    near = adj.select(*keys, "src", "dst").distinct()
-    near = near.join(node.withColumnRenamed("node_id", "src"), [*keys, "src"], "left_semi").join(node.withColumnRenamed("node_id", "dst"), [*keys, "dst"], "left_semi")
-    near = settle(near, "component-edges")
-    state = settle(node.withColumn("component", F.col("node_id")), "component-0")
-    for i in range(1, MAX_ROUNDS):
-        best = near.join(state.withColumnRenamed("node_id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node_id")).agg(F.min("component").alias("_near"))
-        low = state.join(best, [*keys, "node_id"], "left").select(*keys, "node_id", F.col("component").alias("_was"), F.least("component", "_near").alias("component"))
-        jump = state.select(*keys, F.col("node_id").alias("component"), F.col("component").alias("_next"))
-        new = settle(low.join(jump, [*keys, "component"], "left").select(*keys, "node_id", "_was", F.least("component", "_next").alias("component")), f"component-{i}")
-        state = new.select(*keys, "node_id", "component")
-        if new.where("component <> _was").isEmpty():
-            return state
-    raise RuntimeError("components did not settle")
+    near = adj.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")).where("a < b")
+    near = near.join(node.withColumnRenamed("node_id", "a"), [*keys, "a"], "left_semi").join(node.withColumnRenamed("node_id", "b"), [*keys, "b"], "left_semi")
+    found = linked_components(near, tuple(keys), "component").withColumnRenamed("node", "node_id")
+    return node.join(found, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame, open_only: bool = False) -> DataFrame:
