@@ -8,12 +8,15 @@ executor costs a re-read and never a failed job.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import delete, discard, exists, linked_components, shared_dir, table_dir
+from ..shared import settle as materialize
+
+__all__ = ["connected_components", "delete", "discard", "exists", "materialize", "own_name", "prepare", "running_total", "shared_dir", "table_dir"]
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,43 +35,6 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", made := f"file://{tempfile.mkdtemp(prefix='turnwise-')}")
-    return made
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in whatever file system it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder that materialize() wrote."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df once into the shared folder and return it read back, with its lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnwise/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._turnwise_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete what materialize() wrote for df, once nothing will read it again."""
-    if df is not None and getattr(df, "_turnwise_path", None):
-        delete(df.sparkSession, df._turnwise_path)
-
-
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, name: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before each row of its key, in ``order``.
 
@@ -89,27 +55,6 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return part.join(offsets, on).withColumn(out, F.col("_own") + F.col("_off")).drop("_block", "_own", "_b", "_off", *[f"_k_{k}" for k in keys])
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of the links (a, b): component is the smallest node reachable.
-
-    Every node starts with itself; a round takes the smallest label among a node's neighbours and
-    then jumps to the label of that label. Links are not expanded, minima are pre-aggregated before
-    the shuffle and a hub's links are split by adaptive skew joins. Rounds end when no label moves;
-    a graph that needs more than max_rounds raises rather than return a wrong answer.
-    """
-    both = edges.select("a", "b").where("a <> b")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), f"{name}-0")
-    for i in range(1, max_rounds + 1):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialize(low.join(jump, "label", "left").select("node", "was", F.least("label", "next").alias("label")), f"{name}-{i}")
-        moved = not new.where("label <> was").isEmpty()
-        discard(labels)
-        kept, labels = new, new.select("node", "label")
-        labels._turnwise_path = kept._turnwise_path
-        if not moved:
-            discard(both)
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) for every node of the links (a, b): component is the smallest node reachable, however long the chains are."""
+    return linked_components(edges.select("a", "b"), name=name)
