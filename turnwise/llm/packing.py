@@ -1,13 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of documents in doc_id order, served in segments of at most
-``segment_tokens``. In every round source s earns a quantum Q_s = share_s * window, adds it to what
-it carries over, and serves the segments that its deficit counter covers. A queue that is never
-idle serves the segment that ends at token C of its queue in round ceil(C / Q_s), since the
-counter after r rounds is r * Q_s less what was served. The schedule therefore needs no loop: rounds
-come from running totals per source, the packed stream is the segments in the order (round, source,
-place in queue), and its running total gives every segment's place. Deficits so carry across windows
-and partitions exactly. The stream is cut every ``window`` tokens: only the last sequence is padded.
+Each source is a queue of documents in doc_id order. In round r source s has earned
+floor(r * Q_s) tokens, Q_s = share_s * window being its quantum, and serves what it has earned and
+not yet served: the fraction of a token it may not cut is the deficit it carries on. A source that
+earns less than MIN_SEGMENT tokens a round is served every k-th round only, and carries what it
+earns between; such sources take turns. Documents are cut wherever a round's service ends, so every
+round holds every source's share and its ``window`` tokens fill one sequence, up to fractions.
+
+A queue's service up to round r is a closed form, so the schedule needs no loop: the place of a
+token in its queue names its round, the packed stream is the segments in the order (round, source,
+place in queue), and its running total gives every segment's place. Deficits so carry across
+windows and partitions exactly. The stream is cut every ``window`` tokens: only the last sequence
+is padded.
 
 Running totals are taken in blocks (see running_total), so a source that holds most rows is spread
 over as many tasks as any other.
@@ -27,7 +31,8 @@ from . import _common as C
 from . import tokens
 
 WINDOW = 1024
-SEGMENT_TOKENS = 128
+#: A source is served when it has earned this many tokens, every k-th round.
+MIN_SEGMENT = 16
 EOS_ID = 0
 
 
@@ -45,7 +50,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, eos_id: int = EOS_ID) -> Dat
     return docs.select(*cols).mapInArrow(each, "doc_id long, source string, n_tokens long, ids binary")
 
 
-def round_robin(meta: DataFrame, window: int, segment_tokens: int, shares: dict[str, float] | None) -> DataFrame:
+def round_robin(meta: DataFrame, window: int, min_segment: int, shares: dict[str, float] | None) -> DataFrame:
     """(_row, source, start, length, position) of each segment: position is its place in the packed stream.
 
     shares: target token proportions by source; by default those of the tokens at hand, so that all
@@ -63,23 +68,32 @@ def round_robin(meta: DataFrame, window: int, segment_tokens: int, shares: dict[
         total = meta.agg(F.sum("n_tokens")).first()[0] or 1
         quantum = F.col("_share") * F.lit(float(window) / total)
     totals = totals.select(F.col("source").alias("_source"), F.greatest(quantum, F.lit(1e-6)).alias("_quantum"))
+    every = F.greatest(F.ceil(F.lit(float(min_segment)) / F.col("_quantum")), F.lit(1)).cast("long")
+    totals = totals.withColumn("_every", every).withColumn("_turn", F.pmod(F.xxhash64("_source"), F.col("_every")))
     served = queued.join(totals, F.col("source").eqNullSafe(F.col("_source")))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(segment_tokens).cast("long")))
+
+    def earned(visit):  # tokens served up to a visit; the visit's round is visit * every - turn
+        return F.floor(F.greatest(visit * F.col("_every") - F.col("_turn"), F.lit(0)).cast("double") * F.col("_quantum")).cast("long")
+
+    at = lambda place: F.floor((F.col("_ahead") + place).cast("double") / (F.col("_quantum") * F.col("_every"))).cast("long")
+    # Visits whose service may touch the document: one more on either side covers turns and rounding.
+    visits = F.explode(F.sequence(F.greatest(at(F.lit(0)) - 1, F.lit(0)), at(F.col("n_tokens")) + 3))
+    begin, end = F.greatest(F.col("_ahead"), earned(F.col("_visit") - 1)), F.least(F.col("_ahead") + F.col("n_tokens"), earned(F.col("_visit")))
     parts = (
-        served.withColumn("start", starts)
-        .withColumn("length", F.least(F.lit(segment_tokens).cast("long"), F.col("n_tokens") - F.col("start")))
-        .withColumn("_end", F.col("_ahead") + F.col("start") + F.col("length"))
-        .withColumn("_round", F.ceil(F.col("_end") / F.col("_quantum")))
-        .select("_row", "source", "start", "length", "_round", "_end")
+        served.withColumn("_visit", visits)
+        .withColumn("start", begin - F.col("_ahead"))
+        .withColumn("length", end - begin)
+        .where("length > 0")
+        .select("_row", "source", "start", "length", (F.col("_visit") * F.col("_every") - F.col("_turn")).alias("_round"), (F.col("_ahead") + F.col("start")).alias("_place"))
     )
-    return C.running_total(parts, [], ["_round", "source", "_end", "_row"], "length", "position", "pack-stream").select("_row", "source", "start", "length", "position")
+    return C.running_total(parts, [], ["_round", "source", "_place", "_row"], "length", "position", "pack-stream").select("_row", "source", "start", "length", "position")
 
 
 def pack(
     docs: DataFrame,
     tokenizer_path: str | None = None,
     window: int = WINDOW,
-    segment_tokens: int = SEGMENT_TOKENS,
+    min_segment: int = MIN_SEGMENT,
     shares: dict[str, float] | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
@@ -92,7 +106,7 @@ def pack(
     """
     path = tokenizer_path or tokens.default_path()
     toks = C.materialize(tokenized(docs, path).withColumn("_row", F.monotonically_increasing_id()), "pack-tokens")
-    segments = round_robin(toks.select("_row", "doc_id", "source", "n_tokens"), window, segment_tokens, shares)
+    segments = round_robin(toks.select("_row", "doc_id", "source", "n_tokens"), window, min_segment, shares)
     w = F.lit(window).cast("long")
     first, last = F.floor(F.col("position") / w), F.floor((F.col("position") + F.col("length") - 1) / w)
     cut = segments.withColumn("sequence_id", F.explode(F.sequence(first, last)))
