@@ -267,7 +267,10 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on at most SAMPLE_DOCS labelled documents a class, drawn by a hash of the id from rows not held out."""
+    """Train on at most SAMPLE_DOCS labelled documents a class, drawn by a hash of the id from rows not held out.
+
+    Of labels that disagree on a doc_id the toxic one counts; rows without id, label or text are left out.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rank = F.xxhash64(F.col("_id").cast("string")).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))
     many = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
@@ -287,8 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
-    """docs with the score of each whole text in a new column (named otherwise where docs has one of that name)."""
+    """docs with the score of each whole text (0 to 1) in a new last column, under the first of column, _column, __column and so on that docs lacks.
+
+    Null and empty texts get the score of an empty stretch; null ids and repeated rows pass through,
+    an empty table gives no rows.
+    """
     spark = docs.sparkSession
+    column = C.own_name(docs, column)
     C.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
