@@ -8,14 +8,17 @@ most. Two words at distance two or less have a midpoint within one bit of both,
 every word within three bits, so both lie within four bits of one codeword: they share a key.
 Documents that share a key are candidates and are linked after counting the differing bits.
 
-Fingerprints are collapsed to distinct values before the join, so copies never form pairs. Keys
-that gather more than ``bucket_limit`` distinct fingerprints take an exact linear route instead of
-pairs: each member emits itself and its 64 one-bit neighbours; two fingerprints meet in one such
-point exactly if they differ in two bits at most, and every point needs only a star of links.
+Fingerprints are collapsed to distinct values before the join, so copies never form pairs. A key
+that gathers more than ``bucket_limit`` distinct fingerprints is split by the codeword indices of
+the third segment as well, which any two members within two bits share too. What is still that
+large is a dense ball around one codeword: there each member names the points within one bit of it
+in the two decoded segments; two members meet in one such point exactly if they differ in two bits
+at most, and every point needs only a star of links, not all pairs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return src.mapInArrow(each, "doc_id long, fp long")
 
 
+@functools.lru_cache(maxsize=1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each of the 2^11 syndromes: the error patterns of weight four or less (padded), and how many."""
     errors: list[list[int]] = [[] for _ in range(2048)]
@@ -116,66 +120,91 @@ def golay_syndromes(v: np.ndarray) -> np.ndarray:
     return r
 
 
+def _segments(fps: np.ndarray) -> list[np.ndarray]:
+    u = fps.view(np.uint64)
+    return [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+
+
+def _decoded(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index) of all codewords within four bits of each word, by their twelve message bits (the code is systematic)."""
+    table, count = golay_tables()
+    syn = golay_syndromes(words)
+    n = count[syn]
+    row = np.repeat(np.arange(len(words)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, (words[row] ^ table[syn[row], nth]) >> 11
+
+
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys: table number, exact segment and codeword index of the next segment."""
-    table, count = golay_tables()
-    u = fps.view(np.uint64)
-    seg = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    seg = _segments(fps)
     rows, keys = [], []
     for i in range(3):
-        near = seg[(i + 1) % 3]
-        syn = golay_syndromes(near)
-        n = count[syn]
-        row = np.repeat(np.arange(len(u)), n)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        index = (near[row] ^ table[syn[row], nth]) >> 11  # a systematic code: 12 message bits name the codeword
+        row, index = _decoded(seg[(i + 1) % 3])
         rows.append(row)
         keys.append((np.int64(i) << 40) | (seg[i][row] << 12) | index)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint_links(distinct: DataFrame, bucket_limit: int = 16) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp), enough to reach all at LINK_BITS bits or less.
+def _split_keys(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of keys split by the codeword indices of the segment they leave open."""
+    seg = np.stack(_segments(fps))
+    row, index = _decoded(seg[((keys >> 40) + 2) % 3, np.arange(len(fps))])
+    return row, (keys[row] << 12) | index
 
-    Every link is real, and any two fingerprints at that distance are connected by the links.
-    """
-    C.prepare(distinct.sparkSession)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _points(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, point): each fingerprint and its one-bit neighbours outside the segment that its split key holds exact."""
+    rows, points = [], []
+    exact = keys >> 52
+    for i, (at, n) in enumerate(SEGMENTS):
+        own = np.flatnonzero(exact == i)
+        free = [b for b in range(64) if not at <= b < at + n]
+        flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.array(free, np.uint64)])
+        rows.append(np.repeat(own, len(flips)))
+        points.append((fps[own].view(np.uint64)[:, None] ^ flips).view(np.int64).ravel())
+    return np.concatenate(rows), np.concatenate(points)
+
+
+def _keyed(df: DataFrame, f, name: str) -> DataFrame:
+    """(key, fp) from (fp) or (fp, key) by f, in batches."""
+    C.prepare(df.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(fp), 20000):
-                row, key = golay_keys(x := fp[at : at + 20000])
-                yield pa.record_batch([pa.array(key), pa.array(x[row])], names=["key", "fp"])
-
-    keyed = C.materialize(distinct.select("fp").mapInArrow(emit, "key long, fp long"), "golay-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = C.materialize(sizes, "golay-sizes")
-    # Small buckets: join and verify.
-    small = keyed.join(sizes.where(F.col("n") <= bucket_limit).select("key"), "key", "left_semi")
+            for at in range(0, b.num_rows, 8192):
+                cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.slice(at, 8192).columns]
+                row, key = f(*cols)
+                yield pa.record_batch([pa.array(key), pa.array(cols[0][row])], names=["key", "fp"])
+
+    return C.materialize(df.mapInArrow(each, "key long, fp long"), name)
+
+
+def _small_and_hot(keyed: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of the keys with at most limit members, and the rows of the others."""
+    sizes = C.materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name)
+    small = keyed.join(sizes.where(F.col("n") <= limit).select("key"), "key", "left_semi")
     left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
-    pairs = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK_BITS).select("a", "b")
-    # Large buckets: a star around every point within one bit of its members.
-    large = keyed.join(sizes.where(F.col("n") > bucket_limit).select("key"), "key", "left_semi").select("fp").distinct()
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK_BITS)).select("a", "b")
+    return pairs, keyed.join(sizes.where(F.col("n") > limit).select("key"), "key", "left_semi").select("fp", "key")
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(fp), 4096):
-                x = fp[at : at + 4096]
-                p = (x.view(np.uint64)[:, None] ^ flips).view(np.int64)
-                yield pa.record_batch([pa.array(p.ravel()), pa.array(np.repeat(x, 65))], names=["point", "fp"])
 
+def fingerprint_links(distinct: DataFrame, bucket_limit: int = 32) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp), enough to reach all at LINK_BITS bits or less.
+
+    Every link is real, and any two fingerprints at that distance are connected by the links.
+    """
+    pairs, hot = _small_and_hot(_keyed(distinct.select("fp"), golay_keys, "golay-keys"), bucket_limit, "golay-sizes")
+    more, dense = _small_and_hot(_keyed(hot, _split_keys, "golay-split"), bucket_limit, "golay-split-sizes")
     # A star's centre is any one member: all members of a point are linked with each other.
-    met = large.mapInArrow(points, "point long, fp long")
-    met = C.materialize(met, "golay-points")
-    centre = met.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "a")
-    stars = met.join(centre, "point").where("a <> fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    near = dense.select("fp", F.shiftleft(F.shiftright("key", 52), 52).alias("key")).distinct()
+    met = _keyed(near, _points, "golay-points")
+    centre = met.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
+    stars = met.join(centre, "key").where("a <> fp").select("a", F.col("fp").alias("b"))
+    return pairs.unionByName(more).unionByName(stars).distinct()
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, bucket_limit: int = 16) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
     Null and blank texts have fingerprint zero and are linked like any other. Rows with a null
