@@ -1,26 +1,30 @@
 """Benchmark decontamination by the CGK random-walk embedding and bit-sampling LSH.
 
-Texts are lower-cased word sequences. A benchmark item of n words is held against windows of n
-words of every document, up to edit distance floor(MAX_EDIT_SHARE * n) in words. The CGK embedding
-walks through a sequence for 3n steps, writes the word it stands on and moves on by a random bit
-that depends on the step and the word; sequences a few edits apart soon walk in step again, so edit
-distance becomes Hamming distance. Of the embedding, each of REPEATS tables samples BITS places (an
-independent walk for every WALK_TABLES tables); a window and an item that agree on one table's
-sample are a candidate, and candidates are verified by exact edit distance.
-
-Windows start where an item could begin: a window within the bound of an item keeps a known number
-of its word triples, and each triple names the start it implies. Windows without so many cannot be
-within the bound, and are never embedded. The number of tables reaches the
-target recall of TARGET_RECALL at the edit bound itself (measured in the tests); closer copies are
-found more surely, exact ones always.
+Texts are lower-cased word sequences. A benchmark item of n words is held against passages of every
+document, up to edit distance floor(MAX_EDIT_SHARE * n) in words. The CGK embedding walks through a
+sequence of n words, writes the word it stands on and moves on by a random bit that depends on the
+step and the word; sequences a few edits apart soon walk in step again, so edit distance becomes
+Hamming distance. Of WALKS such walks each of REPEATS tables samples BITS places; a window and an
+item that agree on one table's sample are a candidate, and candidates are verified by exact edit
+distance.
+
+Not every window need be embedded. One within the bound keeps at least one word triple of its item
+(n - 2 triples, of which an edit spoils three at most), and the triple's place in the item names
+where the window starts. So the item-sized windows of a text are those at the starts that its word
+triples imply, of whichever item; the tables alone decide which of them are candidates, and for
+which item. REPEATS is chosen so that a window at the bound is found with TARGET_RECALL or more
+(measured in the tests); closer ones are found more surely, exact ones always.
 
 With free ends, as op10 and the pipeline search, a passage may be shorter or longer than the item:
-the places that the triples imply are all held against the item by an edit distance with free start
-and end, so an inserted or deleted word costs one edit and nothing within the bound is missed. No
-embedding is needed there. Windows of exactly n words are searched where free ends are not asked for.
-
-Whole texts are searched within map tasks and nothing but matches leaves them. Items are sent to
-the tasks in blocks of a fixed size, so the benchmark may grow without bound.
+a candidate's place is held against the item by an edit distance with free start and end, so an
+inserted or deleted word costs one edit. A passage with several surviving triples has a window at
+each start that they imply, and needs only one of them to be found.
+
+Items under EXACT_WORDS words count only where they stand word for word, those under GRAM words by
+a look-up of their own, as they have no triple. Whole texts are searched within map tasks and
+nothing but matches leaves them. Items are sent to the tasks in blocks of a fixed size, one after
+the other, so the benchmark may grow without bound; windows are embedded in groups of a fixed
+number of places, so an item may be as long as it likes.
 """
 
 from __future__ import annotations
@@ -37,12 +41,11 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MAX_EDIT_SHARE, TARGET_RECALL = 0.2, 0.95
-REPEATS, BITS, WALK_TABLES, SEED = 192, 2, 2, 97
-#: Items under MIN_WORDS words are too short to tell a leak from common speech and are not searched;
-#: those under EXACT_WORDS words count only where they stand word for word.
-MIN_WORDS, EXACT_WORDS, GRAM = 5, 8, 3
-#: Items are searched in blocks of at most this many characters.
-BLOCK_CHARS = 8_000_000
+REPEATS, BITS, WALKS, SEED = 64, 3, 64, 97
+#: Items under EXACT_WORDS words count only where they stand word for word.
+EXACT_WORDS, GRAM = 8, 3
+#: Items are searched in blocks of at most this many characters, windows embedded in groups of this many places.
+BLOCK_CHARS, GROUP_PLACES = 2_000_000, 300_000
 _WORD = re.compile(r"\w+")
 
 
@@ -73,10 +76,10 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return min(prev[len(b)], far)
 
 
-def end_distances(item: list[int], words: list[int]) -> list[int]:
-    """For each place j of words: the least edit distance of item to any stretch that ends before j, wherever it starts.
+def end_distances(item: list[int], words: list[int], anchored: bool = False) -> list[int]:
+    """For each place j of words: the least edit distance of item to any stretch that ends before j, wherever it starts, or from the first word if anchored.
 
-    Myers' bit-parallel form of the table with a free start, one big integer a column.
+    Myers' bit-parallel form of the table, one big integer a column.
     """
     n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
@@ -91,7 +94,7 @@ def end_distances(item: list[int], words: list[int]) -> list[int]:
         h = (((eq & up) + up) ^ up) | eq
         plus, minus = (down | ~(h | up)) & full, up & h
         d += bool(plus & top) - bool(minus & top)
-        plus, minus = plus << 1, minus << 1
+        plus, minus = plus << 1 | anchored, minus << 1
         up, down = (minus | ~(v | plus)) & full, plus & v & full
         out.append(d)
     return out
@@ -107,47 +110,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def cgk_keys(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(rows, REPEATS) LSH keys of word sequences: samples of their CGK embeddings.
 
-    Rows are padded to one width; only sequences of one length are ever compared. Samples come from
+    Rows are padded to one width; sequences of different length share no key. Samples come from
     the first 2n of 3n steps: beyond, most walks stand past the end and agree by default.
     """
     m, width = rows.shape
     out = np.zeros((m, REPEATS), np.uint64)
     rng = np.random.default_rng(SEED)
-    walks = -(-REPEATS // WALK_TABLES)
     share = rng.random((REPEATS, BITS))
-    walk_of = np.arange(REPEATS) // WALK_TABLES
-    step_seed = rng.integers(1, 1 << 62, size=(2 * width + 1, walks)).astype(np.uint64)
+    walk_of = np.arange(REPEATS) % WALKS
+    step_seed = np.random.default_rng([SEED, 1]).integers(1, 1 << 62, size=2 * width + 1).astype(np.uint64)
     x = np.hstack([np.where(np.arange(width) < lengths[:, None], rows.astype(np.int64), -1), np.full((m, 1), -1)]).astype(np.uint64)
-    for s in range(0, m, 1000):
-        own, n = x[s : s + 1000], lengths[s : s + 1000]
+    spread = x * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(lengths, kind="stable")
+    s = 0
+    while s < m:
+        # As many rows as fit the group with the steps of the longest.
+        e = s + 1
+        while e < m and (e + 1 - s) * 2 * int(lengths[order[e]]) <= GROUP_PLACES:
+            e += 1
+        some = order[s:e]
+        own, mixed, n = x[some], spread[some], lengths[some]
         steps = int(2 * n.max())
         line = np.arange(len(own))[:, None]
-        at = np.zeros((len(own), walks), np.int64)
-        path = np.empty((steps, len(own), walks), np.int16)
+        at = np.zeros((len(own), WALKS), np.int32)
+        path = np.empty((steps, len(own), WALKS), np.int32)
+        walk = np.arange(WALKS, dtype=np.uint64)
         for step in range(steps):
             path[step] = at
             with np.errstate(over="ignore"):
-                bit = _mix(own[line, at] * np.uint64(0x9E3779B97F4A7C15) + step_seed[step])
-            at = np.minimum(at + (bit & np.uint64(1)).astype(np.int64), n[:, None])
-        keys = np.zeros((len(own), REPEATS), np.uint64)
+                bit = (_mix(mixed[line, at] + step_seed[step]) >> walk) & np.uint64(1)
+            at = np.minimum(at + bit.astype(np.int32), n[:, None].astype(np.int32))
+        keys = np.repeat(n.astype(np.uint64)[:, None], REPEATS, axis=1)
         for k in range(BITS):
             place = (share[:, k] * 2 * n[:, None]).astype(np.int64)
             with np.errstate(over="ignore"):
                 keys = _mix(keys * np.uint64(31) + own[line, path[place, line, walk_of]] + np.uint64(1) + np.arange(REPEATS, dtype=np.uint64))
-        out[s : s + 1000] = keys
+        out[some] = keys
+        s = e
     return out
 
 
 class Items:
     """One block of benchmark items, ready to search: vocabulary, word triples and LSH keys."""
 
-    def __init__(self, items: list[tuple[int, str | None]], free_ends: bool = False):
+    def __init__(self, items: list[tuple[int, str | None]]):
         self.vocab: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
+        #: Items too short for a triple, by their words.
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for item_id, text in items:
-            w = words_of(text)
-            if len(w) >= MIN_WORDS:
-                self.items.append((item_id, [self.vocab.setdefault(x, len(self.vocab) + 1) for x in w]))
+            w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text)]
+            if len(w) >= GRAM:
+                self.items.append((item_id, w))
+            elif w:
+                self.short[tuple(w)].append(item_id)
         self.base = len(self.vocab) + 1
         grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
@@ -160,118 +176,143 @@ class Items:
         self.offset_of = np.array([i for r in rows for _, i in r], np.int64)
         self.length = np.array([len(w) for _, w in self.items], np.int64)
         self.bound = np.array([edit_bound(len(w)) for _, w in self.items], np.int64)
-        width = int(self.length.max()) if self.items else 0
-        padded = np.array([w + [-1] * (width - len(w)) for _, w in self.items], np.int64).reshape(len(self.items), width)
-        self.keys = None if free_ends else cgk_keys(padded, self.length)
+        keys = []
+        for at in range(0, len(self.items), 1000):
+            some = self.items[at : at + 1000]
+            width = max(len(w) for _, w in some)
+            keys.append(cgk_keys(np.array([w + [-1] * (width - len(w)) for _, w in some], np.int64), self.length[at : at + 1000]))
+        keys = np.concatenate(keys).ravel() if keys else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.key_item = keys[order], (order // REPEATS).astype(np.int32)
 
     def _code(self, a, b, c):
         return (a * self.base + b) * self.base + c
 
-    def anchors(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text's words, and the items and starts that enough word triples imply.
+    def words(self, text: str | None) -> np.ndarray:
+        """The text's words as numbers of the vocabulary, 0 for others."""
+        get = self.vocab.get
+        return np.array([get(x, 0) for x in words_of(text)], np.int64)
 
-        A stretch within e edits of an item of n words keeps n - 2 - 3e of its word triples, and they
-        imply starts at most 2e apart: starts with fewer triples about them are left out.
-        """
+    def starts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and starts of the item-sized windows that the word triples of w imply."""
         none = np.zeros(0, np.int64)
-        if not len(self.codes) or not text:
-            return none, none, none
-        get = self.vocab.get
-        w = np.array([get(x, 0) for x in _WORD.findall(text.lower())], np.int64)
-        if len(w) < GRAM:
-            return none, none, none
+        if not len(self.codes) or len(w) < GRAM:
+            return none, none
         (known,) = np.nonzero((w[:-2] > 0) & (w[1:-1] > 0) & (w[2:] > 0))
         code = self._code(w[known], w[known + 1], w[known + 2])
         at = np.searchsorted(self.codes, code)
         hit = self.codes[np.minimum(at, len(self.codes) - 1)] == code
         place, at = known[hit], at[hit]
         if not len(place):
-            return none, none, none
+            return none, none
         n = self.first[at + 1] - self.first[at]
         own = np.repeat(np.arange(len(at)), n)
         entry = np.repeat(self.first[at], n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        item, start = self.item_of[entry], place[own] - self.offset_of[entry]
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        line = item * (4 * (len(w) + int(self.length.max()))) + start  # items apart, starts in order
-        slack = 2 * self.bound[item]
-        about = np.searchsorted(line, line + slack, "right") - np.searchsorted(line, line - slack, "left")
-        enough = about >= np.maximum(1, self.length[item] - GRAM + 1 - GRAM * self.bound[item])
-        item, start = np.unique(np.stack([item[enough], start[enough]], axis=1), axis=0).T
-        return w, item, start
-
-    def starts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text's words, and the items and window starts that may match in it: at most e words from the start that a triple implies."""
-        w, item, start = self.anchors(text)
-        if not len(item):
-            return w, item, start
-        reach = 2 * self.bound[item] + 1
-        row = np.repeat(np.arange(len(item)), reach)
-        start = start[row] - self.bound[item[row]] + np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
-        start = np.clip(start, 0, len(w) - 1)
-        tried = np.unique(np.stack([item[row], start], axis=1), axis=0)
-        return w, tried[:, 0], tried[:, 1]
+        size, start = self.length[self.item_of[entry]], place[own] - self.offset_of[entry]
+        return np.unique(np.stack([size, np.clip(start, 0, len(w) - 1)], axis=1), axis=0).T
+
+    def candidates(self, texts: list[str | None], around: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+        """The texts' words, and rows (text, start, item) of windows that share a key with an item.
+
+        around: also windows up to the item's bound before and after the implied starts.
+        """
+        parts = [self.words(t) for t in texts]
+        rows = []
+        for t, w in enumerate(parts):
+            size, start = self.starts(w)
+            if around and len(size):
+                bound = np.where(size < EXACT_WORDS, 0, (MAX_EDIT_SHARE * size).astype(np.int64))
+                reach = 2 * bound + 1
+                row = np.repeat(np.arange(len(size)), reach)
+                start = start[row] - bound[row] + np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
+                size, start = np.unique(np.stack([size[row], np.clip(start, 0, len(w) - 1)], axis=1), axis=0).T
+            rows.append(np.stack([np.full(len(size), t), size, start], axis=1))
+        rows = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        out = [np.zeros((0, 3), np.int64)]
+        at = 0
+        while at < len(rows):
+            some = rows[at : at + max(1, min(4000, GROUP_PLACES // int(rows[at, 1])))]
+            at += len(some)
+            n = some[:, 1]
+            windows = np.full((len(some), int(n.max())), -2, np.int64)
+            for r, (t, size, start) in enumerate(some.tolist()):
+                x = parts[t][start : start + size]
+                windows[r, : len(x)] = x
+            # One embedding for windows of the same words.
+            kinds, back = np.unique(np.column_stack([n, windows]), axis=0, return_inverse=True)
+            keys = cgk_keys(kinds[:, 1:], kinds[:, 0]).ravel()
+            lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            (met,) = np.nonzero(hi > lo)
+            times = hi[met] - lo[met]
+            entry = np.repeat(lo[met], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            pairs = np.unique(np.stack([np.repeat(met // REPEATS, times), self.key_item[entry]], axis=1), axis=0)
+            # Every window of a kind has the kind's candidates.
+            first, last = np.searchsorted(pairs[:, 0], back.ravel(), "left"), np.searchsorted(pairs[:, 0], back.ravel(), "right")
+            times = last - first
+            row = np.repeat(np.arange(len(some)), times)
+            entry = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            out.append(np.stack([some[row, 0], some[row, 2], pairs[entry, 1]], axis=1))
+        found = np.concatenate(out)
+        # A key also holds the length, but may be shared by chance.
+        return parts, found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+
+    def _short(self, w: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item_id, first word, words, 0) wherever an item of fewer than GRAM words stands."""
+        out = []
+        for size in {len(k) for k in self.short}:
+            for at in range(len(w) - size + 1) if len(w) >= size else ():
+                for item_id in self.short.get(tuple(w[at : at + size].tolist()), ()):
+                    out.append((item_id, at, size, 0))
+        return out
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text (item_id, first word, words, distance) of each verified window.
+        """For each text (item_id, first word, words, distance) of each verified window of as many words as the item.
 
         Of windows of one item that overlap the closest is given, the first among equals.
         """
-        parts = [self.starts(t) for t in texts]
-        text_of = np.repeat(np.arange(len(texts)), [len(p[1]) for p in parts])
-        item = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        start = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
+        parts, rows = self.candidates(texts, around=True)
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        for at in range(0, len(item), 20000):
-            k, begin, t = (x[at : at + 20000] for x in (item, start, text_of))
-            n = self.length[k]
-            windows = np.full((len(k), int(n.max())), -2, np.int64)
-            for r in range(len(k)):
-                x = parts[t[r]][0][begin[r] : begin[r] + n[r]]
-                windows[r, : len(x)] = x
-            near = (cgk_keys(windows, n) == self.keys[k]).any(1)
-            for r in np.flatnonzero(near).tolist():
-                size, bound = int(n[r]), int(self.bound[k[r]])
-                d = edit_distance(self.items[k[r]][1], windows[r, :size].tolist(), bound)
-                if d <= bound:
-                    found[t[r]].append((d, int(begin[r]), int(k[r]), min(size, len(parts[t[r]][0]) - int(begin[r]))))
-        return [self._apart(f) for f in found]
+        for t, start, k in rows.tolist():
+            size, bound = int(self.length[k]), int(self.bound[k])
+            window = parts[t][start : start + size].tolist()
+            d = edit_distance(self.items[k][1], window + [-2] * (size - len(window)), bound)
+            if d <= bound:
+                found[t].append((d, start, k, len(window)))
+        return [sorted(self._apart(f) + self._short(w)) for f, w in zip(found, parts, strict=True)]
 
     def search_free(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, first word, words, distance) of each stretch within the bound, of whatever length.
 
-        Every stretch within the bound keeps triples that imply its start, so the regions about the
-        implied starts are all that must be looked at, and the edit distance with free ends finds
-        every match in them. Of stretches of one item that overlap the closest is given, the first
-        among equals.
+        A stretch starts at most as many words from a start that one of its triples implies as the
+        bound has edits, so the region about a candidate window holds it, and the edit distance
+        with free ends finds it there. Of stretches of one item that overlap the closest is given,
+        the first among equals.
         """
-        out = []
-        for text in texts:
-            w, items, starts = self.anchors(text)
-            found: list[tuple[int, int, int, int]] = []
-            regions: list[list[int]] = []
-            for k, s in zip(items.tolist(), starts.tolist(), strict=True):
-                slack = 2 * int(self.bound[k])
-                lo, hi = max(0, s - slack), min(len(w), s + int(self.length[k]) + slack)
-                if regions and regions[-1][0] == k and lo <= regions[-1][2]:
-                    regions[-1][2] = max(hi, regions[-1][2])
-                else:
-                    regions.append([k, lo, hi])
-            for k, lo, hi in regions:
-                own, bound, words = self.items[k][1], int(self.bound[k]), w[lo:hi].tolist()
-                ends = sorted((d, j) for j, d in enumerate(end_distances(own, words)) if d <= bound)
-                taken: list[tuple[int, int]] = []
-                for d, end in ends:
-                    if any(a < end <= b for a, b in taken):
-                        continue
-                    # Of the stretches with this end and distance, the one whose length is closest to the item's.
-                    sizes = sorted(range(max(1, len(own) - d), min(len(own) + d, end) + 1), key=lambda m: abs(m - len(own)))
-                    size = next(m for m in sizes if edit_distance(own, words[end - m : end], d) == d)
-                    if all(end - size >= b or end <= a for a, b in taken):
-                        taken.append((end - size, end))
-                        found.append((self.items[k][0], lo + end - size, size, d))
-            out.append(sorted(found))
-        return out
+        parts, rows = self.candidates(texts)
+        out: list[list[tuple[int, int, int, int]]] = [self._short(w) for w in parts]
+        regions: list[list[int]] = []
+        for t, s, k in rows.tolist():
+            slack = 2 * int(self.bound[k])
+            lo, hi = max(0, s - slack), min(len(parts[t]), s + int(self.length[k]) + slack)
+            if regions and regions[-1][:2] == [t, k] and lo <= regions[-1][3]:
+                regions[-1][3] = max(hi, regions[-1][3])
+            else:
+                regions.append([t, k, lo, hi])
+        for t, k, lo, hi in regions:
+            own, bound, words = self.items[k][1], int(self.bound[k]), parts[t][lo:hi].tolist()
+            ends = sorted((d, j) for j, d in enumerate(end_distances(own, words)) if d <= bound)
+            taken: list[tuple[int, int]] = []
+            for d, end in ends:
+                if any(a < end <= b for a, b in taken):
+                    continue
+                # Of the stretches with this end and distance, the one whose length is closest to the item's.
+                sizes = end_distances(own[::-1], words[max(0, end - len(own) - d) : end][::-1], anchored=True)
+                size = min((m for m, x in enumerate(sizes) if x == d and m), key=lambda m: abs(m - len(own)))
+                if all(end - size >= b or end <= a for a, b in taken):
+                    taken.append((end - size, end))
+                    out[t].append((self.items[k][0], lo + end - size, size, d))
+        return [sorted(x) for x in out]
 
     def _apart(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         out = []
@@ -283,31 +324,39 @@ class Items:
         return sorted(out)
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about block_chars characters. The benchmark is the query set: it is read block by block."""
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about block_chars characters, one after the other: the benchmark is the query set."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(chars) // block_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in sorted(rows.where(part == i).collect())] for i in range(n)]
+    for i in range(n):
+        yield [(r["item_id"], r["text"]) for r in sorted(rows.where(part == i).collect())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, free_ends: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, free_ends: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance): a row for each passage of docs within the edit bound of an item.
 
     A passage has as many words as the item; with ``free_ends`` it may have any number of words.
+    Every item with a word is searched, one under EXACT_WORDS words word for word. A benchmark of
+    several blocks is searched block by block, and a block's matches are written before the next.
 
-    Null texts on either side match nothing; rows of docs with a null doc_id are searched and keep
-    it; repeated documents and items give repeated rows. Empty tables give no rows.
+    Null and empty texts on either side match nothing; rows of docs with a null doc_id are searched
+    and keep it; repeated documents and items give repeated rows. Empty tables give no rows, other
+    columns are ignored.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items(block, free_ends))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    parts: list[DataFrame] = []
+    held = None
+    for block in item_blocks(benchmark, block_chars):
+        if held is not None:
+            parts[-1] = C.materialize(parts[-1], "leaks-block")
+            held.destroy()
+        held = spark.sparkContext.broadcast(Items(block))
+
+        def each(batches: Iterator[pa.RecordBatch], shared=held) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:
                 for at in range(0, b.num_rows, 1000):
@@ -317,8 +366,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, free_ends: bool = False)
                     cols = list(zip(*rows, strict=True)) or [()] * 5
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_word", "n_words", "distance"])
 
-        part = src.mapInArrow(each, "doc_id long, item_id long, first_word long, n_words long, distance long")
-        out = part if out is None else out.unionByName(part)
+        parts.append(src.mapInArrow(each, "doc_id long, item_id long, first_word long, n_words long, distance long"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
