@@ -47,8 +47,8 @@ def test_query_equals_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table([c[0] for c in cur.description], cur.fetchall())
 
 
-def test_every_query_has_sql_but_the_resampled_one():
-    assert set(QUERIES) - set(SQL) == {"cluster_bootstrap"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_bootstrap_interval_holds_the_mean(spark):

@@ -14,7 +14,10 @@ def adjacency(edges: DataFrame, directed: bool = False) -> DataFrame:
 
 
 def open_adjacency(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
-    """Adjacency among available nodes only."""
+    """Adjacency among available nodes only: those whose is_open is set.
+
+    A node is open unless its status is closed or its attribute open is false (see sources.records).
+    """
     ok = nodes.where("is_open").select("graph_id", "node_id")
     adj = adjacency(edges, directed)
     return adj.join(ok.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).join(ok.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"]).select(*adj.columns)
@@ -26,12 +29,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id").join(d, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("n", F.lit(0)).cast("long").alias("degree"))
 
 
-def hop_map(sources: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def hop_map(sources: DataFrame, edges: DataFrame, hops: int, available: DataFrame | None = None) -> DataFrame:
     """(graph_id, source, node_id, depth) of nodes at 1 to hops steps from each source (graph_id, source).
 
-    One self-join a hop; a node found at a smaller depth is not visited again.
+    With available nodes given, steps lead over the open ones among them only. One self-join a hop;
+    a node found at a smaller depth is not visited again.
     """
-    adj = adjacency(edges).select("graph_id", "src", "dst").distinct()
+    adj = (adjacency(edges) if available is None else open_adjacency(available, edges)).select("graph_id", "src", "dst").distinct()
     seen = sources.select("graph_id", "source", F.col("source").alias("node_id"), F.lit(0).alias("depth"))
     for h in range(1, hops + 1):
         front = seen.where(F.col("depth") == h - 1).select("graph_id", "source", F.col("node_id").alias("src"))

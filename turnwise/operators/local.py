@@ -1,12 +1,13 @@
 """Graph questions answered by joins alone: degrees, neighbours, hops, attributes.
 
 Each operator takes the collection's frames and a frame of queries and returns the queries with a
-string ``answer``. A query whose source is not in its graph is ``invalid``.
+string ``answer``. A query whose source is not in its graph is ``invalid``. Queries that differ in
+any of source, attribute, token and hops are answered apart, null tokens included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .adjacency import adjacency, degrees, hop_map
@@ -40,15 +41,28 @@ def edge_exists(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
 link_prediction = edge_exists
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined with right on equal keys, where null equals null; keys of right go."""
+    there = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        # Graph and node ids take part in an equi-join; the others are null-safe equalities.
+        on &= left[k] == there[f"_r_{k}"] if k in ("graph_id", "source", "target") else left[k].eqNullSafe(there[f"_r_{k}"])
+    return left.join(there, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _held(attrs: DataFrame) -> DataFrame:
+    return attrs.select("graph_id", "node_id", F.col("name").alias("attribute"), F.col("token").alias("_own"))
+
+
 def filtered_neighbor_count(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
     """Neighbours whose attribute equals the queried token; parallel edges count apart."""
-    out = queries.select("graph_id", "source", "attribute", "token").distinct()
-    near = out.join(adjacency(edges).withColumnRenamed("src", "source"), ["graph_id", "source"])
-    held = attrs.select("graph_id", F.col("node_id").alias("dst"), F.col("name").alias("attribute"), F.col("token").alias("_own"))
-    near = near.join(held, ["graph_id", "dst", "attribute"], "left").where(F.col("_own").eqNullSafe(F.col("token")))
-    n = near.groupBy("graph_id", "source", "attribute", F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("_n"))
-    both = queries.join(n, ["graph_id", "source", "attribute"], "left").where(F.col("_n").isNull() | F.col("token").eqNullSafe(F.col("_token")))
-    return checked(both, nodes, F.coalesce("_n", F.lit(0)).cast("string")).drop("_n", "_token")
+    keys = ["graph_id", "source", "attribute", "token"]
+    asked = queries.select(*keys).distinct()
+    near = asked.join(adjacency(edges).select("graph_id", F.col("src").alias("source"), F.col("dst").alias("node_id")), ["graph_id", "source"])
+    near = near.join(_held(attrs), ["graph_id", "node_id", "attribute"], "left").where(F.col("_own").eqNullSafe(F.col("token")))
+    n = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return checked(_null_safe(queries, n, keys), nodes, F.coalesce("_n", F.lit(0)).cast("string")).drop("_n")
 
 
 def attribute_lookup(queries: DataFrame, nodes: DataFrame, attrs: DataFrame) -> DataFrame:
@@ -64,37 +78,50 @@ def attribute_check(queries: DataFrame, nodes: DataFrame, attrs: DataFrame) -> D
     return checked(queries.join(own, ["graph_id", "source", "attribute"], "left"), nodes, answer).drop("_own")
 
 
-def _reached(queries: DataFrame, edges: DataFrame, attrs: DataFrame | None, hops: int) -> DataFrame:
-    near = hop_map(queries.select("graph_id", "source").distinct(), edges, hops)
+def _with_hops(queries: DataFrame, hops: int) -> DataFrame:
+    """Queries with their radius _hops: their own hops where they have such a column, 2 for null and 0, else the one given."""
+    own = F.coalesce(F.when(F.col("hops") != 0, F.col("hops")), F.lit(2)) if "hops" in queries.columns else F.lit(hops)
+    return queries.withColumn("_hops", own.cast("int"))
+
+
+def _reached(asked: DataFrame, edges: DataFrame, attrs: DataFrame | None, most: int) -> DataFrame:
+    """asked with each node within its radius; of those the ones with its attribute, if it names one and attrs is given."""
+    near = hop_map(asked.select("graph_id", "source").distinct(), edges, most)
+    near = asked.join(near, ["graph_id", "source"]).where(F.col("depth") <= F.col("_hops"))
     if attrs is None:
         return near
-    keys = queries.select("graph_id", "source", "attribute", "token").distinct()
-    held = attrs.select("graph_id", "node_id", F.col("name").alias("attribute"), F.col("token").alias("_own"))
-    return near.join(keys, ["graph_id", "source"]).join(held, ["graph_id", "node_id", "attribute"], "left").where(F.col("_own").eqNullSafe(F.col("token")))
+    held = near.join(_held(attrs), ["graph_id", "node_id", "attribute"], "left")
+    return held.where(F.col("attribute").isNull() | F.col("_own").eqNullSafe(F.col("token")))
+
+
+def _hop_keys(queries: DataFrame, attrs: DataFrame | None) -> list[str]:
+    return ["graph_id", "source", "_hops"] + (["attribute", "token"] if attrs is not None else [])
+
 
+def within_hops_count(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2, most: int = 3) -> DataFrame:
+    """Nodes at 1 to hops steps, of those the ones with the queried attribute if attrs is given and the query names one.
 
-def within_hops_count(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2) -> DataFrame:
-    """Nodes at 1 to hops steps, of those the ones with the queried attribute if attrs is given."""
-    keys = ["graph_id", "source"] + (["attribute"] if attrs is not None else [])
-    n = _reached(queries, edges, attrs, hops).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return checked(queries.join(n, keys, "left"), nodes, F.coalesce("_n", F.lit(0)).cast("string")).drop("_n")
+    Queries may have hops of their own, up to ``most``.
+    """
+    q, keys = _with_hops(queries, hops), _hop_keys(queries, attrs)
+    n = _reached(q.select(*keys).distinct(), edges, attrs, most if "hops" in queries.columns else hops).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return checked(_null_safe(q, n, keys), nodes, F.coalesce("_n", F.lit(0)).cast("string")).drop("_n", "_hops")
 
 
-def within_hops_list(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2) -> DataFrame:
+def within_hops_list(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2, most: int = 3) -> DataFrame:
     """Labels of the nodes that within_hops_count counts, sorted and joined by comma and space; none if there is none."""
-    keys = ["graph_id", "source"] + (["attribute"] if attrs is not None else [])
-    named = _reached(queries, edges, attrs, hops).join(nodes.select("graph_id", "node_id", "label"), ["graph_id", "node_id"])
+    q, keys = _with_hops(queries, hops), _hop_keys(queries, attrs)
+    named = _reached(q.select(*keys).distinct(), edges, attrs, most if "hops" in queries.columns else hops).join(nodes.select("graph_id", "node_id", "label"), ["graph_id", "node_id"])
     lists = named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("_list"))
-    return checked(queries.join(lists, keys, "left"), nodes, F.coalesce("_list", F.lit("none"))).drop("_list")
+    return checked(_null_safe(q, lists, keys), nodes, F.coalesce("_list", F.lit("none"))).drop("_list", "_hops")
 
 
-def most_common_attribute(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, hops: int = 2) -> DataFrame:
+def most_common_attribute(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, hops: int = 2, most: int = 3) -> DataFrame:
     """The commonest printed value of an attribute within hops, the source included; the smallest among equals; none without values."""
-    keys = queries.select("graph_id", "source", "attribute").distinct()
-    near = hop_map(keys.select("graph_id", "source").distinct(), edges, hops).select("graph_id", "source", "node_id")
-    near = near.unionByName(keys.select("graph_id", "source", F.col("source").alias("node_id")).distinct())
-    held = near.join(keys, ["graph_id", "source"]).join(attrs.withColumnRenamed("name", "attribute"), ["graph_id", "node_id", "attribute"]).where("text is not null")
-    n = held.groupBy("graph_id", "source", "attribute", "text").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("graph_id", "source", "attribute").orderBy(F.desc("n"), "text")
-    top = n.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("graph_id", "source", "attribute", F.col("text").alias("_top"))
-    return checked(queries.join(top, ["graph_id", "source", "attribute"], "left"), nodes, F.coalesce("_top", F.lit("none"))).drop("_top")
+    q, keys = _with_hops(queries, hops), ["graph_id", "source", "_hops", "attribute"]
+    asked = q.select(*keys).distinct()
+    near = _reached(asked, edges, None, most if "hops" in queries.columns else hops).select(*keys, "node_id").unionByName(asked.withColumn("node_id", F.col("source")))
+    held = near.distinct().join(attrs.withColumnRenamed("name", "attribute"), ["graph_id", "node_id", "attribute"]).where("text is not null")
+    n = held.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy(*keys).agg(F.min_by("text", F.struct(-F.col("n"), "text")).alias("_top"))
+    return checked(_null_safe(q, top, keys), nodes, F.coalesce("_top", F.lit("none"))).drop("_top", "_hops")

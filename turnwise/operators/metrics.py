@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,24 +53,57 @@ def paired(rows: DataFrame, left: str, right: str) -> DataFrame:
     return both.select(F.lit(left).alias("left_condition"), F.lit(right).alias("right_condition"), "kind", "n", "delta", "wins", "losses", "ties")
 
 
-def bootstrap(rows: DataFrame, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """(condition, accuracy, low, high): percentile interval from resampling whole sessions.
+#: The chance of at most k events where one is expected, for k from 0 until it is 1 to sixteen digits.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18))
+
 
-    Sessions take Poisson(1) weights drawn from a hash of (seed, replicate, session), which needs no
-    shuffle of the resamples and gives the same draws on every run.
+def draw(seed: int, replicate: Column, key: Column) -> Column:
+    """How often a replicate draws a key: Poisson(1), from the first 13 hexadecimal digits of an MD5.
+
+    Nothing is shuffled to draw, any engine gives the same draws, and so does every run.
     """
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), replicate.cast("string"), key.cast("string")))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    weight = F.lit(0)
+    for p in POISSON:
+        weight = weight + F.when(u >= p, 1).otherwise(0)
+    return weight
+
+
+def bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(condition, accuracy, low, high): percentile interval from resampling whole sessions with Poisson(1) weights."""
     totals = session_totals(rows)
-    draws = totals.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.xxhash64(F.lit(seed), "rep", "session_id").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    weight, step, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        step += term
-        weight = weight + F.when(u > step, 1).otherwise(0)
-        term /= k
-    drawn = draws.withColumn("w", weight).groupBy("condition", "rep").agg(F.sum(F.col("w") * F.col("right")).alias("r"), F.sum(F.col("w") * F.col("turns")).alias("t"))
-    ci = drawn.where("t > 0").groupBy("condition").agg(F.percentile(F.col("r") / F.col("t"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    # A session's weight in a replicate is drawn once for all conditions.
+    weights = totals.select("session_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draw(seed, F.col("rep"), F.col("session_id"))).where("w > 0")
+    drawn = weights.join(totals, "session_id").groupBy("condition", "rep").agg(F.sum(F.col("w") * F.col("right")).alias("r"), F.sum(F.col("w") * F.col("turns")).alias("t"))
+    ci = drawn.groupBy("condition").agg(F.percentile(F.col("r") / F.col("t"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     point = totals.groupBy("condition").agg((F.sum("right") / F.sum("turns")).alias("accuracy"))
-    return point.join(ci, "condition").select("condition", "accuracy", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return point.join(ci, "condition").select("condition", "accuracy", F.round(F.col("p")[0], 9).alias("low"), F.round(F.col("p")[1], 9).alias("high"))
+
+
+def paired_bootstrap(rows: DataFrame, left: str, right: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """(n, sessions, mean_delta, low, high, p_value, wins, losses, ties): accuracy of left less that of right on the same turns, sessions resampled whole.
+
+    p_value is two-sided: twice the smaller share of replicates on either side of zero, at most 1.
+    Without a common turn n is 0 and p_value 1.
+    """
+    key = ["session_id", "turn_index"]
+    a = rows.where(F.col("condition") == left).select(*key, F.col("correct").cast("int").alias("x"))
+    b = rows.where(F.col("condition") == right).groupBy(*key).agg(F.max(F.col("correct").cast("int")).alias("y"))
+    both = a.join(b, key)
+    per = both.groupBy("session_id").agg(F.sum(F.col("x") - F.col("y")).alias("d"), F.count(F.lit(1)).alias("n"))
+    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draw(seed, F.col("rep"), F.col("session_id")))
+    drawn = drawn.groupBy("rep").agg(F.sum(F.col("w") * F.col("d")).alias("d"), F.sum(F.col("w") * F.col("n")).alias("n")).select((F.col("d") / F.greatest("n", F.lit(1))).alias("delta"))
+    many = F.count(F.lit(1))
+    side = F.least(F.count_if(F.col("delta") <= 0) / many, F.count_if(F.col("delta") >= 0) / many)
+    ci = drawn.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.least(F.lit(1.0), 2 * side).alias("p_value"))
+    point = both.agg(
+        many.alias("n"), F.countDistinct("session_id").alias("sessions"), F.coalesce(F.sum(F.col("x") - F.col("y")) / many, F.lit(0.0)).alias("mean_delta"),
+        F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count_if(F.col("x") < F.col("y")).alias("losses"), F.count_if(F.col("x") == F.col("y")).alias("ties"),
+    )
+    zero = F.lit(0.0)
+    out = point.crossJoin(ci)  # one row each
+    return out.select("n", "sessions", "mean_delta", F.coalesce(F.round(F.col("p")[0], 9), zero).alias("low"), F.coalesce(F.round(F.col("p")[1], 9), zero).alias("high"), F.coalesce("p_value", F.lit(1.0)).alias("p_value"), "wins", "losses", "ties")
 
 
 def gate(rows: DataFrame, condition: str, overall: float = 0.7, each: float = 0.5) -> DataFrame:
@@ -85,15 +120,16 @@ def label_audit(answered: DataFrame, top: int = 6) -> DataFrame:
     return out.where(F.col("rank") <= top)
 
 
-def lookup_ladder(answered: DataFrame, levels: list[list[str]], min_support: int = 3) -> DataFrame:
-    """(session_id, turn_index, gold, guess, level): the modal answer of the finest level with enough support.
+def lookup_ladder(learned: DataFrame, scored: DataFrame, levels: list[list[str]], min_support: int = 3) -> DataFrame:
+    """(session_id, turn_index, gold, guess, level): for each scored row the modal learned answer of the finest level with enough support.
 
-    The last level answers whatever its support; ties go to the smaller answer.
+    The last level answers whatever its support; ties go to the smaller answer. Guess and level are
+    null where no level knows the row.
     """
-    out = answered.select("session_id", "turn_index", "gold", *{c: None for lv in levels for c in lv})
+    out = scored.select("session_id", "turn_index", "gold", *{c: None for lv in levels for c in lv})
     found = []
     for i, keys in enumerate(levels):
-        n = answered.groupBy(*keys, "gold").agg(F.count(F.lit(1)).alias("n"))
+        n = learned.groupBy(*keys, "gold").agg(F.count(F.lit(1)).alias("n"))
         mode = n.groupBy(*keys).agg(F.min_by("gold", F.struct(-F.col("n"), "gold")).alias(f"_g{i}"), F.sum("n").alias(f"_n{i}"))
         out = out.join(mode, keys, "left")
         enough = F.col(f"_g{i}").isNotNull() if i == len(levels) - 1 else F.col(f"_n{i}") >= min_support

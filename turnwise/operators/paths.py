@@ -6,14 +6,13 @@ in the shared folder, so plans stay short and a lost executor costs one round at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, linked_components, settle
+from ..shared import discard, linked_components, prepare, settle
 from .adjacency import adjacency, open_adjacency
-from .local import checked
-
-MAX_ROUNDS = 256
+from .local import _held, _null_safe, checked
 
 
 def components(nodes: DataFrame, adj: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,25 +44,27 @@ def reachability(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     return checked(out, nodes, answer).drop("_cs", "_ct")
 
 
-def best_paths(sources: DataFrame, adj: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def best_paths(sources: DataFrame, adj: DataFrame) -> DataFrame:
     """(graph_id, source, node_id, cost, path): least total weight, the lexicographically smallest path among equals.
 
     Each round extends the paths that improved and keeps the smallest (cost, path) of each node;
-    weights are positive, so a best path's beginnings are best paths too.
+    weights are positive, so a best path's beginnings are best paths too, and no path visits a node
+    twice: rounds end with the longest best path.
     """
     near = settle(adj.groupBy("graph_id", "src", "dst").agg(F.min("weight").alias("weight")), "path-edges")
     state = sources.select("graph_id", "source", F.col("source").alias("node_id"), F.struct(F.lit(0.0).alias("cost"), F.array("source").alias("path")).alias("best"), F.lit(True).alias("fresh"))
     state = settle(state, "paths-0")
-    for i in range(1, max_rounds):
+    i = 0
+    while not state.where("fresh").isEmpty():
+        i += 1
         front = state.where("fresh").select("graph_id", "source", F.col("node_id").alias("src"), "best")
         step = front.join(near, ["graph_id", "src"]).where(~F.array_contains("best.path", F.col("dst")))
         step = step.select("graph_id", "source", F.col("dst").alias("node_id"), F.struct((F.col("best.cost") + F.col("weight")).alias("cost"), F.concat("best.path", F.array("dst")).alias("path")).alias("best"))
         both = state.select("graph_id", "source", "node_id", "best", F.col("best").alias("old")).unionByName(step.withColumn("old", F.lit(None).cast(state.schema["best"].dataType)))
-        state = settle(both.groupBy("graph_id", "source", "node_id").agg(F.min("best").alias("best"), F.min("old").alias("old")).select("graph_id", "source", "node_id", "best", (~F.col("best").eqNullSafe(F.col("old"))).alias("fresh")), f"paths-{i}")
-        if state.where("fresh").isEmpty():
-            break
-    else:
-        raise RuntimeError("paths did not settle")
+        new = settle(both.groupBy("graph_id", "source", "node_id").agg(F.min("best").alias("best"), F.min("old").alias("old")).select("graph_id", "source", "node_id", "best", (~F.col("best").eqNullSafe(F.col("old"))).alias("fresh")), f"paths-{i}")
+        discard(state)
+        state = new
+    discard(near)
     return state.select("graph_id", "source", "node_id", "best.cost", "best.path")
 
 
@@ -92,11 +93,22 @@ def path_cost(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
 def filtered_path_count(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
     """Nodes on that path, ends included, whose attribute equals the queried token."""
     found = _query_paths(queries, nodes, edges)
-    on = found.where("path is not null").select("graph_id", "source", "target", "attribute", "token", F.explode("path").alias("node_id"))
-    held = attrs.select("graph_id", "node_id", F.col("name").alias("attribute"), F.col("token").alias("_own"))
-    n = on.join(held, ["graph_id", "node_id", "attribute"], "left").groupBy("graph_id", "source", "target", "attribute").agg(F.count_if(F.col("_own").eqNullSafe(F.col("token"))).alias("_n"))
+    keys = ["graph_id", "source", "target", "attribute", "token"]
+    on = found.where("path is not null").select(*keys, "path").distinct().select(*keys, F.explode("path").alias("node_id"))
+    n = on.join(_held(attrs), ["graph_id", "node_id", "attribute"], "left").groupBy(*keys).agg(F.count_if(F.col("_own").eqNullSafe(F.col("token"))).alias("_n"))
     answer = F.when(F.col("target").isNull(), "invalid").otherwise(F.coalesce(F.col("_n").cast("string"), F.lit("unreachable")))
-    return checked(found.join(n, ["graph_id", "source", "target", "attribute"], "left"), nodes, answer).drop("_n", "cost", "path")
+    return checked(_null_safe(found, n, keys), nodes, answer).drop("_n", "cost", "path")
+
+
+def path_questions(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
+    """queries (query_id, kind and the rest) of the three kinds about best paths with their answers; paths are searched once for all."""
+    found = settle(_query_paths(queries, nodes, edges), "query-paths")
+    n = found.where("path is not null and kind = 'filtered_path_count'").select("query_id", "graph_id", "attribute", "token", F.explode("path").alias("node_id"))
+    n = n.join(_held(attrs), ["graph_id", "node_id", "attribute"], "left").groupBy("query_id").agg(F.count_if(F.col("_own").eqNullSafe(F.col("token"))).alias("_n"))
+    cost = F.when(F.col("cost") == F.floor("cost"), F.col("cost").cast("long").cast("string")).otherwise(F.bround("cost", 2).cast("string"))
+    said = F.when(F.col("kind") == "shortest_path", F.size("path").cast("string")).when(F.col("kind") == "path_cost", cost).otherwise(F.col("_n").cast("string"))
+    answer = F.when(F.col("target").isNull(), "invalid").when(F.col("path").isNull(), "unreachable").otherwise(said)
+    return checked(found.join(n, "query_id", "left"), nodes, answer).drop("_n", "cost", "path")
 
 
 def constrained_reachability(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
@@ -125,40 +137,94 @@ def constrained_reachability(queries: DataFrame, nodes: DataFrame, edges: DataFr
     return checked(out, nodes, answer).drop("_met", "_token")
 
 
+def blocks(edges: DataFrame) -> DataFrame:
+    """(graph_id, block, a, b): the pairs of neighbours a < b of each graph by biconnected block.
+
+    One low-link search a graph, which a task holds whole: graphs of a collection are small, and
+    the work is linear in their edges. Parallel edges count as one, self-loops not at all.
+    """
+    prepare(edges.sparkSession)
+    pairs = edges.where("src <> dst").select("graph_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+    def each(t: pa.Table) -> pa.Table:
+        a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+        number = _block_numbers(a, b)
+        return pa.table([t.column("graph_id"), pa.array(number, pa.int64()), t.column("a"), t.column("b")], names=["graph_id", "block", "a", "b"])
+
+    return pairs.groupBy("graph_id").applyInArrow(each, f"graph_id {pairs.schema['graph_id'].dataType.simpleString()}, block long, a string, b string")
+
+
+def _block_numbers(a: list[str], b: list[str]) -> list[int]:
+    """The block of each edge of a simple graph, by an iterative depth-first search with low links."""
+    near: dict[str, list[tuple[str, int]]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        near.setdefault(x, []).append((y, i))
+        near.setdefault(y, []).append((x, i))
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    out, used, waiting, n = [-1] * len(a), [False] * len(a), [], 0
+    for start in near:
+        if start in seen:
+            continue
+        seen[start] = low[start] = len(seen)
+        walk = [(start, iter(near[start]), -1)]
+        while walk:
+            x, rest, via = walk[-1]
+            for y, i in rest:
+                if used[i]:
+                    continue
+                used[i] = True
+                waiting.append(i)
+                if y in seen:
+                    low[x] = min(low[x], seen[y])
+                else:
+                    seen[y] = low[y] = len(seen)
+                    walk.append((y, iter(near[y]), i))
+                    break
+            else:
+                walk.pop()
+                if walk:
+                    up = walk[-1][0]
+                    low[up] = min(low[up], low[x])
+                    if low[x] >= seen[up]:  # nothing below x reaches above up: a block ends with the edge between them
+                        while True:
+                            i = waiting.pop()
+                            out[i] = n
+                            if i == via:
+                                break
+                        n += 1
+    return out
+
+
 def cycle_membership(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """yes if two different neighbours of the source stay connected without it."""
-    adj = adjacency(edges).select("graph_id", "src", "dst").distinct()
-    asked = queries.select("graph_id", F.col("source").alias("v")).distinct()
-    rest = asked.join(nodes.select("graph_id", "node_id"), "graph_id").where("node_id <> v")
-    comp = components(rest, asked.join(adj, "graph_id").where("src <> v and dst <> v"), ["graph_id", "v"])
-    near = adj.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("node_id"))
-    twice = near.join(comp, ["graph_id", "v", "node_id"]).groupBy("graph_id", "v", "component").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    on = twice.select("graph_id", F.col("v").alias("source"), F.lit(True).alias("_on")).distinct()
+    """yes if two different neighbours of the source stay connected without it: if it lies in a block of two edges or more."""
+    block = blocks(edges)
+    many = block.groupBy("graph_id", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph_id", "block")
+    on = block.join(many, ["graph_id", "block"]).select("graph_id", F.explode(F.array("a", "b")).alias("source")).distinct().withColumn("_on", F.lit(True))
     return checked(queries.join(on, ["graph_id", "source"], "left"), nodes, F.when(F.col("_on"), "yes").otherwise("no")).drop("_on")
 
 
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, a, b): pairs of neighbours that nothing else connects; parallel edges count as one."""
-    pairs = edges.select("graph_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    adj = adjacency(edges).select("graph_id", "src", "dst").distinct()
-    rest = pairs.join(adj, "graph_id").where("not (least(src, dst) = a and greatest(src, dst) = b)")
-    comp = components(pairs.join(nodes.select("graph_id", "node_id"), "graph_id"), rest, ["graph_id", "a", "b"])
-    own = comp.where("node_id = a").select("graph_id", "a", "b", F.col("component").alias("ca")).join(comp.where("node_id = b").select("graph_id", "a", "b", F.col("component").alias("cb")), ["graph_id", "a", "b"])
-    return own.where("ca <> cb").select("graph_id", "a", "b")
+    """(graph_id, a, b): pairs of neighbours that nothing else connects, blocks of one edge; parallel edges count as one."""
+    return blocks(edges).groupBy("graph_id", "block").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").select("graph_id", "a", "b")
 
 
 def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, source, node_id, depth) in steps between all connected pairs of each graph, the source itself at 0."""
+    """(graph_id, source, node_id, depth) in steps between all connected pairs of each graph, the source itself at 0.
+
+    The result is a row a pair, so it is for graphs of bounded size; rounds end with the diameter.
+    """
     adj = settle(adjacency(edges).select("graph_id", "src", "dst").distinct(), "distance-edges")
-    state = settle(nodes.select("graph_id", F.col("node_id").alias("source"), "node_id", F.lit(0).cast("long").alias("depth")), "distance-0")
-    for h in range(1, MAX_ROUNDS):
-        front = state.where(F.col("depth") == h - 1).select("graph_id", "source", F.col("node_id").alias("src"))
-        step = front.join(adj, ["graph_id", "src"]).select("graph_id", "source", F.col("dst").alias("node_id")).distinct()
-        new = settle(step.join(state, ["graph_id", "source", "node_id"], "left_anti").withColumn("depth", F.lit(h).cast("long")), f"distance-{h}")
-        if new.isEmpty():
-            return state
-        state = state.unionByName(new)
-    raise RuntimeError("distances did not settle")
+    front = settle(nodes.select("graph_id", F.col("node_id").alias("source"), "node_id", F.lit(0).cast("long").alias("depth")), "distance-0")
+    state, last, h = front, None, 0
+    while not front.isEmpty():
+        h += 1
+        # A step leads to the depth before, the same, or a new one.
+        step = front.select("graph_id", "source", F.col("node_id").alias("src")).join(adj, ["graph_id", "src"]).select("graph_id", "source", F.col("dst").alias("node_id")).distinct()
+        known = front if last is None else front.unionByName(last)
+        new = settle(step.join(known, ["graph_id", "source", "node_id"], "left_anti").withColumn("depth", F.lit(h).cast("long")), f"distance-{h}")
+        state, last, front = state.unionByName(new), front, new
+    return state
 
 
 def extent(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,24 +1,30 @@
-"""Editing sessions: state as of every turn, and answers under paired conditions.
+"""Editing sessions: what each turn did, the graph as of every turn, and its question on five graphs.
 
-SET, ADD and DEL are idempotent, so the state at a turn is the latest operation on a key up to that
-turn, or the initial state: a keyed last-writer-wins lookup and no fold. Turns of a session are few
-and bounded, so a session's turns are joined with its earlier operations.
+SET, ADD and DEL are idempotent, so a key's state is its last operation, or the initial state. An
+operation that asks for what already holds is not applied; the others alternate, and each holds from
+its turn to the next one's: an interval. A window over a key's own operations gives the intervals,
+and spelling them out gives the graph as of every turn, in work that is linear in what comes out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import tokens as tok
+from ..shared import numbered, settle
 from ..sources.trade import Graphs
-from .adjacency import adjacency
+from . import solve
 
-#: What the turn asks, by turn_index modulo three.
-KINDS = ("edge_exists", "attribute_check", "node_degree")
+#: The families of wording, by session_id modulo three.
+FAMILIES = ("direct", "service", "notice")
 
 
 def resolved(turns: DataFrame, g: Graphs) -> DataFrame:
-    """Turns with the pair (lo, hi) that an ADD or DEL touches: ADD its own ends, DEL one of the graph's initial edges."""
+    """Turns with the pair (lo, hi) that an ADD or DEL touches and its relation: ADD its own ends, DEL one of the graph's initial edges."""
     order = Window.partitionBy("graph_id").orderBy("src", "dst")
     # Graphs are small and bounded in size; a window holds one graph's edges.
     nth = g.edges.select("graph_id", "src", "dst", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
@@ -27,98 +33,264 @@ def resolved(turns: DataFrame, g: Graphs) -> DataFrame:
     t = t.join(nth, ["graph_id", "ordinal"], "left")
     lo = F.when(F.col("op") == "ADD", F.least("a", "b")).when(F.col("op") == "DEL", F.least("src", "dst"))
     hi = F.when(F.col("op") == "ADD", F.greatest("a", "b")).when(F.col("op") == "DEL", F.greatest("src", "dst"))
-    return t.select("session_id", "turn_index", "graph_id", "op", "a", "b", "event_id", lo.alias("lo"), hi.alias("hi"))
+    t = t.select("session_id", "turn_index", "graph_id", "op", "a", "b", "event_id", lo.alias("lo"), hi.alias("hi"))
+    return t.join(line_pairs(g), ["graph_id", "lo", "hi"], "left").select(*t.columns, "relation")
 
 
-def node_state(turns: DataFrame, g: Graphs) -> DataFrame:
-    """(session_id, turn_index, node_id, is_open) of every node a session has SET up to each turn."""
-    sets = turns.where(F.col("op").isin("SET_CLOSED", "SET_OPEN")).select("session_id", F.col("turn_index").alias("at"), F.col("a").alias("node_id"), (F.col("op") == "SET_OPEN").alias("is_open"))
-    up_to = turns.select("session_id", "turn_index").join(sets, "session_id").where("at <= turn_index")
-    return up_to.groupBy("session_id", "turn_index", "node_id").agg(F.max_by("is_open", "at").alias("is_open"))
+def line_pairs(g: Graphs) -> DataFrame:
+    """(graph_id, lo, hi, relation): what an edge between two nodes is called, track on one line and transfer between lines."""
+    line = g.attrs.where("name = 'line'").select("graph_id", "node_id", F.col("text").alias("line"))
+    both = line.toDF("graph_id", "lo", "x").join(line.toDF("graph_id", "hi", "y"), "graph_id").where("lo < hi")
+    return both.select("graph_id", "lo", "hi", F.when(F.col("x") == F.col("y"), "track").otherwise("transfer").alias("relation"))
 
 
-def edge_state(turns: DataFrame) -> DataFrame:
-    """(session_id, turn_index, lo, hi, present) of every pair a session has added or deleted up to each turn."""
-    ops = turns.where(F.col("op").isin("ADD", "DEL")).select("session_id", F.col("turn_index").alias("at"), "lo", "hi", (F.col("op") == "ADD").alias("present"))
-    up_to = turns.select("session_id", "turn_index").join(ops, "session_id").where("at <= turn_index")
-    return up_to.groupBy("session_id", "turn_index", "lo", "hi").agg(F.max_by("present", "at").alias("present"))
+def touched_key(op: Column, a: Column, lo: Column, hi: Column) -> Column:
+    """What an operation touches: n:node, e:lo-hi, or null."""
+    return F.when(op.startswith("SET"), F.concat(F.lit("n:"), a)).when(op.isin("ADD", "DEL"), F.concat(F.lit("e:"), lo, F.lit("-"), hi))
 
 
-def effects(turns: DataFrame, g: Graphs) -> DataFrame:
-    """(session_id, turn_index, op, applied, error): what each edit did to the state before it."""
-    touched = F.when(F.col("op").startswith("SET"), F.concat(F.lit("n:"), F.col("a"))).when(F.col("op").isin("ADD", "DEL"), F.concat_ws("-", F.lit("e:"), "lo", "hi"))
-    goal = F.col("op").isin("SET_OPEN", "ADD")
-    keyed = turns.withColumn("key", touched).withColumn("goal", goal)
-    start_node = g.nodes.select("graph_id", F.col("node_id").alias("a"), F.col("is_open").alias("n0"))
-    start_edge = g.edges.select("graph_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(True).alias("e0")).distinct()
+def _started(turns: DataFrame, g: Graphs) -> DataFrame:
+    """Every operation with its key, the state it asks for, and whether that key held at the start."""
+    keyed = turns.withColumn("key", touched_key(F.col("op"), F.col("a"), F.col("lo"), F.col("hi"))).withColumn("goal", F.col("op").isin("SET_OPEN", "ADD"))
+    start_node = g.nodes.select("graph_id", F.col("node_id").alias("a"), F.col("is_open").alias("_n"))
+    start_edge = g.edges.select("graph_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(True).alias("_e")).distinct()
     keyed = keyed.join(start_node, ["graph_id", "a"], "left").join(start_edge, ["graph_id", "lo", "hi"], "left")
+    begin = F.when(F.col("op").startswith("SET"), F.col("_n")).otherwise(F.coalesce("_e", F.lit(False)))
     was = F.lag("goal").over(Window.partitionBy("session_id", "key").orderBy("turn_index"))
-    begin = F.when(F.col("op").startswith("SET"), F.col("n0")).otherwise(F.coalesce("e0", F.lit(False)))
-    out = keyed.withColumn("before", F.coalesce(was, begin))
+    return keyed.withColumn("begin", begin).withColumn("before", F.coalesce(was, "begin")).drop("_n", "_e")
+
+
+def effects(turns: DataFrame, g: Graphs) -> DataFrame:
+    """(session_id, turn_index, op, applied, error): what each edit did to the state before it."""
+    out = _started(turns, g)
     applied = (F.col("op") != "NOOP") & (F.col("before") != F.col("goal"))
     error = F.when((F.col("op") == "NOOP") | applied, F.lit(None)).when(F.col("op").startswith("SET"), "no_state_change").when(F.col("op") == "ADD", "edge_exists").otherwise("edge_missing")
     return out.select("session_id", "turn_index", "op", F.coalesce(applied, F.lit(False)).alias("applied"), error.alias("error"))
 
 
-def _initial_answer(turns: DataFrame, g: Graphs, graph: str, name: str) -> DataFrame:
-    """Turns with the answer to their question on the unedited graph in column ``graph``."""
-    pair = g.edges.select(F.col("graph_id").alias(graph), F.least("src", "dst").alias("qlo"), F.greatest("src", "dst").alias("qhi"), F.lit(True).alias("_e")).distinct()
-    node = g.nodes.select(F.col("graph_id").alias(graph), F.col("node_id").alias("a"), F.col("is_open").alias("_o"))
-    deg = adjacency(g.edges).groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("_d")).select(F.col("graph_id").alias(graph), F.col("src").alias("a"), "_d")
-    out = turns.join(pair, [graph, "qlo", "qhi"], "left").join(node, [graph, "a"], "left").join(deg, [graph, "a"], "left")
-    answer = F.when(F.col("kind") == KINDS[0], F.when(F.col("_e"), "yes").otherwise("no")).when(F.col("kind") == KINDS[1], F.when(F.col("_o"), "no").otherwise("yes")).otherwise(F.coalesce("_d", F.lit(0)).cast("string"))
-    return out.withColumn(name, answer).drop("_e", "_o", "_d")
+def intervals(turns: DataFrame, g: Graphs) -> DataFrame:
+    """(session_id, key, kind, a, lo, hi, graph_id, begin, on, from_turn, to_turn): each applied operation and the turns its state holds.
+
+    to_turn is the turn of the key's next applied operation, null if it holds to the end.
+    """
+    moved = _started(turns, g).where("op <> 'NOOP' and before <> goal")
+    order = Window.partitionBy("session_id", "key").orderBy("turn_index")
+    first = F.row_number().over(order) == 1
+    return moved.select("session_id", "graph_id", "key", "a", "lo", "hi", "relation", "begin", first.alias("first"), F.col("goal").alias("on"), F.col("turn_index").alias("from_turn"), F.lead("turn_index").over(order).alias("to_turn"))
+
+
+def node_state(turns: DataFrame, g: Graphs) -> DataFrame:
+    """(session_id, node_id, is_open, from_turn, to_turn) of every change of a node's status."""
+    return intervals(turns, g).where("key like 'n:%'").select("session_id", F.col("a").alias("node_id"), F.col("on").alias("is_open"), "from_turn", "to_turn")
+
+
+def edge_state(turns: DataFrame, g: Graphs) -> DataFrame:
+    """(session_id, lo, hi, present, from_turn, to_turn) of every pair that was joined or parted."""
+    return intervals(turns, g).where("key like 'e:%'").select("session_id", "lo", "hi", F.col("on").alias("present"), "from_turn", "to_turn")
+
+
+@dataclass
+class States:
+    """The graph as of every turn: nodes and edges as in Graphs, graph_id naming session and turn, and base the initial graph."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def state_id(session: Column, turn: Column, prefix: str = "") -> Column:
+    return F.concat(F.lit(prefix), session.cast("string"), F.lit(":"), turn.cast("string"))
+
+
+def states(turns: DataFrame, g: Graphs, prefix: str = "") -> States:
+    """The graph after each turn of each session, named ``{prefix}{session}:{turn}``.
+
+    An edge that a session adds has weight 1 and the relation of its pair; one that was there from
+    the start keeps its weight while it holds.
+    """
+    each = turns.select("session_id", "turn_index", "graph_id")
+    last = each.groupBy("session_id", "graph_id").agg((F.max("turn_index") + 1).alias("_end"))
+    moved = intervals(turns, g).join(last.select("session_id", "_end"), "session_id")
+    # Turns at which a key differs from the initial graph, spelt out; and those it holds in a new way.
+    spell = F.explode(F.sequence(F.col("from_turn"), F.coalesce("to_turn", F.col("_end")) - 1)).alias("turn_index")
+    off = moved.where("on <> begin").select("session_id", "key", "a", "lo", "hi", "on", "relation", spell)
+    again = moved.where("on = begin and key like 'e:%' and on").select("session_id", "lo", "hi", "relation", spell)
+    gone = off.where("key like 'e:%' and not on").select("session_id", "turn_index", "lo", "hi")
+    new = off.where("key like 'e:%' and on").select("session_id", "turn_index", "lo", "hi", "relation")
+    start = g.edges.select("graph_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "relation", "weight")
+    kept = each.join(start, "graph_id").join(gone, ["session_id", "turn_index", "lo", "hi"], "left_anti").select("session_id", "turn_index", "lo", "hi", "relation", "weight")
+    # An edge deleted and added again is a new one.
+    renewed = again.withColumn("_new", F.lit(True))
+    kept = kept.join(renewed.drop("relation"), ["session_id", "turn_index", "lo", "hi"], "left").withColumn("weight", F.when(F.col("_new"), F.lit(1.0)).otherwise(F.col("weight"))).drop("_new")
+    both = kept.unionByName(new.withColumn("weight", F.lit(1.0)))
+    edges = both.select(state_id(F.col("session_id"), F.col("turn_index"), prefix).alias("graph_id"), F.col("lo").alias("src"), F.col("hi").alias("dst"), "relation", "weight")
+    flipped = off.where("key like 'n:%'").select("session_id", "turn_index", F.col("a").alias("node_id"), F.col("on").alias("_now"))
+    node = each.join(g.nodes.select("graph_id", "node_id", "label", "is_open"), "graph_id").join(flipped, ["session_id", "turn_index", "node_id"], "left")
+    nodes = node.select(state_id(F.col("session_id"), F.col("turn_index"), prefix).alias("graph_id"), F.col("graph_id").alias("base"), "node_id", "label", F.coalesce("_now", "is_open").alias("is_open"))
+    return States(nodes, edges)
 
 
 def asked(turns: DataFrame) -> DataFrame:
-    """Turns with their question: its kind, and the pair (qlo, qhi) of a and b. attribute_check asks whether a is closed."""
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("turn_index") % 3 + 1).cast("int"))
-    return turns.withColumn("kind", kind).withColumn("qlo", F.least("a", "b")).withColumn("qhi", F.greatest("a", "b"))
-
-
-def answers(turns: DataFrame, g: Graphs) -> DataFrame:
-    """(session_id, turn_index, graph_id, op, kind, gold, stale, shuffled): answers on the state at the turn,
-    on the initial graph, and on the initial graph of the next session."""
-    ring = turns.select("session_id", "graph_id").distinct()
-    # Sessions are numbered in order by one global window over session ids only; rows carry two columns.
-    order = Window.orderBy("session_id")
-    ring = ring.withColumn("other", F.coalesce(F.lead("graph_id").over(order), F.first("graph_id").over(order))).select("session_id", "other")
-    q = asked(turns).join(ring, "session_id")
-    q = _initial_answer(_initial_answer(q, g, "graph_id", "stale"), g, "other", "shuffled")
-    es, ns = edge_state(turns), node_state(turns, g)
-    pair_now = es.select("session_id", "turn_index", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("present").alias("_p"))
-    node_now = ns.select("session_id", "turn_index", F.col("node_id").alias("a"), F.col("is_open").alias("_n"))
-    start = g.edges.select("graph_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(1).alias("_s")).distinct()
-    change = es.join(turns.select("session_id", "graph_id").distinct(), "session_id").join(start, ["graph_id", "lo", "hi"], "left")
-    change = change.withColumn("_delta", F.col("present").cast("int") - F.coalesce("_s", F.lit(0)))
-    change = change.select("session_id", "turn_index", F.explode(F.array("lo", "hi")).alias("a"), "_delta").groupBy("session_id", "turn_index", "a").agg(F.sum("_delta").alias("_delta"))
-    out = q.join(pair_now, ["session_id", "turn_index", "qlo", "qhi"], "left").join(node_now, ["session_id", "turn_index", "a"], "left").join(change, ["session_id", "turn_index", "a"], "left")
-    gold = (
-        F.when(F.col("kind") == KINDS[0], F.when(F.col("_p").isNull(), F.col("stale")).when(F.col("_p"), "yes").otherwise("no"))
-        .when(F.col("kind") == KINDS[1], F.when(F.col("_n").isNull(), F.col("stale")).when(F.col("_n"), "no").otherwise("yes"))
-        .otherwise((F.col("stale").cast("long") + F.coalesce("_delta", F.lit(0))).cast("string"))
+    """Turns with their question: kind, source, target, attribute, value (as text), token, hops.
+
+    All sixteen kinds come by turn; what they ask for comes from the event.
+    """
+    nth = ((F.col("session_id") + F.col("turn_index")) % 16 + 1).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, solve.KINDS)), nth)
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("event_id") % n + 1).cast("int"))
+    hop_kind = F.col("kind").isin("within_hops_count", "within_hops_list")
+    plain = hop_kind & (F.col("event_id") % 4 == 3)
+    filtered = F.col("kind").isin("filtered_neighbor_count", "filtered_path_count", "attribute_check") | (hop_kind & ~plain)
+    avoid, look = F.col("kind") == "constrained_reachability", F.col("kind").isin("most_common_attribute_within_hops", "attribute_lookup")
+    t = turns.withColumn("kind", kind)
+    attribute = F.when(filtered, pick(3, "has_rail", "status", "cleanliness")).when(avoid, pick(2, "has_rail", "status")).when(look, pick(3, "line", "status", "cleanliness"))
+    value = F.when(filtered, pick(3, "True", "closed", "dirty")).when(avoid, pick(2, "False", "closed"))
+    return t.select(
+        *turns.columns, "kind", F.col("a").alias("source"), F.when(F.col("kind").isin(*solve.PAIRS), F.col("b")).alias("target"),
+        attribute.alias("attribute"), value.alias("value"), tok.literal(value)["token"].alias("token"),
+        F.when(F.col("kind").isin("within_hops_count", "within_hops_list", "most_common_attribute_within_hops"), F.col("event_id") % 4).alias("hops"),
     )
-    return out.select("session_id", "turn_index", "graph_id", "op", "kind", gold.alias("gold"), "stale", "shuffled")
 
 
-def majority_prior(answered: DataFrame) -> DataFrame:
-    """(kind, prior): the commonest gold answer of each kind, the smallest among equals."""
-    n = answered.groupBy("kind", "gold").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("kind").agg(F.max(F.struct("n", F.lit(0))).alias("_"), F.min_by("gold", F.struct(-F.col("n"), "gold")).alias("prior")).select("kind", "prior")
-
-
-def evaluation_rows(answered: DataFrame) -> DataFrame:
-    """(session_id, turn_index, condition, kind, gold, predicted, correct, stale): a row for each turn and condition."""
-    prior = majority_prior(answered)
-    both = answered.join(F.broadcast(prior), "kind")  # one row a kind of question
-    said = F.array(*[
-        F.struct(F.lit(name).alias("condition"), value.alias("predicted"))
-        for name, value in (
-            ("tool_solver", F.col("gold")), ("oracle_updated_graph", F.col("gold")), ("stale_answer", F.col("stale")), ("frozen_graph_history", F.col("stale")),
-            ("shuffled_graph", F.col("shuffled")), ("majority_answer", F.col("prior")), ("question_only", F.lit(None).cast("string")),
+def utterances(turns: DataFrame, g: Graphs) -> DataFrame:
+    """Turns with family and utterance: what a user says to ask for the edit, in one of three families of wording."""
+    label = g.nodes.select("graph_id", "node_id", "label")
+    t = turns.withColumn("family", F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("session_id") % 3 + 1).cast("int")))
+    # A DEL names the stored ends, an ADD the ends as they were given.
+    one, two = (F.when(F.col("op") == "DEL", F.col(p)).otherwise(F.col(e)) for p, e in (("lo", "a"), ("hi", "b")))
+    t = t.withColumn("_x", one).withColumn("_y", two)
+    t = t.join(label.toDF("graph_id", "_x", "x"), ["graph_id", "_x"], "left").join(label.toDF("graph_id", "_y", "y"), ["graph_id", "_y"], "left")
+    return t.select(*turns.columns, "family", tx.utterance(F.col("op"), F.col("family"), F.col("x"), F.col("y"), F.col("relation"), F.col("event_id") % 3).alias("utterance"))
+
+
+def predicted_edits(said: DataFrame, g: Graphs) -> DataFrame:
+    """Turns with the edit that the wording alone suggests, in op, a, b, lo, hi and relation: NOOP where it suggests none.
+
+    A closing or an opening word together with a node's label sets that node, the first in node
+    order among several; else the utterance is read as an edit text, with labels for names.
+    """
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("nk", "node_id", F.lower("label").alias("label")))), lambda x: F.struct(x.node_id.alias("node_id"), x.label.alias("label")))
+    table = g.nodes.groupBy("graph_id").agg(in_order.alias("_nodes"))
+    table = settle(table.withColumn("_names", F.map_from_entries(F.transform("_nodes", lambda x: F.struct(x.label, x.node_id)))), "names")
+    low = F.lower(F.regexp_replace(tx.stripped(F.col("utterance")), r"\.+$", ""))
+    status = F.when(low.rlike("closed|suspended"), "closed").when(low.rlike("open|reopened|resumed"), "open")
+    hit = F.try_element_at(F.filter("_nodes", lambda x: F.contains(low, x.label)), F.lit(1))["node_id"]
+    t = said.join(table, "graph_id").withColumn("_hit", F.when(status.isNotNull(), hit)).withColumn("_status", status)
+    t = t.withColumn("_e", tx.parse_edit(F.regexp_replace(tx.stripped(F.col("utterance")), r"\.+$", ""), F.col("_names")))
+    edge = F.col("_hit").isNull() & (F.col("_e.target") == "EDGE") & (F.col("_e.first") != F.col("_e.second"))
+    op = F.when(F.col("_hit").isNotNull(), F.when(F.col("_status") == "closed", "SET_CLOSED").otherwise("SET_OPEN")).when(edge, F.col("_e.operation")).otherwise("NOOP")
+    out = t.withColumn("_op", op).withColumn("_a", F.coalesce("_hit", F.when(edge, F.col("_e.first")), "a")).withColumn("_b", F.coalesce(F.when(edge, F.col("_e.second")), "b"))
+    lo, hi = F.when(edge, F.least("_a", "_b")), F.when(edge, F.greatest("_a", "_b"))
+    cols = {"op": F.col("_op"), "a": F.col("_a"), "b": F.col("_b"), "lo": lo, "hi": hi, "relation": F.when(edge, F.col("_e.relation"))}
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in said.columns])
+
+
+def session_ring(turns: DataFrame) -> DataFrame:
+    """(session_id, other): the initial graph of the next session, in order of id; the last takes the first's."""
+    ring = numbered(turns.select("session_id", "graph_id").distinct(), ["session_id"], "_no")
+    n = ring.agg(F.count(F.lit(1)).alias("_n"))
+    after = ring.crossJoin(n).select(F.pmod(F.col("_no") - 1, F.col("_n")).alias("_no"), F.col("graph_id").alias("other"))
+    return ring.join(after, "_no").select("session_id", "other")
+
+
+def _status_attrs(nodes: DataFrame) -> DataFrame:
+    status = F.when(F.col("is_open"), "open").otherwise("closed")
+    return nodes.select("graph_id", "node_id", F.lit("status").alias("name"), tok.string_token(status).alias("token"), status.alias("text"))
+
+
+def answers(turns: DataFrame, g: Graphs, after: States, guessed: States) -> DataFrame:
+    """(session_id, turn_index, graph_id, op, kind, gold, stale, initial, shuffled, predicted): the turn's question on five graphs.
+
+    gold on the graph after the turn, stale on the one before it, initial on the session's first
+    graph, shuffled on the next session's first graph, and predicted on the graph that predicted
+    edits have made. One dispatch answers all five.
+    """
+    q = asked(turns).join(session_ring(turns), "session_id")
+    sid, turn = F.col("session_id"), F.col("turn_index")
+    where = F.array(*[
+        F.struct(F.lit(name).alias("role"), at.alias("at"))
+        for name, at in (
+            ("gold", state_id(sid, turn)), ("stale", F.when(turn == 0, F.col("graph_id")).otherwise(state_id(sid, turn - 1))),
+            ("initial", F.col("graph_id")), ("shuffled", F.col("other")), ("predicted", state_id(sid, turn, "p")),
         )
     ])
-    rows = both.select("session_id", "turn_index", "kind", "gold", "stale", F.explode(said).alias("s"))
-    correct = F.coalesce(F.col("s.predicted") == F.col("gold"), F.lit(False))
-    is_stale = F.coalesce((F.col("s.predicted") == F.col("stale")) & (F.col("stale") != F.col("gold")), F.lit(False))
-    return rows.select("session_id", "turn_index", F.col("s.condition").alias("condition"), "kind", "gold", F.col("s.predicted").alias("predicted"), correct.alias("correct"), is_stale.alias("stale"))
+    base = F.when(F.col("w.role") == "shuffled", F.col("other")).otherwise(F.col("graph_id"))
+    each = q.select("session_id", "turn_index", "kind", "source", "target", "attribute", "token", "hops", F.explode(where).alias("w"), "graph_id", "other")
+    each = settle(each.select(F.concat_ws("/", state_id(sid, turn), "w.role").alias("query_id"), F.col("w.at").alias("graph_id"), base.alias("base"), "kind", "source", "target", "attribute", "token", "hops"), "session-queries")
+    nodes = g.nodes.select("graph_id", F.col("graph_id").alias("base"), "node_id", "label", "is_open").unionByName(after.nodes).unionByName(guessed.nodes)
+    edges = g.edges.select("graph_id", "src", "dst", "relation", "weight").unionByName(after.edges).unionByName(guessed.edges)
+    # Of the attributes only the status differs between the states of a graph; the others are looked up where they are asked for.
+    fixed = each.where("attribute is not null and attribute <> 'status'").select("graph_id", "base", F.col("attribute").alias("name")).distinct()
+    fixed = fixed.join(g.attrs.withColumnRenamed("graph_id", "base"), ["base", "name"]).select("graph_id", "node_id", "name", "token", "text")
+    nodes = settle(nodes, "all-nodes")
+    attrs = settle(fixed.unionByName(_status_attrs(nodes)), "all-attributes")
+    edges = settle(edges, "all-edges")
+    said = solve.answer_queries(each.drop("base"), nodes, edges, attrs)
+    said = said.select(F.split("query_id", "/")[0].alias("_id"), F.split("query_id", "/")[1].alias("role"), "answer")
+    roles = ["gold", "stale", "initial", "shuffled", "predicted"]
+    wide = said.groupBy("_id").agg(*[F.max(F.when(F.col("role") == r, F.col("answer"))).alias(r) for r in roles])
+    return q.withColumn("_id", state_id(sid, turn)).join(wide, "_id").select("session_id", "turn_index", "graph_id", "op", "kind", *roles)
+
+
+def majority_prior(answered: DataFrame) -> DataFrame:
+    """(kind, prior): the commonest gold answer of each kind in the sessions to learn from, the smallest among equals."""
+    n = answered.where(learns()).groupBy("kind", "gold").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("kind").agg(F.min_by("gold", F.struct(-F.col("n"), "gold")).alias("prior"))
+
+
+def learns() -> Column:
+    """Whether a session is one to learn priors from; the others are scored."""
+    return F.col("session_id") % 2 == 0
+
+
+#: The sixteen conditions, with the answer each gives.
+CONDITIONS = {
+    "question_only": None, "frozen_graph_history": "initial", "graph_once_then_text": "initial", "shuffled_graph": "shuffled", "oracle_updated_graph": "gold_state",
+    "predicted_updated_graph": "predicted", "serialized_initial_history": "gold_state", "token_matched_history": "gold_state", "serialized_current_graph": "gold_state",
+    "tool_solver": "gold_state", "soft_prompt": "gold_state", "soft_prompt_no_history": "gold_state", "structure_only": None, "modify_and_print": "gold_state",
+    "stale_answer": "stale", "majority_answer": "prior",
+}
+
+
+def evaluation_rows(answered: DataFrame, labels: DataFrame, writes: DataFrame) -> DataFrame:
+    """(session_id, turn_index, condition, kind, gold, stale_answer, predicted, correct, stale, edit_correct, state_exact): a row for each scored turn and condition.
+
+    answered holds what the solvers say on the graphs of each turn; labels (session_id, turn_index,
+    gold, stale) are stored apart, and answers are scored against them. writes (session_id,
+    turn_index, edit_correct, state_exact) says how the predicted edit and state did. stale marks
+    every answer that matches the label before the edit.
+    """
+    held = answered.select("session_id", "turn_index", "kind", F.col("gold").alias("gold_state"), "initial", "shuffled", "predicted")
+    both = labels.where(~learns()).select("session_id", "turn_index", F.col("gold").alias("label"), F.col("stale").alias("stale")).join(held, ["session_id", "turn_index"])
+    both = both.join(majority_prior(answered), "kind", "left").join(writes, ["session_id", "turn_index"], "left")
+    said = F.array(*[F.struct(F.lit(k).alias("condition"), (F.col(v) if v else F.lit(None).cast("string")).alias("raw")) for k, v in CONDITIONS.items()])
+    rows = both.select("session_id", "turn_index", "kind", "label", F.col("stale").alias("was"), "edit_correct", "state_exact", F.explode(said).alias("s"))
+    rows = rows.select("*", tx.normalize_answer(F.col("label")).alias("gold"), tx.normalize_answer(F.col("was")).alias("stale_answer"), tx.normalize_answer(F.col("s.raw")).alias("predicted"))
+    from_edits = F.col("s.condition") == "predicted_updated_graph"
+    return rows.select(
+        "session_id", "turn_index", F.col("s.condition").alias("condition"), "kind", "gold", "stale_answer", "predicted",
+        tx.normalized_match(F.col("kind"), F.col("gold"), F.col("predicted")).alias("correct"), tx.normalized_match(F.col("kind"), F.col("stale_answer"), F.col("predicted")).alias("stale"),
+        F.when(from_edits, F.col("edit_correct")).alias("edit_correct"), F.when(from_edits, F.col("state_exact")).otherwise(True).alias("state_exact"),
+    )
+
+
+def writes(turns: DataFrame, guessed: DataFrame, after: States, after_guess: States) -> DataFrame:
+    """(session_id, turn_index, op, said_op, edit_correct, state_exact): how the predicted edit and the state it leads to did.
+
+    An edit is correct if it equals the turn's field by field; no edit equals none, not even NOOP. A
+    state is exact if the same nodes are closed and the same pairs joined as in the turn's own.
+    """
+    p = guessed.select("session_id", "turn_index", *[F.col(c).alias(f"_{c}") for c in ("op", "a", "b", "relation")])
+    ends = F.when(F.col("op") == "DEL", F.concat_ws("-", "lo", "hi")).otherwise(F.concat_ws("-", "a", "b"))
+    set_right = F.col("op").startswith("SET") & (F.col("a") == F.col("_a"))
+    edge_right = F.col("op").isin("ADD", "DEL") & (ends == F.concat_ws("-", "_a", "_b")) & F.col("relation").eqNullSafe(F.col("_relation"))
+    right = (F.col("op") == F.col("_op")) & (set_right | edge_right)
+    marks = []
+    for s, prefix in ((after, ""), (after_guess, "p")):
+        # Sums of hashes tell sets of closed nodes and of pairs apart without gathering a graph.
+        shut = s.nodes.where("not is_open").select("graph_id", F.xxhash64(F.lit("n"), "node_id").alias("h"))
+        joined = s.edges.select("graph_id", F.xxhash64(F.lit("e"), F.least("src", "dst"), F.greatest("src", "dst")).alias("h"))
+        both = shut.unionByName(joined).groupBy("graph_id").agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("n"))
+        marks.append(both.select(F.substring("graph_id", len(prefix) + 1, 100).alias("_id"), F.struct("x", "y", "n").alias(f"mark{prefix}")))
+    out = turns.join(p, ["session_id", "turn_index"]).withColumn("_id", state_id(F.col("session_id"), F.col("turn_index")))
+    out = out.join(marks[0], "_id", "left").join(marks[1], "_id", "left")
+    return out.select("session_id", "turn_index", "op", F.col("_op").alias("said_op"), F.coalesce(right, F.lit(False)).alias("edit_correct"), F.col("mark").eqNullSafe(F.col("markp")).alias("state_exact"))

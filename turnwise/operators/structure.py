@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .adjacency import adjacency, degrees, hop_map
@@ -97,3 +97,18 @@ def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, value: DataFrame) ->
     out = nodes.select("graph_id", "node_id").join(agg, ["graph_id", "node_id"], "left")
     zero = F.lit(0.0)
     return out.select("graph_id", "node_id", F.coalesce("s", zero).alias("sum"), (F.coalesce("s", zero) / F.greatest(F.coalesce("w", zero), F.lit(1.0))).alias("mean"), F.coalesce("m", zero).alias("max"))
+
+
+def ring_pairs(edges: DataFrame) -> DataFrame:
+    """(graph_id, a, b, joined): pairs a < b two steps apart over a common neighbour, and whether an edge joins them too."""
+    near = common_neighbors(edges)
+    pairs = edges.select("graph_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(True).alias("_e")).distinct()
+    return near.join(pairs, ["graph_id", "a", "b"], "left").select("graph_id", "a", "b", F.coalesce("_e", F.lit(False)).alias("joined"))
+
+
+def tensor_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, row, src_row, dst_row, weight): both directions of every edge by the places of their ends in order of id, sorted."""
+    place = nodes.select("graph_id", "node_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("node_id")) - 1).cast("long").alias("at"))
+    both = adjacency(edges).join(place.toDF("graph_id", "src", "src_row"), ["graph_id", "src"]).join(place.toDF("graph_id", "dst", "dst_row"), ["graph_id", "dst"])
+    order = Window.partitionBy("graph_id").orderBy("src_row", "dst_row", "relation", "weight")
+    return both.select("graph_id", (F.row_number().over(order) - 1).cast("long").alias("row"), "src_row", "dst_row", "weight")

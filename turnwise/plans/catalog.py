@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.tokens import literal_token
 from ..operators import adjacency as adj
-from ..operators import local, metrics, paths, structure
+from ..operators import corpus, graph_text, local, metrics, paths, reports, structure
 from ..operators import sessions as ses
-from ..shared import settle
-from ..sources import trade
+from ..shared import once
+from ..sources import records, trade
 
 Query = Callable[[SparkSession, str], DataFrame]
 ANSWER = ["graph_id", "source", "answer"]
@@ -28,30 +28,72 @@ def _with_attribute(q: DataFrame, name: str, value) -> DataFrame:
     return q.withColumn("attribute", F.lit(name)).withColumn("token", F.lit(literal_token(value)))
 
 
-def _graphs(spark: SparkSession, d: str, k: int = 1) -> trade.Graphs:
-    """The trade graphs, with the edges written once: operators read them several times."""
-    g = trade.trade_graphs(spark, d, k)
-    return trade.Graphs(g.nodes, settle(g.edges, "edges"), g.attrs)
+def _two_tokens(q: DataFrame, name: str, one, two) -> DataFrame:
+    """Every query twice, with either token of one attribute."""
+    return _with_attribute(q, name, one).unionByName(_with_attribute(q, name, two))
 
 
 def _graph_query(f: Callable[[trade.Graphs], DataFrame], k: int = 1) -> Query:
-    return lambda spark, d: f(_graphs(spark, d, k))
+    return lambda spark, d: f(trade.trade_graphs(spark, d, k))
 
 
-def _session_query(f: Callable[[DataFrame, trade.Graphs], DataFrame]) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        g = _graphs(spark, d)
-        return f(settle(ses.resolved(trade.sessions(spark, d), g), "turns"), g)
+class Sessions:
+    """The tables about an input folder's sessions, each settled the first time it is asked for."""
 
-    return run
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d, self.graphs = spark, d, trade.trade_graphs(spark, d, 1)
 
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return once(self.spark, self.d, name, build)
 
-def _rows_query(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return _session_query(lambda t, g: f(ses.evaluation_rows(settle(ses.answers(t, g), "answers"))))
+    @property
+    def turns(self) -> DataFrame:
+        return self._once("turns", lambda: ses.resolved(trade.sessions(self.spark, self.d), self.graphs))
 
+    @property
+    def said(self) -> DataFrame:
+        return self._once("utterances", lambda: ses.utterances(self.turns, self.graphs))
 
-def _answers_query(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return _session_query(lambda t, g: f(ses.answers(t, g)))
+    @property
+    def guessed(self) -> DataFrame:
+        return self._once("predicted-edits", lambda: ses.predicted_edits(self.said, self.graphs))
+
+    def _states(self, turns: DataFrame, prefix: str) -> ses.States:
+        s = ses.states(turns, self.graphs, prefix)
+        return ses.States(self._once(f"{prefix}state-nodes", lambda: s.nodes), self._once(f"{prefix}state-edges", lambda: s.edges))
+
+    @property
+    def after(self) -> ses.States:
+        return self._states(self.turns, "")
+
+    @property
+    def after_guess(self) -> ses.States:
+        return self._states(self.guessed, "p")
+
+    @property
+    def answers(self) -> DataFrame:
+        return self._once("answers", lambda: ses.answers(self.turns, self.graphs, self.after, self.after_guess))
+
+    @property
+    def writes(self) -> DataFrame:
+        return self._once("writes", lambda: ses.writes(self.turns, self.guessed, self.after, self.after_guess))
+
+    @property
+    def rows(self) -> DataFrame:
+        labels = records.round_trip(self.answers.select("session_id", "turn_index", "gold", "stale"), "labels")
+        return self._once("rows", lambda: ses.evaluation_rows(self.answers, labels, self.writes))
+
+    @property
+    def ladder(self) -> DataFrame:
+        return self._once("ladder", lambda: metrics.lookup_ladder(self.answers.where(ses.learns()), self.answers.where(~ses.learns()), [["kind", "op", "stale"], ["kind", "stale"], ["kind"]]))
+
+    @property
+    def dimensions(self) -> DataFrame:
+        return self._once("dimensions", lambda: reports.turn_dimensions(ses.asked(self.turns), self.said, self.answers))
+
+
+def _session_query(f: Callable[[Sessions], DataFrame]) -> Query:
+    return lambda spark, d: f(Sessions(spark, d))
 
 
 def _dialogue(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +101,7 @@ def _dialogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _history_text(spark: SparkSession, d: str) -> DataFrame:
-    return tx.history(_dialogue(spark, d), "conv_id", "turn", "text", 3).select("conv_id", "turn", "history")
+    return tx.history(_dialogue(spark, d), "conv_id", "turn", "text").select("conv_id", "turn", "history")
 
 
 def _token_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -69,66 +111,71 @@ def _token_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def _set_f1(spark: SparkSession, d: str) -> DataFrame:
     t = _dialogue(spark, d)
-    listed = F.array_join(F.slice(tx.words(F.col("text")), 1, 12), ",")
+    listed = F.array_join(tx.words(F.col("text")), ",")
     a = t.where("role = 'user'").select("conv_id", "turn", listed.alias("x"))
     b = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), listed.alias("y"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", tx.set_f1(F.col("x"), F.col("y")).alias("f1"))
 
 
+def _normalized(spark: SparkSession, d: str) -> DataFrame:
+    t = _dialogue(spark, d)
+    return t.select("conv_id", "turn", tx.normalize_answer(F.col("text")).alias("answer"))
+
+
 def _pooled_mean(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").where("label is not null")
     dims = e.select("label", F.posexplode("embedding").alias("dim", "x"))
     return dims.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-def _programs(t: DataFrame) -> DataFrame:
+def _programs(s: Sessions) -> DataFrame:
     """(session_id, program): each session's edits as one program text."""
-    edit = tx.canonical_edit(F.col("op"), F.coalesce(F.when(F.col("op") == "DEL", F.col("lo")), F.col("a")), F.coalesce(F.when(F.col("op") == "DEL", F.col("hi")), F.col("b")))
-    listed = t.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", edit.alias("edit")))).alias("edits"))
-    return listed.select("session_id", F.concat(F.array_join(F.transform("edits", lambda e: e.edit), " ; "), F.lit(" ; END")).alias("program"))
-
-
-def _parsed(t: DataFrame) -> DataFrame:
-    p = _programs(t).select("session_id", F.posexplode(tx.program_edits(F.col("program"))).alias("pos", "edit"))
+    op = F.col("op")
+    operation = F.when(op.startswith("SET"), "SET").otherwise(op)
+    edit = tx.canonical_edit(
+        operation, F.when(op.startswith("SET"), "NODE").when(op.isin("ADD", "DEL"), "EDGE"),
+        F.when(op == "DEL", F.col("lo")).otherwise(F.col("a")), F.when(op == "DEL", F.col("hi")).otherwise(F.col("b")),
+        F.when(op.startswith("SET"), "status"), F.when(op == "SET_CLOSED", "closed").when(op == "SET_OPEN", "open"), F.lit(None).cast("string"), F.col("relation"),
+    )
+    listed = s.turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", edit.alias("edit")))).alias("edits"))
+    return listed.select("session_id", tx.program_text(F.transform("edits", lambda e: e.edit)).alias("program"))
+
+
+def _parsed(s: Sessions) -> DataFrame:
+    p = _programs(s).select("session_id", F.posexplode(tx.program_edits(F.col("program"))).alias("pos", "edit"))
     return p.select("session_id", F.col("pos").cast("long").alias("pos"), tx.parse_edit(F.col("edit")).alias("e")).select("session_id", "pos", "e.*")
 
 
-def _equivalence(t: DataFrame) -> DataFrame:
+def _equivalence(s: Sessions) -> DataFrame:
     """Whether each edit program equals that of the session numbered one higher, field by field and in order."""
-    fields = F.struct("pos", "operation", "target", "first", "second", "attribute", "value")
-    whole = _parsed(t).groupBy("session_id").agg(F.array_sort(F.collect_list(fields)).alias("edits"))
+    fields = F.struct("pos", "operation", "target", "first", "second", "attribute", "value", "relation")
+    whole = _parsed(s).groupBy("session_id").agg(F.array_sort(F.collect_list(fields)).alias("edits"))
     other = whole.select((F.col("session_id") - 1).alias("session_id"), F.col("edits").alias("others"))
     return whole.join(other, "session_id").select("session_id", F.size("edits").cast("long").alias("n"), F.col("edits").eqNullSafe(F.col("others")).alias("equal"))
 
 
-def _mentions(t: DataFrame) -> DataFrame:
-    q = ses.asked(t)
-    touched = F.when(F.col("op").startswith("SET"), F.array("a")).when(F.col("op").isin("ADD", "DEL"), F.array("lo", "hi")).otherwise(F.array().cast("array<string>"))
-    asks = F.when(F.col("kind") == "edge_exists", F.array("a", "b")).otherwise(F.array("a"))
-    return q.select("session_id", "turn_index", F.coalesce(F.arrays_overlap(touched, asks), F.lit(False)).alias("mentions"))
-
+def _op_sets(s: Sessions) -> DataFrame:
+    t = s.turns.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("op")), "+").alias("ops"), F.count(F.lit(1)).alias("turns"))
+    return t.groupBy("ops").agg(F.count(F.lit(1)).alias("sessions"), F.sum("turns").alias("turns"))
 
-def _slices(t: DataFrame, g: trade.Graphs) -> DataFrame:
-    """Accuracy of the stale answer on named slices of the turns."""
-    rows = ses.evaluation_rows(ses.answers(t, g)).where("condition = 'stale_answer'").join(_mentions(t), ["session_id", "turn_index"])
-    flags = {"all": F.lit(True), "mentions_edit": F.col("mentions"), "no_mention": ~F.col("mentions"), "early": F.col("turn_index") < 4, "late": F.col("turn_index") >= 4, "yes_no": F.col("gold").isin("yes", "no")}
-    named = F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()])
-    out = rows.select("session_id", "correct", "stale", F.explode(named).alias("slice")).where("slice is not null")
-    return metrics.rates(out, ["slice"])
 
+def _asked_before(s: Sessions) -> DataFrame:
+    """Whether a turn's question had been asked before in its session: whether it is not the first of its kind there."""
+    q = ses.asked(s.turns).withColumn("q", F.concat_ws("|", "kind", "source", F.coalesce("target", F.lit("")), F.coalesce("attribute", F.lit("")), F.coalesce("value", F.lit("")), F.coalesce("hops", F.lit(-1))))
+    first = Window.partitionBy("session_id", "q").orderBy("turn_index")
+    return q.select("session_id", "turn_index", (F.row_number().over(first) > 1).alias("asked_before"))
 
-def _op_sets(t: DataFrame) -> DataFrame:
-    s = t.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("op")), "+").alias("ops"), F.count(F.lit(1)).alias("turns"))
-    return s.groupBy("ops").agg(F.count(F.lit(1)).alias("sessions"), F.sum("turns").alias("turns"))
 
+def _damaged(text) -> F.Column:
+    """An edit text with a fault that depends on its place: none, a word too few, an unknown operation, a SET of an edge."""
+    n = F.col("pos") % 4
+    return F.when(n == 1, F.regexp_replace(text, r" \S+$", "")).when(n == 2, F.concat(F.lit("X"), text)).when(n == 3, F.regexp_replace(text, "^(ADD|DEL) EDGE", "SET EDGE")).otherwise(text)
 
-def _revisited(t: DataFrame, g: trade.Graphs) -> DataFrame:
-    """Whether a turn's question had been asked before in its session."""
-    from pyspark.sql import Window
 
-    q = ses.asked(t).withColumn("q", F.concat_ws("|", "kind", "a", F.when(F.col("kind") == "edge_exists", F.col("b")).otherwise("")))
-    before = F.collect_set("q").over(Window.partitionBy("session_id").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, -1))
-    return q.select("session_id", "turn_index", F.array_contains(before, F.col("q")).alias("asked_before"))
+def _malformed(s: Sessions) -> DataFrame:
+    p = _programs(s).select("session_id", F.posexplode(tx.program_edits(F.col("program"))).alias("pos", "edit"))
+    e = p.select("session_id", F.col("pos").cast("long").alias("pos"), tx.parse_edit(_damaged(F.col("edit"))).alias("e"))
+    return e.select("session_id", "pos", "e.operation", "e.error")
 
 
 def _degree_value(g: trade.Graphs) -> DataFrame:
@@ -169,29 +216,78 @@ def queries() -> dict[str, Query]:
         "state_key": gq(lambda g: structure.state_key(g.nodes, g.edges)),
         "neighborhood_hash": gq(lambda g: structure.neighborhood_hash(g.nodes, g.edges, g.attrs)),
         "neighbor_aggregate": gq(lambda g: structure.neighbor_aggregate(g.nodes, g.edges, _degree_value(g))),
-        "session_edits": _session_query(lambda t, g: t.select("session_id", "turn_index", "graph_id", "op", "a", "b", "lo", "hi")),
-        "edit_effects": _session_query(ses.effects),
-        "session_node_state": _session_query(ses.node_state),
-        "session_edge_state": _session_query(lambda t, g: ses.edge_state(t)),
-        "session_answers": _answers_query(lambda a: a),
-        "edit_programs": _session_query(lambda t, g: _programs(t)),
-        "parse_programs": _session_query(lambda t, g: _parsed(t).drop("error")),
-        "program_equivalence": _session_query(lambda t, g: _equivalence(t)),
-        "edit_mentions": _session_query(lambda t, g: _mentions(t)),
-        "operation_sets": _session_query(lambda t, g: _op_sets(t)),
-        "asked_before": _session_query(_revisited),
-        "evaluation_rows": _rows_query(lambda r: r),
-        "condition_summary": _rows_query(lambda r: metrics.rates(r, ["condition"])),
-        "stratified_accuracy": _rows_query(lambda r: metrics.rates(r, ["condition", "kind"])),
-        "final_state_accuracy": _rows_query(metrics.final_accuracy),
-        "session_totals": _rows_query(metrics.session_totals),
-        "paired_delta": _rows_query(lambda r: metrics.paired(r, "tool_solver", "stale_answer")),
-        "cluster_bootstrap": _rows_query(metrics.bootstrap),
-        "static_gate": _rows_query(lambda r: metrics.gate(r, "stale_answer")),
-        "slice_accuracy": _session_query(_slices),
-        "label_audit": _answers_query(metrics.label_audit),
-        "majority_prior": _answers_query(ses.majority_prior),
-        "lookup_ladder": _answers_query(lambda a: metrics.lookup_ladder(a, [["kind", "op", "stale"], ["kind", "stale"], ["kind"]])),
+        "two_token_neighbor_count": gq(lambda g: local.filtered_neighbor_count(_two_tokens(nq(g), "cleanliness", "dirty", "clean"), g.nodes, g.edges, g.attrs).select(*ANSWER, "token"), k=2),
+        "two_token_hops_count": gq(lambda g: local.within_hops_count(_two_tokens(nq(g), "size", "small", "large"), g.nodes, g.edges, g.attrs).select(*ANSWER, "token")),
+        "two_token_hops_list": gq(lambda g: local.within_hops_list(_two_tokens(nq(g), "size", "small", "large"), g.nodes, g.edges, g.attrs).select(*ANSWER, "token")),
+        "two_token_path_count": gq(lambda g: paths.filtered_path_count(_two_tokens(trade.pair_queries(g), "has_rail", True, False), g.nodes, g.edges, g.attrs).select(*PAIR, "token")),
+        "open_hop_map": gq(lambda g: adj.hop_map(nq(g), g.edges, 3, g.nodes)),
+        "ring_pairs": gq(lambda g: structure.ring_pairs(g.edges)),
+        "graph_text": gq(lambda g: graph_text.serialize_graph(g.nodes, g.edges, g.attrs)),
+        "graph_fingerprint": gq(lambda g: graph_text.fingerprint(g.nodes, g.edges, g.attrs)),
+        "node_text": gq(lambda g: graph_text.node_text(g.nodes, g.attrs, F.array(F.lit("status")))),
+        "graph_audit": gq(lambda g: reports.graph_audit(g.nodes, g.edges), k=2),
+        "session_edits": _session_query(lambda s: s.turns.select("session_id", "turn_index", "graph_id", "op", "a", "b", "lo", "hi", "relation")),
+        "edit_effects": _session_query(lambda s: ses.effects(s.turns, s.graphs)),
+        "session_node_state": _session_query(lambda s: ses.node_state(s.turns, s.graphs)),
+        "session_edge_state": _session_query(lambda s: ses.edge_state(s.turns, s.graphs)),
+        "state_nodes": _session_query(lambda s: s.after.nodes.select("graph_id", "node_id", "is_open")),
+        "state_edges": _session_query(lambda s: s.after.edges),
+        "utterances": _session_query(lambda s: s.said.select("session_id", "turn_index", "family", "utterance")),
+        "predicted_edits": _session_query(lambda s: s.guessed.select("session_id", "turn_index", "op", "a")),
+        "write_accuracy": _session_query(lambda s: s.writes),
+        "session_questions": _session_query(lambda s: graph_text.questions(ses.asked(s.turns), s.graphs.nodes, s.graphs.attrs).select("session_id", "turn_index", "question")),
+        "session_answers": _session_query(lambda s: s.answers),
+        "edit_programs": _session_query(_programs),
+        "parse_programs": _session_query(_parsed),
+        "malformed_edits": _session_query(_malformed),
+        "program_equivalence": _session_query(_equivalence),
+        "edit_mentions": _session_query(lambda s: s.dimensions.select("session_id", "turn_index", "mentions")),
+        "operation_sets": _session_query(_op_sets),
+        "asked_before": _session_query(_asked_before),
+        "turn_dimensions": _session_query(lambda s: s.dimensions),
+        "last_mention": _session_query(lambda s: reports.last_mention(ses.asked(s.turns))),
+        "states_seen": _session_query(lambda s: reports.states_seen(s.turns, s.graphs)),
+        "closed_counts": _session_query(lambda s: s.after.nodes.groupBy("graph_id").agg(F.count_if(~F.col("is_open")).alias("closed"))),
+        "evaluation_rows": _session_query(lambda s: s.rows),
+        "condition_summary": _session_query(lambda s: metrics.rates(s.rows, ["condition"])),
+        "stratified_accuracy": _session_query(lambda s: metrics.rates(s.rows, ["condition", "kind"])),
+        "final_state_accuracy": _session_query(lambda s: metrics.final_accuracy(s.rows)),
+        "session_totals": _session_query(lambda s: metrics.session_totals(s.rows)),
+        "paired_delta": _session_query(lambda s: metrics.paired(s.rows, "tool_solver", "stale_answer")),
+        "cluster_bootstrap": _session_query(lambda s: metrics.bootstrap(s.rows)),
+        "paired_bootstrap": _session_query(lambda s: metrics.paired_bootstrap(s.rows, "predicted_updated_graph", "stale_answer")),
+        "static_gate": _session_query(lambda s: metrics.gate(s.rows, "stale_answer")),
+        "slice_accuracy": _session_query(lambda s: reports.slices(s.rows.where("condition = 'stale_answer'"), s.dimensions, s.ladder)),
+        "breakdowns": _session_query(lambda s: reports.breakdowns(s.rows, s.dimensions)),
+        "write_path_report": _session_query(lambda s: reports.write_path(s.writes, s.dimensions)),
+        "condition_gain": _session_query(lambda s: reports.gain(s.rows, "predicted_updated_graph", ["frozen_graph_history", "question_only"])),
+        "seed_summary": _session_query(lambda s: reports.seed_summary(s.rows)),
+        "label_audit": _session_query(lambda s: metrics.label_audit(s.answers)),
+        "session_audit": _session_query(lambda s: reports.session_audit(s.turns, s.answers)),
+        "session_violations": _session_query(lambda s: reports.violations(s.said, s.answers)),
+        "chance_of_mention": _session_query(lambda s: reports.chance_of_mention(ses.asked(s.turns), s.graphs.nodes)),
+        "split_overlap": _session_query(lambda s: reports.split_overlap(s.turns)),
+        "majority_prior": _session_query(lambda s: ses.majority_prior(s.answers)),
+        "lookup_ladder": _session_query(lambda s: s.ladder),
+        "stride_sample": _session_query(lambda s: corpus.stride_sample(s.turns, ["session_id", "turn_index"], 7, 50)),
+        "first_sessions": _session_query(lambda s: corpus.first_keys(s.turns, "session_id", 5).select("session_id", "turn_index", "op")),
+        "last_states": _session_query(lambda s: corpus.last_wins(s.turns.withColumn("_key", ses.touched_key(F.col("op"), F.col("a"), F.col("lo"), F.col("hi"))).where("_key is not null"), ["session_id", "_key"], "turn_index").select("session_id", F.col("_key").alias("key"), "turn_index", "op")),
+        "first_states": _session_query(lambda s: corpus.first_wins(s.turns.withColumn("_key", ses.touched_key(F.col("op"), F.col("a"), F.col("lo"), F.col("hi"))).where("_key is not null"), ["session_id", "_key"], "turn_index").select("session_id", F.col("_key").alias("key"), "turn_index", "op")),
+        "changed_questions": _session_query(lambda s: corpus.changed_questions(s.answers)),
+        "two_sided_strata": _session_query(lambda s: corpus.two_sided(s.answers.select("kind", "op", F.col("gold").alias("answer")), ["kind", "op"])),
+        "training_examples": _session_query(lambda s: corpus.session_examples(graph_text.questions(ses.asked(s.turns), s.graphs.nodes, s.graphs.attrs), s.answers)),
+        "session_records": _session_query(lambda s: records.round_trip(records.turn_records(s.said, s.answers), "session-records")),
+        "record_hash": _session_query(lambda s: records.stream_hash(records.turn_records(s.said, s.answers), ["session_id", "turn_index"], "session_id")),
+        "query_eligibility": gq(lambda g: corpus.eligible(trade.pair_queries(g), g.nodes, g.edges)),
+        "candidate_questions": gq(lambda g: corpus.attribute_candidates(nq(g), g.attrs, ["has_rail", "cleanliness"])),
+        "unique_mode": gq(lambda g: corpus.unique_mode(g.attrs.where("name in ('line', 'size')"), ["graph_id", "name"], "text")),
+        "pair_strata": gq(lambda g: corpus.strata(trade.pair_queries(g), g.nodes, g.edges, g.attrs)),
+        "scale_and_hop_bins": gq(lambda g: corpus.bins(trade.pair_queries(g), g.nodes, g.edges)),
+        "tensor_order": gq(lambda g: structure.tensor_order(g.nodes, g.edges)),
+        "grid_cells": gq(lambda g: corpus.grid(g.nodes)),
+        "values_present": gq(lambda g: g.attrs.select("graph_id", "name", "text").distinct()),
+        "normalized_answers": _normalized,
+        "answer_matches": _session_query(lambda s: s.answers.select("session_id", "turn_index", tx.answers_match(F.col("kind"), F.concat(F.col("gold"), F.lit(".")), F.col("initial")).alias("matches"))),
         "history_text": _history_text,
         "token_budget": _token_budget,
         "set_f1": _set_f1,

@@ -7,12 +7,24 @@ deletes.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver imported it from."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder. Where none is set, a local master gets a temporary one and a cluster raises."""
@@ -52,6 +64,27 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build() gives, settled the first time this application asks for that name over that source."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _KEPT:
+        _KEPT[key] = settle(build(), name)
+    return _KEPT[key].sparkSession.read.schema(_KEPT[key].schema).parquet(_KEPT[key]._turnwise_path)
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with its rows numbered from 0 in the given order, which must tell all rows apart.
+
+    Rows are dealt by ranges and numbered within each; the sizes of the ranges, one row a
+    partition, say where each begins. No task sees more than its range.
+    """
+    dealt = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    begin = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).drop("_size")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_own", own).join(begin, "_part").withColumn(out, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_part")
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete what settle() wrote for these, once nothing will read them again."""
     for df in tables:
@@ -62,6 +95,8 @@ def discard(*tables: DataFrame | None) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all tables of this application, once no DataFrame that reads them is in use."""
     delete(spark, table_dir(spark))
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
 
 
 def linked_components(links: DataFrame, keys: tuple[str, ...] = (), name: str = "components") -> DataFrame:

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
-
-TURNS = 8
+from ..shared import numbered, once
 
 
 @dataclass
@@ -32,24 +31,35 @@ def _table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
 
 
 def trade_counts(spark: SparkSession, d: str) -> DataFrame:
-    """(graph_id, s, t, cnt): line items bought by customers of nation s from suppliers of nation t <> s."""
-    orders = _table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
-    customer = _table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
-    items = _table(spark, d, "lineitem", "l_orderkey", "l_suppkey").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    supplier = _table(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    bought = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    joined = items.join(bought, items.l_orderkey == bought.o_orderkey).join(supplier, items.l_suppkey == supplier.s_suppkey)
-    joined = joined.where("c_nationkey <> s_nationkey")
-    graph = F.concat_ws("|", "c_mktsegment", "o_orderpriority").alias("graph_id")
-    return joined.groupBy(graph, F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("t")).agg(F.sum("n").alias("cnt"))
+    """(graph_id, s, t, cnt): line items bought by customers of nation s from suppliers of nation t <> s.
+
+    Line items meet their orders in one shuffle and are then counted by nation: a few hundred rows a
+    graph, settled once for an input folder.
+    """
+
+    def build() -> DataFrame:
+        orders = _table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+        customer = _table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+        items = _table(spark, d, "lineitem", "l_orderkey", "l_suppkey")
+        supplier = _table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+        bought = orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "o_orderpriority", "c_nationkey", "c_mktsegment")
+        joined = items.join(supplier, items.l_suppkey == supplier.s_suppkey).join(bought, items.l_orderkey == bought.o_orderkey).where("c_nationkey <> s_nationkey")
+        counts = joined.groupBy("c_mktsegment", "o_orderpriority", "c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("cnt"))
+        return counts.select(F.concat_ws("|", "c_mktsegment", "o_orderpriority").alias("graph_id"), F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("t"), "cnt")
+
+    return once(spark, d, "trade-counts", build)
 
 
 def graph_ids(spark: SparkSession, d: str) -> DataFrame:
     """(graph_id, gi): every segment and priority, numbered in order of graph_id."""
-    seg = _table(spark, d, "customer", "c_mktsegment").distinct()
-    pri = _table(spark, d, "orders", "o_orderpriority").distinct()
-    both = seg.join(F.broadcast(pri)).select(F.concat_ws("|", "c_mktsegment", "o_orderpriority").alias("graph_id"))
-    return both.withColumn("gi", (F.row_number().over(Window.orderBy("graph_id")) - 1).cast("long"))
+
+    def build() -> DataFrame:
+        # The names of segments and priorities: two short lists, every pair of which is a graph.
+        seg = _table(spark, d, "customer", "c_mktsegment").distinct()
+        pri = _table(spark, d, "orders", "o_orderpriority").distinct()
+        return numbered(seg.crossJoin(pri).select(F.concat_ws("|", "c_mktsegment", "o_orderpriority").alias("graph_id")), ["graph_id"], "gi")
+
+    return once(spark, d, "graph-ids", build)
 
 
 def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
@@ -57,7 +67,7 @@ def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
     nation = _table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
     region = _table(spark, d, "region", "r_regionkey", "r_name")
     nations = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("label"), F.col("r_name").alias("line"))
-    every = graph_ids(spark, d).join(F.broadcast(nations))
+    every = graph_ids(spark, d).crossJoin(nations)  # the nodes: every graph has every nation
     every = every.withColumn("node_id", F.concat(F.lit("n"), F.col("nk").cast("string")))
     every = every.withColumn("status", F.when((F.col("nk") * 7 + F.col("gi") * 3) % 11 == 0, "closed").otherwise("open"))
     nodes = every.select("graph_id", "node_id", "label", (F.col("status") != "closed").alias("is_open"), "gi", "nk")
@@ -77,7 +87,7 @@ def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
     ranked = trade_counts(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "s").orderBy(F.desc("cnt"), "t"))).where(F.col("rank") <= k)
     pairs = ranked.groupBy("graph_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.max("cnt").alias("cnt"))
     line = nations.select("nk", "line")
-    edges = pairs.join(F.broadcast(line.toDF("a", "line_a")), "a").join(F.broadcast(line.toDF("b", "line_b")), "b")
+    edges = pairs.join(line.toDF("a", "line_a"), "a").join(line.toDF("b", "line_b"), "b")
     edges = edges.select(
         "graph_id",
         F.concat(F.lit("n"), F.col("a").cast("string")).alias("src"),
@@ -85,29 +95,29 @@ def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
         F.when(F.col("line_a") == F.col("line_b"), "track").otherwise("transfer").alias("relation"),
         (F.lit(1) + F.col("cnt") % 5).cast("double").alias("weight"),
     )
-    return Graphs(nodes, edges, attrs)
+    return Graphs(nodes, once(spark, d, f"edges-{k}", lambda: edges), attrs)
 
 
 def pair_queries(g: Graphs) -> DataFrame:
-    """(graph_id, source, target): a fixed share of the node pairs a < b of each graph."""
-    a = g.nodes.select("graph_id", "gi", F.col("nk").alias("a"), F.col("node_id").alias("source"))
+    """(graph_id, source, target): all node pairs a < b of each graph."""
+    a = g.nodes.select("graph_id", F.col("nk").alias("a"), F.col("node_id").alias("source"))
     b = g.nodes.select("graph_id", F.col("nk").alias("b"), F.col("node_id").alias("target"))
-    return a.join(b, "graph_id").where("a < b and (a * 31 + b * 17 + gi) % 13 = 0").select("graph_id", "source", "target")
+    return a.join(b, "graph_id").where("a < b").select("graph_id", "source", "target")
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    """(session_id, turn_index, graph_id, op, a, b, event_id): the first TURNS events of each user as edits of a graph.
+    """(session_id, turn_index, graph_id, op, a, b, event_id): the events of each user, in order, as edits of a graph.
 
     op is SET_CLOSED, SET_OPEN, ADD, DEL or NOOP; a and b are node ids, in that order.
     """
     e = _table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = e.withColumn("turn_index", (F.row_number().over(order) - 1).cast("long")).where(F.col("turn_index") < TURNS)
+    e = e.withColumn("turn_index", (F.row_number().over(order) - 1).cast("long"))
     x, y = F.get_json_object("props", "$.k").cast("long") % 25, F.col("event_id") % 25
     op = F.when(x == y, "NOOP").when(F.col("event_type") == "error", "SET_CLOSED").when(F.col("event_type") == "signup", "SET_OPEN").when(F.col("event_type") == "purchase", "ADD").when(F.col("event_type") == "click", "DEL").otherwise("NOOP")
     e = e.withColumn("op", op).withColumn("x", x).withColumn("y", y)
     g = graph_ids(spark, d)
-    return e.join(F.broadcast(g), e.user_id % 25 == g.gi).select(
+    return e.join(g, e.user_id % 25 == g.gi).select(
         F.col("user_id").alias("session_id"), "turn_index", "graph_id", "op",
         F.concat(F.lit("n"), F.col("x").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("y").cast("string")).alias("b"), "event_id",
     )
