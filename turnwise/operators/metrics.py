@@ -12,11 +12,12 @@ Z = 1.96
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """Lower and upper Wilson bounds at Z to nine digits, clamped to 0 and 1; (0, 0) without rows."""
+    none = n == 0
+    n = F.when(none, 1).otherwise(n)  # for the divisions only
     p = successes / n
     base = 1 + Z * Z / n
     centre = (p + Z * Z / (2 * n)) / base
     half = F.lit(Z) * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / base
-    none = n == 0
     low, high = F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
     return F.when(none, 0.0).otherwise(F.round(low, 9)), F.when(none, 0.0).otherwise(F.round(high, 9))
 
@@ -95,10 +96,10 @@ def paired_bootstrap(rows: DataFrame, left: str, right: str, replicates: int = 2
     drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draw(seed, F.col("rep"), F.col("session_id")))
     drawn = drawn.groupBy("rep").agg(F.sum(F.col("w") * F.col("d")).alias("d"), F.sum(F.col("w") * F.col("n")).alias("n")).select((F.col("d") / F.greatest("n", F.lit(1))).alias("delta"))
     many = F.count(F.lit(1))
-    side = F.least(F.count_if(F.col("delta") <= 0) / many, F.count_if(F.col("delta") >= 0) / many)
-    ci = drawn.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.least(F.lit(1.0), 2 * side).alias("p_value"))
+    side = F.least(F.try_divide(F.count_if(F.col("delta") <= 0), many), F.try_divide(F.count_if(F.col("delta") >= 0), many))
+    ci = drawn.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.when(many > 0, F.least(F.lit(1.0), 2 * side)).alias("p_value"))
     point = both.agg(
-        many.alias("n"), F.countDistinct("session_id").alias("sessions"), F.coalesce(F.sum(F.col("x") - F.col("y")) / many, F.lit(0.0)).alias("mean_delta"),
+        many.alias("n"), F.countDistinct("session_id").alias("sessions"), F.coalesce(F.try_divide(F.sum(F.col("x") - F.col("y")), many), F.lit(0.0)).alias("mean_delta"),
         F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count_if(F.col("x") < F.col("y")).alias("losses"), F.count_if(F.col("x") == F.col("y")).alias("ties"),
     )
     zero = F.lit(0.0)

@@ -140,7 +140,7 @@ def chance_of_mention(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     size = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
     q = asked.where("op <> 'NOOP'").join(size, "graph_id").select("n", F.size(named_nodes()).alias("k"), F.size(F.array_distinct(touched_nodes())).alias("t"), F.arrays_overlap(named_nodes(), touched_nodes()).alias("hit"))
     n, t = F.col("n"), F.col("t")
-    miss = F.when(F.col("k") == 1, (n - t) / n).otherwise((n - t) * (n - t - 1) / (n * (n - 1)))
+    miss = F.when(F.col("k") == 1, (n - t) / n).otherwise(F.coalesce(F.try_divide((n - t) * (n - t - 1), n * (n - 1)), F.lit(0.0)))
     return q.agg(F.count(F.lit(1)).alias("turns"), F.count_if("hit").alias("mentioned"), F.round(F.sum(1 - miss), 6).alias("expected"))
 
 

@@ -37,11 +37,11 @@ def leaf_neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, n_nodes, n_edges, density_bin): sparse under .08, medium under .18 of all pairs, else dense."""
+    """(graph_id, n_nodes, n_edges, density_bin): sparse under .08, medium under .18 of all pairs, else dense; one node alone is sparse."""
     n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
     m = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
     out = n.join(m, "graph_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)).cast("long"))
-    share = F.col("n_edges") * 2 / (F.col("n_nodes") * (F.col("n_nodes") - 1))
+    share = F.coalesce(F.try_divide(F.col("n_edges") * 2, F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0))
     return out.withColumn("density_bin", F.when(share < 0.08, "sparse").when(share < 0.18, "medium").otherwise("dense"))
 
 
