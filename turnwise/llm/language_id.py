@@ -31,7 +31,7 @@ BLOCK = 128
 #: Bounds of the labelled sample: documents and symbols a language, symbols a document, symbols of all
 #: languages together (more languages get less each, so that the automata stay of a bounded size).
 SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_DOC_SYMBOLS, ALL_SYMBOLS = 96, 24_000, 1_000, 480_000
-_GROUP_CHARS = 2_000_000
+_GROUP_CHARS, MAX_BROADCAST = 2_000_000, 10_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -206,6 +206,9 @@ def labelled_sample(docs: DataFrame) -> dict[str, list[np.ndarray]]:
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     rank = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit(0xFFFFFF))) / F.lit(float(1 << 24))
     share = known.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(3.0 * SAMPLE_DOCS) / F.col("count")).alias("_share"))
+    share = C.materialize(share, "language-shares")
+    # A row a language: sent to all tasks unless somebody has very many languages.
+    share = F.broadcast(share) if share.count() <= MAX_BROADCAST else share
     drawn = known.join(share, F.col("lang") == F.col("_lang")).where(rank < F.col("_share"))
     rows = drawn.select("lang", rank.alias("rank"), F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 4 * SAMPLE_DOC_SYMBOLS).alias("text")).collect()
     out: dict[str, list[np.ndarray]] = {}
