@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.tokens import literal_token
+from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
-from ..operators import corpus, graph_text, local, metrics, paths, reports, structure
+from ..operators import apply, corpus, graph_text, local, metrics, paths, reports, structure
 from ..operators import sessions as ses
 from ..shared import once
 from ..sources import records, trade
@@ -146,6 +146,14 @@ def _parsed(s: Sessions) -> DataFrame:
     return p.select("session_id", F.col("pos").cast("long").alias("pos"), tx.parse_edit(F.col("edit")).alias("e")).select("session_id", "pos", "e.*")
 
 
+def applied_programs(s: Sessions) -> DataFrame:
+    """Each session's program applied edit by edit to its first graph; graph_id is the session's id."""
+    own = s.turns.select("session_id", "graph_id").distinct().withColumn("_id", F.col("session_id").cast("string"))
+    of = lambda t: t.join(own, "graph_id").drop("graph_id", "session_id").withColumnRenamed("_id", "graph_id")
+    edits = _parsed(s).select(F.col("session_id").cast("string").alias("graph_id"), "pos", "operation", "target", "first", "second", "attribute", string_token(F.col("value")).alias("token"), "value", "label", "relation")
+    return apply.apply_programs(of(s.graphs.nodes), of(s.graphs.edges), of(s.graphs.attrs), edits)
+
+
 def _equivalence(s: Sessions) -> DataFrame:
     """Whether each edit program equals that of the session numbered one higher, field by field and in order."""
     fields = F.struct("pos", "operation", "target", "first", "second", "attribute", "value", "relation")
@@ -240,6 +248,8 @@ def queries() -> dict[str, Query]:
         "edit_programs": _session_query(_programs),
         "parse_programs": _session_query(_parsed),
         "malformed_edits": _session_query(_malformed),
+        "applied_effects": _session_query(lambda s: applied_programs(s).where("what = 'effect'").select(F.col("graph_id").cast("long").alias("session_id"), "pos", "applied", "error")),
+        "applied_edges": _session_query(lambda s: applied_programs(s).where("what = 'edge'").select(F.col("graph_id").cast("long").alias("session_id"), F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "relation", "weight")),
         "program_equivalence": _session_query(_equivalence),
         "edit_mentions": _session_query(lambda s: s.dimensions.select("session_id", "turn_index", "mentions")),
         "operation_sets": _session_query(_op_sets),

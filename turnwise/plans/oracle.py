@@ -379,6 +379,8 @@ def oracle_sql() -> dict[str, str]:
         "edit_programs": t + f"select session_id, string_agg({_EDIT}, ' ; ' order by turn_index) || ' ; END' as program from turns group by 1",
         "parse_programs": t + _FIELDS,
         "malformed_edits": t + "select session_id, turn_index as pos, case when e is null then o end as operation, e as error from (select *, case op when 'NOOP' then 'NOOP' else left(op, 3) end as o, case turn_index % 4 when 1 then case when op like 'SET%' then 'value_missing' end when 2 then 'unknown_operation' when 3 then case when op in ('ADD', 'DEL') then 'set_edge' end end as e from turns)",
+        "applied_effects": t + _states("", "turns") + "select session_id, turn_index as pos, op <> 'NOOP' and before <> goal as applied, case when op = 'NOOP' or before <> goal then null when op like 'SET%' then 'no_state_change' when op = 'ADD' then 'edge_exists' else 'unknown_edge' end as error from b",
+        "applied_edges": t + _states("", "turns") + "select se.session_id, lo, hi, relation, cast(weight as double) as weight from se join ends on ends.session_id = se.session_id and se.turn_index = n_turns - 1",
         "program_equivalence": t + f", f as ({_FIELDS}), p as (select session_id, count(*) as n, string_agg(concat_ws('~', pos, operation, coalesce(target, '-'), coalesce(\"first\", '-'), coalesce(\"second\", '-'), coalesce(attribute, '-'), coalesce(value, '-'), coalesce(relation, '-')), ';' order by pos) as sig from f group by 1) select x.session_id, x.n, x.sig = y.sig as equal from p x join p y on y.session_id = x.session_id + 1",
         "edit_mentions": t + f"select session_id, turn_index, len(list_intersect({_TOUCHED}, {_NAMED})) > 0 as mentions from asked",
         "operation_sets": t + ", s as (select session_id, string_agg(distinct op, '+' order by op) as ops, count(*) as turns from turns group by 1) select ops, count(*) as sessions, cast(sum(turns) as bigint) as turns from s group by 1",
