@@ -307,12 +307,12 @@ _WEIGHT = "(select " + " + ".join(f"(u >= {p!r})::int" for p in _POISSON) + ")"
 _U = "cast(('0x' || substr(md5('0/' || rep || '/' || session_id), 1, 13)) as bigint) / 4503599627370496.0"
 
 _NODE_ATTRS = "'cleanliness=' || cleanliness || '{c}disabled_access=' || case when disabled_access then 'True' else 'False' end || '{c}has_rail=' || case when has_rail then 'True' else 'False' end || '{c}line=' || line || '{c}size=' || size || '{c}status=' || status"
-_NORMAL = r"""with lines as (select conv_id, turn, text, trim(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')[1]) as l from conversations),
+_NORMAL = r"""lines as (select conv_id, turn, text, trim(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')[1]) as l from src),
 n as (select conv_id, turn, text, regexp_replace(lower(coalesce(l, '')), '\.+$', '') as l from lines),
 p as (select *, regexp_extract(l, '^(yes|no|true|false)($|[^\p{L}\p{M}\p{N}_])', 1) as lead, regexp_extract(l, '^(-?[0-9]+(\.[0-9]+)?)($|[^\p{L}\p{M}\p{N}_.-])', 1) as num, regexp_extract(l, '(^|[^\p{L}\p{M}\p{N}_.-])(-?[0-9]+(\.[0-9]+)?)($|[^\p{L}\p{M}\p{N}_.-])', 2) as num2, regexp_extract(l, '(^|[^\p{L}\p{M}\p{N}_])(yes|no|true|false)($|[^\p{L}\p{M}\p{N}_])', 2) as word from n)
-select conv_id, turn, case when text is null then null when l = 'true' then 'yes' when l = 'false' then 'no' when l in ('no path', 'not reachable') then 'unreachable'
+, norm as (select conv_id, turn, case when text is null then null when l = 'true' then 'yes' when l = 'false' then 'no' when l in ('no path', 'not reachable') then 'unreachable'
   when regexp_matches(l, '^(unreachable|no path|not reachable)($|[^\p{L}\p{M}\p{N}_])') then 'unreachable' when lead <> '' then case lead when 'true' then 'yes' when 'false' then 'no' else lead end when num <> '' then num
-  when contains(l, 'unreachable') or contains(l, 'no path') then 'unreachable' when num2 <> '' then num2 when word <> '' then case word when 'true' then 'yes' when 'false' then 'no' else word end else l end as answer from p"""
+  when contains(l, 'unreachable') or contains(l, 'no path') then 'unreachable' when num2 <> '' then num2 when word <> '' then case word when 'true' then 'yes' when 'false' then 'no' else word end else l end as answer from p)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -431,10 +431,12 @@ def oracle_sql() -> dict[str, str]:
         "tensor_order": b + ", o as (select graph_id, node_id, row_number() over (partition by graph_id order by node_id) - 1 as at from nodes) select a.graph_id, row_number() over (partition by a.graph_id order by x.at, y.at, relation, weight) - 1 as row, x.at as src_row, y.at as dst_row, weight from adj a join o x on x.graph_id = a.graph_id and x.node_id = src join o y on y.graph_id = a.graph_id and y.node_id = dst",
         "grid_cells": b + "select graph_id, unnest([" + ", ".join(f"'{k}'" for k in _KINDS) + "]) as kind from gids",
         "values_present": b + "select distinct graph_id, 'has_rail' as name, case when has_rail then 'True' else 'False' end as text from nodes union select graph_id, 'disabled_access', case when disabled_access then 'True' else 'False' end from nodes union select graph_id, 'line', line from nodes union select graph_id, 'cleanliness', cleanliness from nodes union select graph_id, 'size', size from nodes union select graph_id, 'status', status from nodes",
-        "normalized_answers": _NORMAL,
+        "normalized_answers": f"with src as (select conv_id, turn, text from conversations), {_NORMAL} from norm",
         "answer_matches": w + "select session_id, turn_index, lower(gold) = lower(initial) as matches from ans",
         "history_text": "with n as (select *, row_number() over (partition by conv_id order by turn) as nth from conversations) select a.conv_id, a.turn, coalesce(string_agg('Update ' || b.nth || ': ' || coalesce(b.text, ''), chr(10) order by b.nth), '') as history from n a left join n b on b.conv_id = a.conv_id and b.nth < a.nth group by 1, 2",
         "token_budget": "with w as (select conv_id, turn, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from conversations) select conv_id, turn, case when len(w) <= 16 then text else array_to_string(w[-16:], ' ') end as kept, len(w) as n_words from w",
-        "set_f1": "with w as (select conv_id, turn, role, list_distinct(list_filter(list_transform(string_split(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ','), ','), lambda x: trim(x)), lambda x: x <> '')) as w from conversations) select a.conv_id, a.turn, case when len(a.w) + len(b.w) = 0 then 1.0 else 2 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) end as f1 from w a join w b on b.conv_id = a.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'",
+        "set_f1": "with src as (select conv_id, turn, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ',') as text from conversations), "
+        + _NORMAL
+        + ", s as (select conv_id, turn, role, case when coalesce(answer, '') in ('none', '') then [] else list_distinct(list_filter(list_transform(string_split(answer, ','), lambda x: trim(x)), lambda x: x <> '')) end as w from norm join conversations using (conv_id, turn)) select a.conv_id, a.turn, case when len(a.w) + len(b.w) = 0 then 1.0 else 2 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) end as f1 from s a join s b on b.conv_id = a.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'",
         "pooled_mean": "with d as (select label, unnest(embedding) as x, cast(unnest(range(len(embedding))) as bigint) as dim from embeddings where label is not null) select label, dim, round(avg(cast(x as double)), 6) as mean from d group by 1, 2",
     }
