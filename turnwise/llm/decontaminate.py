@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MAX_EDIT_SHARE, TARGET_RECALL = 0.2, 0.95
-REPEATS, BITS, WALKS, SEED = 64, 3, 64, 97
+REPEATS, BITS, WALKS, SEED = 192, 3, 64, 97
 #: Items under EXACT_WORDS words count only where they stand word for word.
 EXACT_WORDS, GRAM = 8, 3
 #: Items are searched in blocks of at most this many characters, windows embedded in groups of this many places.
