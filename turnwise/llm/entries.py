@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, packing, simhash, token_counts, toxicity
+from . import alignment, chat_format, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, mixing, packing, simhash, token_counts, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_perspective_rotation": chat_format.op8,
         "op9_html_extraction": html_extract.op9,
         "op10_benchmark_decontamination": decontaminate.op10,
+        "op11_vector_codes": vector_codes.op11,
+        "op12_tokenizer_alignment": alignment.op12,
+        "op13_source_mix": mixing.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_perspective_rotation": chat_format.OP8_SQL}
+    return {"op8_perspective_rotation": chat_format.OP8_SQL, "op11_vector_codes": vector_codes.op11_sql(), "op13_source_mix": mixing.OP13_SQL}
