@@ -101,14 +101,18 @@ def test_chunks_give_what_whole_texts_do(libraries):
     path_b = public_tokenizers.path("piece_bpe_32k.model")
     memory = alignment._Memory(tokens.default_path(), path_b)
     assert memory.cut
-    for t in filter(None, HARD):
-        whole, parts = alignment.align_text(t, tokens.default_path(), path_b), memory.of(t)
-        if whole is None:
-            assert not all(memory.counts[i][3] for i in parts)
-        else:
-            assert (whole[0], whole[1], whole[2]) == tuple(sum(memory.counts[i][k] for i in parts) for k in range(3))
-            assert whole[3] == ";".join(memory.said[i] for i in parts)
-            assert whole[4] == [k for i in parts for k in memory.links[i]]
+    texts = [t for t in HARD if t]
+    for numbers in (memory.number(texts), [n for t in texts for n in memory.number([t])]):
+        counts, keys = memory.counts, memory.keys
+        end = np.cumsum(counts[:, 3])
+        for t, parts in zip(texts, numbers, strict=True):
+            whole = alignment.align_text(t, tokens.default_path(), path_b)
+            if whole is None:
+                assert not counts[parts, 4].all()
+            else:
+                assert (*whole[:3], len(whole[4])) == tuple(counts[parts, :4].sum(0))
+                assert whole[3] == ";".join(memory.said[i] for i in parts)
+                assert whole[4] == [k for i in parts for k in keys[end[i] - counts[i, 3] : end[i]].tolist()]
 
 
 def test_tokens_without_bytes_are_linked_where_they_end():

@@ -31,8 +31,10 @@ from . import tokens
 
 #: Documents of a block at most, and chunks after which a block ends.
 BLOCK_DOCS, BLOCK_CHUNKS = 4096, 600_000
+#: Bytes and documents whose new chunks are read together.
+READ, READ_DOCS = 1_000_000, 1024
 #: Chunks that a task remembers, up to this many characters each.
-MEMORY, MEMORY_CHARS = 200_000, 64
+MEMORY, MEMORY_CHARS = 400_000, 64
 #: Rows of a side id in one shard, about.
 SHARD_ROWS = 2048
 #: Postings that a task of the cogroup adds up before it emits.
@@ -125,55 +127,127 @@ def align_text(text: str, path_a: str, path_b: str) -> tuple[int, int, int, str,
     return len(a), len(b), len(ends), ";".join(said), [b[y] << 32 | a[x] for x, y in links]
 
 
+def _clean(chunk: str) -> bool:
+    """Whether a chunk neither is empty nor begins or ends with white space, so that blanks beside it are cuts."""
+    return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
+
+
 class _Memory:
-    """What chunks give, numbered in the order they were first seen."""
+    """What chunks give, numbered in the order they were first seen.
+
+    Chunks that are new are read together: joined by blanks they are a text that is cut where they
+    meet, so both libraries are called once for many of them.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.paths, self.cut = (path_a, path_b), _pieces(path_b)[2]
+        self.size_a, self.size_b = (np.array([len(x) for x in b], np.int64) for b in (_bytes_a(path_a), _pieces(path_b)[1]))
+        n = max(len(self.size_a), len(self.size_b))
+        self.text = {end: np.array([f"{i}{end}" for i in range(n)], object) for end in ",|;"}
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.said: list[str] = []
-        self.counts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, whether bytes agree
-        self.links: list[list[int]] = []
-
-    def of(self, text: str) -> list[int]:
-        """Numbers of a text's chunks."""
-        chunks = _CHUNK.split(text) if self.cut else [text]
-        known, out = self.number, []
+        self._counts: list[np.ndarray] = []
+        self._keys: list[np.ndarray] = []
+
+    @property
+    def counts(self) -> np.ndarray:
+        """(tokens of A, of B, groups, links, whether bytes agree) of each chunk."""
+        self._counts = [np.concatenate([np.zeros((0, 5), np.int64), *self._counts])]
+        return self._counts[0]
+
+    @property
+    def keys(self) -> np.ndarray:
+        """The links of all chunks, chunk by chunk, as B id << 32 | A id."""
+        self._keys = [np.concatenate([np.zeros(0, np.int64), *self._keys])]
+        return self._keys[0]
+
+    def number(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of each text's chunks."""
+        parts, new = [], set()
+        for t in texts:
+            part = t.split(" ") if self.cut else [t]
+            missing = set(part).difference(self.known)
+            if not all(map(_clean, missing)) and self.cut:
+                part = _CHUNK.split(t)
+                missing = set(part).difference(self.known)
+            parts.append(part)
+            new |= missing
+        here = self._learn(sorted(new))
+        return [[here[c] if n is None else n for c, n in zip(p, map(self.known.get, p), strict=True)] for p in parts]
+
+    def _learn(self, chunks: list[str]) -> dict[str, int]:
+        """Numbers of new chunks; short clean ones are remembered."""
+        whole = [c for c in chunks if self.cut and _clean(c)]
+        here: dict[str, int] = {}
+        for plain in (True, False):
+            part = [c for c in whole if bool(tokens._PLAIN.search(c)) is not plain]
+            if part and self._together(part):
+                here |= dict(zip(part, range(len(self.said) - len(part), len(self.said)), strict=True))
         for c in chunks:
-            n = known.get(c)
-            if n is None:
-                n = len(self.said)
+            if c not in here:
+                here[c] = len(self.said)
                 found = align_text(c, *self.paths)
                 self.said.append(found[3] if found else "")
-                self.counts.append((*found[:3], 1) if found else (0, 0, 0, 0))
-                self.links.append(found[4] if found else [])
-                if len(c) <= MEMORY_CHARS:
-                    known[c] = n
-            out.append(n)
-        return out
+                self._counts.append(np.array([(*found[:3], len(found[4]), 1) if found else (0, 0, 0, 0, 0)], np.int64))
+                self._keys.append(np.array(found[4] if found else [], np.int64))
+        self.known.update((c, n) for c, n in here.items() if len(c) <= MEMORY_CHARS and (_clean(c) or not self.cut))
+        return here
+
+    def _together(self, chunks: list[str]) -> bool:
+        """Read clean chunks as one text; false, with nothing kept, if bytes differ anywhere or a token has none."""
+        text = " ".join(chunks)
+        sp, bytes_b, _ = _pieces(self.paths[1])
+        bytes_a, raw = _bytes_a(self.paths[0]), f" {text}".encode()
+        ids_of_a, ids_of_b = ids_a(text, self.paths[0]), sp.encode(text)
+        if b"".join([bytes_a[i] for i in ids_of_a]) != raw or b"".join([bytes_b[i] for i in ids_of_b]) != raw:
+            return False
+        a, b = np.array(ids_of_a, np.int64), np.array(ids_of_b, np.int64)
+        if not self.size_a[a].all() or not self.size_b[b].all():
+            return False
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(end_a, both), np.searchsorted(end_b, both)
+        cut = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks)))
+        at = np.searchsorted(both, cut)
+        if (both[np.minimum(at, len(both) - 1)] != cut).any():
+            return False
+        # Tokens in order of groups, A's before B's, each with the mark that follows it.
+        say_a, say_b = self.text[","][a], self.text[","][b]
+        say_a[last_a], say_b[last_b] = self.text["|"][a[last_a]], self.text[";"][b[last_b]]
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = say_a
+        said[np.arange(len(b)) + (last_a + 1)[group_b]] = say_b
+        stop_a, stop_b = last_a[at] + 1, last_b[at] + 1
+        stop = (stop_a + stop_b).tolist()
+        said, begin = said.tolist(), 0
+        for e in stop:
+            self.said.append("".join(said[begin:e])[:-1])
+            begin = e
+        groups = np.diff(at + 1, prepend=0)
+        self._counts.append(np.stack([np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0), groups, groups, np.ones(len(chunks), np.int64)], 1))
+        self._keys.append(b[last_b] << 32 | a[last_a])
+        return True
 
 
 def _postings(doc: np.ndarray, chunk: np.ndarray, memory: _Memory, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, document, multiplicity), sorted, of documents that are sequences of chunks."""
-    width = np.int64(len(memory.links) or 1)
+    width = np.int64(len(memory.said) or 1)
     seen, times = np.unique(doc.astype(np.int64) * width + chunk, return_counts=True)
     d, c = seen // width, seen % width
-    used, back = np.unique(c, return_inverse=True)
-    lists = [memory.links[i] for i in used.tolist()]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((k for x in lists for k in x), np.int64, int(sizes.sum()))
+    links = memory.counts[:, 3]
+    n, first = links[c], (np.cumsum(links) - links)[c]
+    flat = memory.keys[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     pairs, index = np.unique(flat, return_inverse=True)
-    n = sizes[back]
-    at = np.repeat((np.cumsum(sizes) - sizes)[back] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    key = index[at] * np.int64(docs) + np.repeat(d, n)
+    key = index * np.int64(docs) + np.repeat(d, n)
     order = np.argsort(key, kind="stable")
     key, m = key[order], np.repeat(times, n)[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    total = np.add.reduceat(m, first) if len(first) else m
-    key = key[first]
+    begin = np.flatnonzero(np.diff(key, prepend=-1))
+    total = np.add.reduceat(m, begin) if len(begin) else m
+    key = key[begin]
     return pairs[key // docs], key % docs, total
 
 
@@ -201,12 +275,12 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def block_rows(block: int, ids: list, chunks: list[list[int]], blank: list[bool], memory: _Memory) -> pa.RecordBatch:
         n = len(ids)
-        counts = np.array(memory.counts, np.int64).reshape(-1, 4)
+        counts = memory.counts
         size = np.array([len(x) for x in chunks], np.int64)
         flat = np.fromiter((x for c in chunks for x in c), np.int64, int(size.sum()))
         of = np.repeat(np.arange(n), size)
         bad = np.zeros(n, bool)
-        bad[of[counts[flat, 3] == 0]] = True
+        bad[of[counts[flat, 4] == 0]] = True
         bad |= np.array(blank, bool)
         keep = ~bad[of]
         flat, of = flat[keep], of[keep]
@@ -243,13 +317,16 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         ids, chunks, blank, held = [], [], [], 0
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py()
-                ids.append(i)
-                blank.append(not text)
-                chunks.append(memory.of(text) if text else [])
-                held += len(chunks[-1])
-                if len(ids) >= BLOCK_DOCS or held >= BLOCK_CHUNKS:
+            size = pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            for rows in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff((np.cumsum(size) - size) // READ + np.arange(b.num_rows) // READ_DOCS * (1 << 40))) + 1):
+                if not len(rows):
+                    continue
+                texts = b.column(1)[int(rows[0]) : int(rows[-1]) + 1].to_pylist()
+                ids += b.column(0)[int(rows[0]) : int(rows[-1]) + 1].to_pylist()
+                blank += [not t for t in texts]
+                chunks += memory.number([t or "" for t in texts])
+                held += sum(map(len, chunks[-len(texts) :]))
+                if len(ids) >= BLOCK_DOCS - READ_DOCS or held >= BLOCK_CHUNKS:
                     yield block_rows(block, ids, chunks, blank, memory)
                     block, ids, chunks, blank, held = block + 1, [], [], [], 0
                     if len(memory.said) > MEMORY:
