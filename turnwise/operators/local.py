@@ -84,9 +84,14 @@ def _with_hops(queries: DataFrame, hops: int) -> DataFrame:
     return queries.withColumn("_hops", own.cast("int"))
 
 
-def _reached(asked: DataFrame, edges: DataFrame, attrs: DataFrame | None, most: int) -> DataFrame:
-    """asked with each node within its radius; of those the ones with its attribute, if it names one and attrs is given."""
-    near = hop_map(asked.select("graph_id", "source").distinct(), edges, most)
+def _reached(asked: DataFrame, edges: DataFrame, attrs: DataFrame | None, hops: int | None) -> DataFrame:
+    """asked with each node within its radius; of those the ones with its attribute, if it names one and attrs is given.
+
+    hops is the radius of all queries; where they have their own, it is null and the largest counts.
+    """
+    if hops is None:
+        hops = asked.agg(F.max("_hops")).first()[0] or 0
+    near = hop_map(asked.groupBy("graph_id", "source").agg(F.max("_hops").alias("radius")), edges, hops)
     near = asked.join(near, ["graph_id", "source"]).where(F.col("depth") <= F.col("_hops"))
     if attrs is None:
         return near
@@ -98,29 +103,29 @@ def _hop_keys(queries: DataFrame, attrs: DataFrame | None) -> list[str]:
     return ["graph_id", "source", "_hops"] + (["attribute", "token"] if attrs is not None else [])
 
 
-def within_hops_count(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2, most: int = 3) -> DataFrame:
+def within_hops_count(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2) -> DataFrame:
     """Nodes at 1 to hops steps, of those the ones with the queried attribute if attrs is given and the query names one.
 
-    Queries may have hops of their own, up to ``most``.
+    Queries may have hops of their own, as many as they like.
     """
     q, keys = _with_hops(queries, hops), _hop_keys(queries, attrs)
-    n = _reached(q.select(*keys).distinct(), edges, attrs, most if "hops" in queries.columns else hops).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = _reached(q.select(*keys).distinct(), edges, attrs, None if "hops" in queries.columns else hops).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return checked(_null_safe(q, n, keys), nodes, F.coalesce("_n", F.lit(0)).cast("string")).drop("_n", "_hops")
 
 
-def within_hops_list(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2, most: int = 3) -> DataFrame:
+def within_hops_list(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, hops: int = 2) -> DataFrame:
     """Labels of the nodes that within_hops_count counts, sorted and joined by comma and space; none if there is none."""
     q, keys = _with_hops(queries, hops), _hop_keys(queries, attrs)
-    named = _reached(q.select(*keys).distinct(), edges, attrs, most if "hops" in queries.columns else hops).join(nodes.select("graph_id", "node_id", "label"), ["graph_id", "node_id"])
+    named = _reached(q.select(*keys).distinct(), edges, attrs, None if "hops" in queries.columns else hops).join(nodes.select("graph_id", "node_id", "label"), ["graph_id", "node_id"])
     lists = named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("_list"))
     return checked(_null_safe(q, lists, keys), nodes, F.coalesce("_list", F.lit("none"))).drop("_list", "_hops")
 
 
-def most_common_attribute(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, hops: int = 2, most: int = 3) -> DataFrame:
+def most_common_attribute(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, hops: int = 2) -> DataFrame:
     """The commonest printed value of an attribute within hops, the source included; the smallest among equals; none without values."""
     q, keys = _with_hops(queries, hops), ["graph_id", "source", "_hops", "attribute"]
     asked = q.select(*keys).distinct()
-    near = _reached(asked, edges, None, most if "hops" in queries.columns else hops).select(*keys, "node_id").unionByName(asked.withColumn("node_id", F.col("source")))
+    near = _reached(asked, edges, None, None if "hops" in queries.columns else hops).select(*keys, "node_id").unionByName(asked.withColumn("node_id", F.col("source")))
     held = near.distinct().join(attrs.withColumnRenamed("name", "attribute"), ["graph_id", "node_id", "attribute"]).where("text is not null")
     n = held.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"))
     top = n.groupBy(*keys).agg(F.min_by("text", F.struct(-F.col("n"), "text")).alias("_top"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import discard, linked_components, prepare, settle
-from .adjacency import adjacency, open_adjacency
+from . import reach
+from .adjacency import adjacency, directed_graphs, open_adjacency, two_way
 from .local import _held, _null_safe, checked
 
 
@@ -34,14 +35,33 @@ def graph_components(nodes: DataFrame, edges: DataFrame, open_only: bool = False
     return components(nodes.where("is_open") if open_only else nodes, adj, ["graph_id"])
 
 
+def regions(nodes: DataFrame, adj: DataFrame, keys: list[str], directed: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """((keys, node_id, component), (keys, a, b)): what reaches each other, and which components lead to which.
+
+    directed names the graphs with directions; where it is null there are no links between components.
+    """
+    if directed is None:
+        return components(nodes, adj, keys), None
+    at, out = directed.select("graph_id"), "left_anti"
+    strong = settle(reach.strong_components(nodes.join(at, "graph_id", "left_semi"), adj.join(at, "graph_id", "left_semi"), keys), "strong")
+    plain = components(nodes.join(at, "graph_id", out), adj.join(at, "graph_id", out), keys)
+    return plain.unionByName(strong), reach.between(strong, adj, keys)
+
+
 def reachability(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """yes if an open path of available nodes joins source and target."""
-    comp = graph_components(nodes, edges, open_only=True)
+    """yes if an open path of available nodes, along directions, joins source and target."""
+    comp, links = regions(nodes.where("is_open"), open_adjacency(nodes, edges), ["graph_id"], directed_graphs(edges))
     s = comp.select("graph_id", F.col("node_id").alias("source"), F.col("component").alias("_cs"))
     t = comp.select("graph_id", F.col("node_id").alias("target"), F.col("component").alias("_ct"))
     out = queries.join(s, ["graph_id", "source"], "left").join(t, ["graph_id", "target"], "left")
-    answer = F.when(F.col("target").isNull(), "invalid").when(F.col("_cs") == F.col("_ct"), "yes").otherwise("no")
-    return checked(out, nodes, answer).drop("_cs", "_ct")
+    met = F.col("_cs") == F.col("_ct")
+    if links is not None:
+        out = settle(out, "reach-queries")
+        led = reach.closure(out.where("_cs is not null").select("graph_id", F.col("_cs").alias("a")), links, ["graph_id"])
+        out = out.join(led.select("graph_id", F.col("a").alias("_cs"), F.col("b").alias("_ct"), F.lit(True).alias("_led")), ["graph_id", "_cs", "_ct"], "left")
+        met = met | F.col("_led")
+    answer = F.when(F.col("target").isNull(), "invalid").when(met, "yes").otherwise("no")
+    return checked(out, nodes, answer).drop("_cs", "_ct", "_led")
 
 
 def best_paths(sources: DataFrame, adj: DataFrame) -> DataFrame:
@@ -115,7 +135,8 @@ def constrained_reachability(queries: DataFrame, nodes: DataFrame, edges: DataFr
     """yes if a path avoids nodes whose attribute equals the token; the ends are exempt, closed nodes count.
 
     Components of what is left are found once for each graph and avoided class. Two ends are joined
-    if they touch, or if one component holds neighbours of both.
+    if they touch, or if one component holds neighbours of both; with directions, if one that the
+    source leads to leads to one that leads to the target.
     """
     cls = queries.select("graph_id", "attribute", "token").distinct()
     held = attrs.select("graph_id", "node_id", F.col("name").alias("attribute"), F.col("token").alias("_own"))
@@ -123,11 +144,17 @@ def constrained_reachability(queries: DataFrame, nodes: DataFrame, edges: DataFr
     free = free.select("graph_id", "attribute", F.coalesce("token", F.lit("")).alias("token"), "node_id")
     adj = adjacency(edges).select("graph_id", "src", "dst").distinct()
     keys = ["graph_id", "attribute", "token"]
-    comp = components(free, adj.join(free.select(*keys).distinct(), "graph_id"), keys)
-    near = adj.join(comp.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"]).select(*keys, F.col("src").alias("end"), "component").distinct()
+    comp, links = regions(free, adj.join(free.select(*keys).distinct(), "graph_id"), keys, directed_graphs(edges))
+    near = lambda end, inner: adj.join(comp.withColumnRenamed("node_id", inner), ["graph_id", inner]).select(*keys, F.col(end).alias("end"), "component").distinct()
+    leave, enter = near("src", "dst"), near("dst", "src")
     q = queries.withColumn("_token", F.coalesce("token", F.lit("")))
-    s = near.select("graph_id", "attribute", F.col("token").alias("_token"), F.col("end").alias("source"), "component")
-    t = near.select("graph_id", "attribute", F.col("token").alias("_token"), F.col("end").alias("target"), "component")
+    if links is not None:
+        asked = q.select("graph_id", "attribute", F.col("_token").alias("token"), F.col("source").alias("end")).distinct()
+        leave = settle(leave.join(asked, [*keys, "end"], "left_semi"), "leave")
+        led = reach.closure(leave.select(*keys, F.col("component").alias("a")), links, keys)
+        leave = leave.withColumnRenamed("component", "a").join(led, [*keys, "a"]).select(*keys, "end", F.col("b").alias("component")).distinct()
+    s = leave.select("graph_id", "attribute", F.col("token").alias("_token"), F.col("end").alias("source"), "component")
+    t = enter.select("graph_id", "attribute", F.col("token").alias("_token"), F.col("end").alias("target"), "component")
     ends = ["graph_id", "attribute", "_token", "source", "target"]
     by_way = q.select(*ends).distinct().join(s, ends[:4]).join(t, [*ends[:3], "target", "component"]).select(*ends).distinct()
     touch = q.select(*ends).distinct().join(adj.toDF("graph_id", "source", "target"), ["graph_id", "source", "target"], "left_semi")
@@ -197,8 +224,8 @@ def _block_numbers(a: list[str], b: list[str]) -> list[int]:
 
 
 def cycle_membership(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """yes if two different neighbours of the source stay connected without it: if it lies in a block of two edges or more."""
-    block = blocks(edges)
+    """yes if two different neighbours of the source stay connected without it: if it lies in a block of two edges or more; no where edges have directions."""
+    block = blocks(edges.where(two_way(edges)))
     many = block.groupBy("graph_id", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph_id", "block")
     on = block.join(many, ["graph_id", "block"]).select("graph_id", F.explode(F.array("a", "b")).alias("source")).distinct().withColumn("_on", F.lit(True))
     return checked(queries.join(on, ["graph_id", "source"], "left"), nodes, F.when(F.col("_on"), "yes").otherwise("no")).drop("_on")

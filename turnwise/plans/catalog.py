@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
-from ..operators import apply, corpus, graph_text, local, metrics, paths, reports, structure
+from ..operators import apply, corpus, graph_text, local, metrics, paths, reach, reports, solve, structure
 from ..operators import sessions as ses
 from ..shared import once
 from ..sources import records, trade
@@ -186,6 +186,23 @@ def _malformed(s: Sessions) -> DataFrame:
     return e.select("session_id", "pos", "e.operation", "e.error")
 
 
+def _mixed_query(f: Callable[[trade.Graphs], DataFrame]) -> Query:
+    return lambda spark, d: f(trade.mixed_graphs(spark, d))
+
+
+def _strong(g: trade.Graphs) -> DataFrame:
+    return paths.regions(g.nodes, adj.adjacency(g.edges), ["graph_id"], adj.directed_graphs(g.edges))[0]
+
+
+def _open_reach(g: trade.Graphs) -> DataFrame:
+    """(graph_id, node_id, reached): how many nodes an open node leads to over open ones: the sizes of the components that its own leads to."""
+    comp, links = paths.regions(g.nodes.where("is_open"), adj.open_adjacency(g.nodes, g.edges), ["graph_id"], adj.directed_graphs(g.edges))
+    led = reach.closure(comp.select("graph_id", F.col("component").alias("a")), links, ["graph_id"])
+    size = comp.groupBy("graph_id", F.col("component").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    total = led.join(size, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("component")).agg(F.sum("n").alias("reached"))
+    return comp.join(total, ["graph_id", "component"]).select("graph_id", "node_id", "reached")
+
+
 def _degree_value(g: trade.Graphs) -> DataFrame:
     return adj.degrees(g.nodes, g.edges).select("graph_id", "node_id", F.col("degree").cast("double").alias("x"))
 
@@ -302,4 +319,8 @@ def queries() -> dict[str, Query]:
         "token_budget": _token_budget,
         "set_f1": _set_f1,
         "pooled_mean": _pooled_mean,
+        "mixed_answers": _mixed_query(lambda g: solve.answer_queries(trade.mixed_questions(g), g.nodes, g.edges, g.attrs)),
+        "directed_components": _mixed_query(_strong),
+        "directed_closure": _mixed_query(_open_reach),
+        "deep_hops": _mixed_query(lambda g: adj.hop_map(nq(g), g.edges, None)),
     }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
+from ..operators.solve import KINDS
 from ..shared import numbered, once
 
 
@@ -98,6 +99,36 @@ def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
     return Graphs(nodes, once(spark, d, f"edges-{k}", lambda: edges), attrs)
 
 
+def mixed_graphs(spark: SparkSession, d: str, k: int = 2) -> Graphs:
+    """The trade graphs, those of odd number directed: each nation as a customer points to its k largest suppliers.
+
+    edges has a column directed. The weight of a directed edge is 1 + its items modulo 7, over 2, so that paths tie and halves occur.
+    """
+    g = trade_graphs(spark, d, 1)
+    odd = graph_ids(spark, d).where("gi % 2 = 1").select("graph_id")
+    ranked = trade_counts(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "s").orderBy(F.desc("cnt"), "t"))).where(F.col("rank") <= k)
+    node = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    arrows = ranked.join(odd, "graph_id", "left_semi").select("graph_id", node("s").alias("src"), node("t").alias("dst"), F.lit("supply").alias("relation"), ((F.lit(1) + F.col("cnt") % 7) / 2).cast("double").alias("weight"), F.lit(True).alias("directed"))
+    plain = g.edges.join(odd, "graph_id", "left_anti").withColumn("directed", F.lit(False))
+    return Graphs(g.nodes, once(spark, d, f"mixed-edges-{k}", lambda: plain.unionByName(arrows)), g.attrs)
+
+
+def mixed_questions(g: Graphs) -> DataFrame:
+    """(query_id, kind, graph_id, source, target, attribute, value, token, hops): a question about each ordered pair of nodes of each graph.
+
+    All sixteen kinds come in turn; hops run from 0 to 6.
+    """
+    a = g.nodes.select("graph_id", "gi", F.col("nk").alias("x"), F.col("node_id").alias("source"))
+    b = g.nodes.select("graph_id", F.col("nk").alias("y"), F.col("node_id").alias("target"))
+    no = F.col("x") * 25 + F.col("y") + F.col("gi") * 3
+    q = a.join(b, "graph_id").where("x <> y").withColumn("no", no)
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.floor(F.col("no") / 16) % n + 1).cast("int"))
+    q = q.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("no") % 16 + 1).cast("int")))
+    q = q.withColumn("attribute", pick(4, "has_rail", "status", "cleanliness", None)).withColumn("value", pick(4, "False", "closed", "dirty", None)).withColumn("hops", (F.col("no") % 7).cast("long"))
+    cols = ["kind", "graph_id", "source", "target", "attribute", "value", tok.literal(F.col("value"))["token"].alias("token"), "hops"]
+    return q.select(F.concat_ws("/", "graph_id", "source", "target").alias("query_id"), *cols)
+
+
 def pair_queries(g: Graphs) -> DataFrame:
     """(graph_id, source, target): all node pairs a < b of each graph."""
     a = g.nodes.select("graph_id", F.col("nk").alias("a"), F.col("node_id").alias("source"))
