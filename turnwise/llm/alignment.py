@@ -34,7 +34,7 @@ BLOCK_DOCS, BLOCK_CHUNKS = 4096, 600_000
 #: Bytes and documents whose new chunks are read together.
 READ, READ_DOCS = 1_000_000, 1024
 #: Chunks that a task remembers, up to this many characters each.
-MEMORY, MEMORY_CHARS = 400_000, 64
+MEMORY, MEMORY_CHARS = 250_000, 64
 #: Rows of a side id in one shard, about.
 SHARD_ROWS = 2048
 #: Postings that a task of the cogroup adds up before it emits.
