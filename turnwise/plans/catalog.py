@@ -12,6 +12,7 @@ from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
 from ..operators import apply, corpus, graph_text, local, metrics, paths, reach, reports, solve, structure
 from ..operators import sessions as ses
+from ..operators import static_eval
 from ..shared import once
 from ..sources import records, trade
 
@@ -203,6 +204,42 @@ def _open_reach(g: trade.Graphs) -> DataFrame:
     return comp.join(total, ["graph_id", "component"]).select("graph_id", "node_id", "reached")
 
 
+def coded(g: trade.Graphs) -> trade.Graphs:
+    """g with an attribute code on every node, whose values true, "true", 1 and 1.0 differ in type alone."""
+    nth = F.col("nk") % 4
+    token, said = F.when(nth == 1, "s:true").otherwise("n:1"), F.element_at(F.array(*map(F.lit, ("True", "true", "1", "1.0"))), (nth + 1).cast("int"))
+    code = g.nodes.select("graph_id", "node_id", F.lit("code").alias("name"), token.alias("token"), said.alias("text"))
+    return trade.Graphs(g.nodes, g.edges, g.attrs.unionByName(code))
+
+
+def static_questions(g: trade.Graphs) -> DataFrame:
+    """One question about each node of each graph, of all kinds in turn, with value_json and what identifies a static record."""
+    q = trade.mixed_questions(g).where(F.col("target") == F.concat(F.lit("n"), F.pmod(F.substring("source", 2, 9).cast("int") + 7, F.lit(25)).cast("string")))
+    n = F.substring("source", 2, 9).cast("int")
+    code = n % 3 == 0
+    attribute, value = F.when(code, "code").otherwise(F.col("attribute")), F.when(code, F.when(n % 2 == 0, "true").otherwise("1.0"))
+    plain = F.when(F.col("value") == "False", "false").when(F.col("value").isNotNull(), F.concat(F.lit('"'), "value", F.lit('"')))
+    return q.select(
+        "query_id", "kind", "graph_id", "source", "target", attribute.alias("attribute"), F.coalesce(value, plain).alias("value_json"),
+        F.when(code, F.lit("n:1")).otherwise(F.col("token")).alias("token"), "hops", F.when(n % 2 == 0, "train").otherwise("test").alias("split"), F.when(n < 10, "small").otherwise("large").alias("scale_bin"),
+    )
+
+
+def _static_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Static records written as JSON lines, read back and answered; their stored answers hold for the graphs without directions."""
+
+    def build() -> DataFrame:
+        g = coded(trade.mixed_graphs(spark, d))
+        q = static_questions(g)
+        gold = solve.answer_queries(q.select("query_id", "kind", "graph_id", "source", "target", "attribute", "token", "hops"), g.nodes, g.edges.drop("directed"), g.attrs)
+        lines = records.static_json(q.join(gold, "query_id"), records.graph_json(g))
+        path = records.new_folder(spark, "static")
+        lines.write.text(path)
+        return static_eval.evaluate(records.read_static(spark, path))
+
+    return once(spark, d, "static-rows", build)
+
+
 def _degree_value(g: trade.Graphs) -> DataFrame:
     return adj.degrees(g.nodes, g.edges).select("graph_id", "node_id", F.col("degree").cast("double").alias("x"))
 
@@ -322,5 +359,7 @@ def queries() -> dict[str, Query]:
         "mixed_answers": _mixed_query(lambda g: solve.answer_queries(trade.mixed_questions(g), g.nodes, g.edges, g.attrs)),
         "directed_components": _mixed_query(_strong),
         "directed_closure": _mixed_query(_open_reach),
+        "static_eval": lambda spark, d: _static_rows(spark, d).select("tuple_id", "split", "reasoning_type", "scale_bin", "gold_answer", "predicted_answer", "correct"),
+        "static_report": lambda spark, d: static_eval.report(_static_rows(spark, d)),
         "deep_hops": _mixed_query(lambda g: adj.hop_map(nq(g), g.edges, None)),
     }

@@ -40,14 +40,20 @@ def _paths() -> str:
 
 
 def _value(m: str) -> str:
-    return f"case q.attribute when 'has_rail' then case when {m}.has_rail then 'True' else 'False' end when 'status' then {m}.status when 'cleanliness' then {m}.cleanliness end"
+    """What an attribute compares as; of the codes, all but the string are one number."""
+    return f"case q.attribute when 'has_rail' then case when {m}.has_rail then 'True' else 'False' end when 'status' then {m}.status when 'cleanliness' then {m}.cleanliness when 'code' then case {m}.nk % 4 when 1 then 'string' else 'number' end end"
+
+
+def _text(m: str) -> str:
+    """What an attribute prints as."""
+    return f"case q.attribute when 'code' then ['True', 'true', '1', '1.0'][{m}.nk % 4 + 1] else {_value(m)} end"
 
 
 def _rows(kinds: str, answer: str, joins: str = "", group: bool = False) -> str:
     return f"select query_id, {answer} as answer from mq q {joins} where kind in ({kinds})" + (" group by query_id" if group else "")
 
 
-def mixed_answers() -> str:
+def mixed_answers(asked: str = _ASKED, graphs: str = _GRAPHS) -> str:
     """All sixteen kinds over the mixed collection, each as its definition says."""
     path = f"left join mb{_ROUNDS} b on b.graph_id = q.graph_id and b.source = q.source and b.node = q.target"
     edge = "left join madj a on a.graph_id = q.graph_id and a.src = q.source"
@@ -67,9 +73,9 @@ def mixed_answers() -> str:
         _rows("'filtered_neighbor_count'", f"case when any_value(q.attribute) is null then 'invalid' else cast(count(a.dst) filter (where ({_value('m')}) = q.value) as varchar) end", edge + " left join nodes m on m.graph_id = a.graph_id and m.node_id = a.dst", True),
         _rows("'within_hops_count'", f"cast(count(m.node_id) filter (where {wanted}) as varchar)", hop, True),
         _rows("'within_hops_list'", f"coalesce(string_agg(m.label, ', ' order by m.label) filter (where {wanted}), 'none')", hop, True),
-        "select query_id, coalesce(v, 'none') from (select *, row_number() over (partition by query_id order by n desc, v) as r from (" + f"select query_id, {_value('m')} as v, count(*) as n from mq q join (select graph_id, source, node, depth from mhop union all select graph_id, node_id, node_id, 0 from nodes) h on h.graph_id = q.graph_id and h.source = q.source and h.depth <= q.radius join nodes m on m.graph_id = h.graph_id and m.node_id = h.node where kind = 'most_common_attribute_within_hops' and q.attribute is not null group by all)) where r = 1",
+        "select query_id, coalesce(v, 'none') from (select *, row_number() over (partition by query_id order by n desc, v) as r from (" + f"select query_id, {_text('m')} as v, count(*) as n from mq q join (select graph_id, source, node, depth from mhop union all select graph_id, node_id, node_id, 0 from nodes) h on h.graph_id = q.graph_id and h.source = q.source and h.depth <= q.radius join nodes m on m.graph_id = h.graph_id and m.node_id = h.node where kind = 'most_common_attribute_within_hops' and q.attribute is not null group by all)) where r = 1",
         _rows("'most_common_attribute_within_hops'", "'invalid'") + " and q.attribute is null",
-        _rows("'attribute_lookup'", f"case when q.attribute is null then 'invalid' else {_value('m')} end", own),
+        _rows("'attribute_lookup'", f"case when q.attribute is null then 'invalid' else {_text('m')} end", own),
         _rows("'attribute_check'", f"case when q.attribute is null then 'invalid' when ({_value('m')}) = q.value then 'yes' else 'no' end", own),
     ]
     reach = f""", mreach as (
@@ -86,7 +92,7 @@ def mixed_answers() -> str:
   select distinct graph_id, source, source as node, 0 as depth from mq where kind in ('within_hops_count', 'within_hops_list', 'most_common_attribute_within_hops')
   union select w.graph_id, source, dst, depth + 1 from mwalk w join madj a on a.graph_id = w.graph_id and a.src = node where depth < 6
 ), mhop as (select graph_id, source, node, min(depth) as depth from mwalk where node <> source group by all)"""
-    return base(1) + _GRAPHS + _ASKED + _paths() + reach + "\n" + "\nunion all ".join(parts)
+    return base(1) + graphs + asked + _paths() + reach + "\n" + "\nunion all ".join(parts)
 
 
 def directed_components() -> str:
@@ -110,5 +116,30 @@ def deep_hops() -> str:
 ) select graph_id, source, node as node_id, cast(min(depth) as bigint) as depth from walk where node <> source group by graph_id, source, node"""
 
 
+def _static() -> str:
+    """Rows of the static evaluation: answers on the graphs as stored against those on the graphs without directions."""
+    n = "cast(substr(source, 2) as int)"
+    asked = _ASKED.replace("mq as materialized", "mq0 as materialized") + f""", mq as materialized (
+  select query_id, graph_id, source, target, kind, case when {n} % 3 = 0 then 'code' else attribute end as attribute, case when {n} % 3 = 0 then 'number' else value end as value, hops, radius
+  from mq0 where target = 'n' || ({n} + 7) % 25
+)"""
+    gold, said = (mixed_answers(asked, g) for g in (_GRAPHS.replace(", true from", ", false from"), _GRAPHS))
+    word = "case lower({0}) when 'true' then 'yes' when 'false' then 'no' else lower({0}) end"
+    return f"""
+with gold as ({gold}), said as ({said}), asked as ({base(1)}{_GRAPHS}{asked} select query_id, kind, source from mq)
+select query_id as tuple_id, case when {n} % 2 = 0 then 'train' else 'test' end as split, kind as reasoning_type, case when {n} < 10 then 'small' else 'large' end as scale_bin,
+  {word.format("gold.answer")} as gold_answer, {word.format("said.answer")} as predicted_answer,
+  case when kind = 'path_cost' and try_cast(gold.answer as double) is not null and try_cast(said.answer as double) is not null then abs(cast(gold.answer as double) - cast(said.answer as double)) <= 0.011 else {word.format("gold.answer")} = {word.format("said.answer")} end as correct
+from asked join gold using (query_id) join said using (query_id)"""
+
+
+def _static_report() -> str:
+    acc = "count(*) as n, count(*) filter (where correct) / count(*) as accuracy"
+    return f"""with r as ({_static()}), t as (select reasoning_type as bucket, {acc} from r group by 1)
+select 'task' as level, bucket, n, accuracy, accuracy >= 0.5 as passed from t
+union all select 'scale', scale_bin, {acc}, null from r group by scale_bin
+union all select 'all', null, {acc}, count(*) filter (where correct) / count(*) >= 0.7 and (select count(*) from t where accuracy < 0.5) = 0 from r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"mixed_answers": mixed_answers(), "directed_components": directed_components(), "directed_closure": directed_closure(), "deep_hops": deep_hops()}
+    return {"mixed_answers": mixed_answers(), "directed_components": directed_components(), "directed_closure": directed_closure(), "deep_hops": deep_hops(), "static_eval": _static(), "static_report": _static_report()}

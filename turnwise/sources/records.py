@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars
 from ..shared import table_dir
+from .trade import Graphs
 
-_SCALARS = "map<string,string>"
+#: Names of scalars, each with its own type.
+_SCALARS = "map<string,variant>"
 NODE = f"struct<id:string,label:string,attributes:{_SCALARS}>"
 EDGE = f"struct<source:string,target:string,relation:string,weight:double,attributes:{_SCALARS}>"
 GRAPH = f"struct<graph_id:string,nodes:array<{NODE}>,edges:array<{EDGE}>,directed:boolean,metadata:{_SCALARS}>"
-EDIT = "struct<operation:string,target:string,node_id:string,source:string,destination:string,attribute:string,value:string,label:string,relation:string,weight:double,reason:string>"
-QUERY = "struct<reasoning_type:string,source:string,target:string,attribute:string,value:string,question:string,hops:int>"
+EDIT = "struct<operation:string,target:string,node_id:string,source:string,destination:string,attribute:string,value:variant,label:string,relation:string,weight:double,reason:string>"
+QUERY = "struct<reasoning_type:string,source:string,target:string,attribute:string,value:variant,question:string,hops:int>"
 TURN = f"struct<turn_index:int,utterance:string,gold_edit:{EDIT},gold_edits:array<{EDIT}>,query:{QUERY},gold_answer:string,stale_answer:string,before_fingerprint:string,after_fingerprint:string,tags:array<string>,complexity:{_SCALARS}>"
 SESSION = f"session_id string, split string, initial_graph {GRAPH}, turns array<{TURN}>, seed long, paraphrase_family string"
 STATIC = f"tuple_id string, split string, graph {GRAPH}, query {QUERY}, answer string, topology string, density_bin string, hop_depth string, scale_bin string, metadata {_SCALARS}"
@@ -36,9 +39,14 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{table_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def round_trip(df: DataFrame, name: str) -> DataFrame:
     """df written as JSON lines into the shared folder and read back."""
-    path = f"{table_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     write_lines(df, path)
     return read_lines(df.sparkSession, path, df.schema)
 
@@ -62,17 +70,81 @@ def read_static(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path, STATIC).withColumn("graph", completed_graph(F.col("graph")))
 
 
-def graph_nodes(graphs: DataFrame, graph: str = "graph") -> DataFrame:
-    """(graph_id, node_id, label, is_open, attributes) from a column of graphs."""
-    n = graphs.select(F.col(f"{graph}.graph_id").alias("graph_id"), F.explode(f"{graph}.nodes").alias("n"))
-    status, open_ = F.coalesce(F.col("n.attributes")["status"], F.lit("open")), F.lower(F.coalesce(F.col("n.attributes")["open"], F.lit("true")))
-    return n.select("graph_id", F.col("n.id").alias("node_id"), F.col("n.label").alias("label"), ((status != "closed") & (open_ != "false")).alias("is_open"), F.col("n.attributes").alias("attributes"))
+def _named(attributes: Column, name: str) -> Column:
+    return F.try_element_at(attributes, F.lit(name))
+
+
+def available(attributes: Column) -> Column:
+    """Whether a node with these attributes can be used: unless its status is the string closed, or open is the boolean false."""
+    status, is_open = _named(attributes, "status"), _named(attributes, "open")
+    shut = (F.schema_of_variant(status) == "STRING") & (F.try_variant_get(status, "$", "string") == "closed")
+    barred = (F.schema_of_variant(is_open) == "BOOLEAN") & ~F.try_variant_get(is_open, "$", "boolean")
+    return ~F.coalesce(shut, F.lit(False)) & ~F.coalesce(barred, F.lit(False))
+
+
+def graph_nodes(graphs: DataFrame, graph: str = "graph", key: Column | None = None) -> DataFrame:
+    """(graph_id, node_id, label, is_open, attributes) from a column of graphs; key names a graph in place of its own id."""
+    n = graphs.select((F.col(f"{graph}.graph_id") if key is None else key).alias("graph_id"), F.explode(f"{graph}.nodes").alias("n"))
+    return n.select("graph_id", F.col("n.id").alias("node_id"), F.col("n.label").alias("label"), available(F.col("n.attributes")).alias("is_open"), F.col("n.attributes").alias("attributes"))
+
+
+def graph_attributes(nodes: DataFrame) -> DataFrame:
+    """(graph_id, node_id, name, token, text) of every attribute of nodes as graph_nodes gives them."""
+    a = nodes.select("graph_id", "node_id", F.explode("attributes").alias("name", "v"))
+    return a.select("graph_id", "node_id", "name", scalars.scalar(F.col("v")).alias("s")).select("graph_id", "node_id", "name", "s.token", "s.text")
+
+
+def graph_edges(graphs: DataFrame, graph: str = "graph", key: Column | None = None) -> DataFrame:
+    """(graph_id, src, dst, relation, weight, directed) from a column of graphs."""
+    e = graphs.select((F.col(f"{graph}.graph_id") if key is None else key).alias("graph_id"), F.coalesce(F.col(f"{graph}.directed"), F.lit(False)).alias("directed"), F.explode(f"{graph}.edges").alias("e"))
+    return e.select("graph_id", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.relation").alias("relation"), F.col("e.weight").alias("weight"), "directed")
+
+
+def collection(graphs: DataFrame, graph: str = "graph", key: Column | None = None) -> Graphs:
+    """The frames of a column of graphs, which every question can be asked about."""
+    nodes = graph_nodes(graphs, graph, key)
+    return Graphs(nodes.drop("attributes"), graph_edges(graphs, graph, key), graph_attributes(nodes))
+
+
+def record_queries(records: DataFrame, key: Column, query: str = "query") -> DataFrame:
+    """(query_id, graph_id, kind, source, target, attribute, token, hops) of a column of queries; the key names both query and graph."""
+    q = F.col(query)
+    return records.select(key.alias("query_id"), key.alias("graph_id"), q["reasoning_type"].alias("kind"), q["source"].alias("source"), q["target"].alias("target"), q["attribute"].alias("attribute"), scalars.scalar(q["value"])["token"].alias("token"), q["hops"].alias("hops"))
+
+
+def _object(pairs: Column) -> Column:
+    """JSON text of an object from an array of (name, json), sorted by name."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(scalars.quoted(p["name"]), F.lit(":"), p["json"])), ","), F.lit("}"))
+
+
+def graph_json(g: Graphs) -> DataFrame:
+    """(graph_id, json): each graph as a JSON record with sorted keys, nodes by id and edges by ends and relation."""
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("json"))
+    q = scalars.quoted
+    held = g.attrs.groupBy("graph_id", "node_id").agg(_object(F.collect_list(F.struct("name", scalars.scalar_json(F.col("token"), F.col("text")).alias("json")))).alias("attributes"))
+    node = g.nodes.select("graph_id", "node_id", "label").join(held, ["graph_id", "node_id"], "left")
+    node_json = _object(F.array(field("attributes", F.coalesce("attributes", F.lit("{}"))), field("id", q(F.col("node_id"))), field("label", q(F.col("label")))))
+    nodes = node.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", node_json.alias("json")))).alias("nodes"))
+    directed = F.col("directed") if "directed" in g.edges.columns else F.lit(False)
+    edge_json = _object(F.array(field("relation", q(F.col("relation"))), field("source", q(F.col("src"))), field("target", q(F.col("dst"))), field("weight", scalars.float_text(F.col("weight")))))
+    edges = g.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "relation", edge_json.alias("json")))).alias("edges"), F.bool_or(directed).alias("directed"))
+    joined = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(c, lambda x: x["json"]), ","), F.lit("")), F.lit("]"))
+    both = nodes.join(edges, "graph_id", "left")
+    whole = _object(F.array(field("graph_id", q(F.col("graph_id"))), field("nodes", joined("nodes")), field("edges", joined("edges")), field("directed", F.coalesce(F.col("directed"), F.lit(False)).cast("string"))))
+    return both.select("graph_id", whole.alias("json"))
 
 
-def graph_edges(graphs: DataFrame, graph: str = "graph") -> DataFrame:
-    """(graph_id, src, dst, relation, weight) from a column of graphs."""
-    e = graphs.select(F.col(f"{graph}.graph_id").alias("graph_id"), F.explode(f"{graph}.edges").alias("e"))
-    return e.select("graph_id", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.relation").alias("relation"), F.col("e.weight").alias("weight"))
+def static_json(questions: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(value): one line for each question (query_id, kind, graph_id, source, target, attribute, value_json, hops, answer, split, scale_bin) with its whole graph from graph_json."""
+    q = scalars.quoted
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("json"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    query = _object(F.array(
+        field("reasoning_type", q(F.col("kind"))), field("source", q(F.col("source"))), field("target", q(F.col("target"))), field("attribute", q(F.col("attribute"))),
+        field("value", F.coalesce("value_json", F.lit("null"))), field("hops", number("hops")),
+    ))
+    line = _object(F.array(field("tuple_id", q(F.col("query_id"))), field("split", q(F.col("split"))), field("graph", F.col("json")), field("query", query), field("answer", q(F.col("answer"))), field("scale_bin", q(F.col("scale_bin")))))
+    return questions.join(graphs, "graph_id").select(line.alias("value"))
 
 
 def turn_records(said: DataFrame, answers: DataFrame) -> DataFrame:
