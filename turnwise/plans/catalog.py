@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
-from ..operators import apply, corpus, graph_text, local, metrics, paths, reach, reports, solve, structure
+from ..operators import apply, corpus, graph_text, leaks, local, metrics, paths, reach, reports, solve, structure
 from ..operators import sessions as ses
 from ..operators import static_eval
 from ..shared import once
@@ -240,6 +240,14 @@ def _static_rows(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "static-rows", build)
 
 
+def _leaks(s: Sessions) -> DataFrame:
+    """The audit over the sessions' questions: rules from sessions to learn from, scored on the others."""
+    q = leaks.prompt_features(ses.asked(s.turns), s.graphs.attrs)
+    rows = q.join(s.answers.select("session_id", "turn_index", F.col("gold").alias("answer")), ["session_id", "turn_index"])
+    rows = s._once("leak-rows", lambda: rows.select("session_id", "turn_index", F.col("kind").alias("task"), "answer", "features"))
+    return leaks.audit(rows.where(ses.learns()), rows.where(~ses.learns()), ["session_id", "turn_index"])
+
+
 def _degree_value(g: trade.Graphs) -> DataFrame:
     return adj.degrees(g.nodes, g.edges).select("graph_id", "node_id", F.col("degree").cast("double").alias("x"))
 
@@ -359,6 +367,7 @@ def queries() -> dict[str, Query]:
         "mixed_answers": _mixed_query(lambda g: solve.answer_queries(trade.mixed_questions(g), g.nodes, g.edges, g.attrs)),
         "directed_components": _mixed_query(_strong),
         "directed_closure": _mixed_query(_open_reach),
+        "text_leak_audit": _session_query(_leaks),
         "static_eval": lambda spark, d: _static_rows(spark, d).select("tuple_id", "split", "reasoning_type", "scale_bin", "gold_answer", "predicted_answer", "correct"),
         "static_report": lambda spark, d: static_eval.report(_static_rows(spark, d)),
         "deep_hops": _mixed_query(lambda g: adj.hop_map(nq(g), g.edges, None)),

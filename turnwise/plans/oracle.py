@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import mixed_sql
+from . import leak_sql, mixed_sql
 from .base_sql import base as _base
 
 _HOPS = """, h1 as (select distinct graph_id, src as source, dst as node_id, 1 as depth from adj
@@ -404,5 +404,6 @@ def oracle_sql() -> dict[str, str]:
         + _NORMAL
         + ", s as (select conv_id, turn, role, case when coalesce(answer, '') in ('none', '') then [] else list_distinct(list_filter(list_transform(string_split(answer, ','), lambda x: trim(x)), lambda x: x <> '')) end as w from norm join conversations using (conv_id, turn)) select a.conv_id, a.turn, case when len(a.w) + len(b.w) = 0 then 1.0 else 2 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) end as f1 from s a join s b on b.conv_id = a.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'",
         "pooled_mean": "with d as (select label, unnest(embedding) as x, cast(unnest(range(len(embedding))) as bigint) as dim from embeddings where label is not null) select label, dim, round(avg(cast(x as double)), 6) as mean from d group by 1, 2",
+        "text_leak_audit": leak_sql.audit(w),
         **mixed_sql.oracle_sql(),
     }
