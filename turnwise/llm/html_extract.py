@@ -36,13 +36,19 @@ from . import _common as C
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-NEVER = frozenset("script style noscript template iframe object svg math canvas audio video map head title select option datalist button textarea".split())
+NEVER = frozenset("script style noscript template iframe object svg canvas audio video map head title select option datalist button textarea annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of formulas; they stand within a line.
+INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle mpadded mfenced menclose semantics".split())
+#: Skipped elements that stand within a line, so that text on either side is one block.
+WITHIN = frozenset("script style noscript template iframe object svg canvas audio video map select button textarea datalist annotation annotation-xml".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold furniture, with the prior of what stands in them.
 FURNITURE, FURNITURE_PRIOR = frozenset("nav footer aside dialog menu form fieldset".split()), 0.02
 #: Words of a class, id or role: the first kind names furniture anywhere, the second outside of article and main only.
 STRONG = re.compile(r"(?:ads?|advert\w*|sponsor\w*|banner|cookies?|consent|gdpr|popup|modal|newsletter|paywall|sharing|sidebar|nav|navbar|navigation|menu|breadcrumbs?|toolbar|pager|pagination|masthead|footer|copyright|comments?|commentlist|disqus|respond|repl(?:y|ies)|contentinfo|complementary)")
+#: Of the first kind, words that an article may use for a section of its own: prose under them stays.
+OWN = re.compile(r"(?:banner|nav|navbar|navigation|menu|toolbar|pager|pagination|copyright)")
 WEAK = re.compile(r"(?:promo\w*|notices?|alert|overlay|subscri\w*|signup|share|social|related|recommend\w*|trending|popular|widget|topbar|header|legal|discussion|login|search|skip)")
 STRONG_PRIOR, WEAK_PRIOR, OUTSIDE_PRIOR = 0.02, 0.1, 0.15
 _NEGATED = frozenset("has no not with without hide show".split())
@@ -54,6 +60,8 @@ _WORDS = re.compile(r"[A-Za-z0-9]+")
 #: Width of the smoothing window, characters and marks a node at which a ratio is one half, threshold as a
 #: share of the best path, and the share of link text from which a block outside an article is a menu.
 SIGMA, HALF_CHARS, HALF_MARKS, THRESHOLD, LINKED = 1.5, 80.0, 1.0, 0.25, 0.6
+#: Characters and share of link text at which a named part of an article is prose.
+PROSE_CHARS, PROSE_LINKED = 120, 0.3
 
 
 class _Element:
@@ -97,13 +105,17 @@ class _Page(HTMLParser):
         self.nodes: list[_Node] = []
         self.node: _Node | None = None
 
+    def _ends_block(self, tag: str) -> bool:
+        return tag not in INLINE and tag not in WITHIN and not self.stack[-1].never
+
     def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
+        if self._ends_block(tag):
             self.node = None
-        if tag in _CLOSES_P:
-            self._close({"p"}, {"button", "table", "td", "th", "body"})
-        if tag in _CLOSES:
-            self._close(*_CLOSES[tag])
+        if not self.stack[-1].never:
+            if tag in _CLOSES_P:
+                self._close({"p"}, {"button", "table", "td", "th", "body"})
+            if tag in _CLOSES:
+                self._close(*_CLOSES[tag])
         if tag in VOID:
             if tag == "br" and self.node is not None:
                 self.node.parts.append(" ")
@@ -144,7 +156,7 @@ class _Page(HTMLParser):
             if tag == "br" and self.node is not None:
                 self.node.parts.append(" ")
             return
-        if tag not in INLINE:
+        if self._ends_block(tag):
             self.node = None
         if not self.opened[tag]:
             return
@@ -187,7 +199,8 @@ def _sum_up(elements: list[_Element], nodes: list[_Node]) -> None:
         if e.tag in FURNITURE and not (e.tag in ("form", "fieldset") and (e.holds or 2 * e.chars > root.chars)):
             own = FURNITURE_PRIOR
         elif e.tag not in ("html", "body", "main", *HEADINGS) and not (e.holds or (not root.holds and 2 * e.chars > root.chars)):
-            if any(STRONG.fullmatch(w) for w in e.named):
+            prose = e.article and e.chars >= PROSE_CHARS and e.linked <= PROSE_LINKED * e.chars
+            if any(STRONG.fullmatch(w) and not (prose and OWN.fullmatch(w)) for w in e.named):
                 own = STRONG_PRIOR
             elif not e.article and (e.tag == "header" or any(WEAK.fullmatch(w) for w in e.named)):
                 own = WEAK_PRIOR
@@ -235,7 +248,8 @@ def extract(html: str | None) -> str:
     elements, root = page.elements, page.elements[0]
     _sum_up(elements, nodes)
     score = _scores(nodes, root)
-    content = [s >= THRESHOLD * max(score) for s in score]
+    least = THRESHOLD * max(score)
+    content = [s >= least for s in score]
     # The deepest element that holds all content nodes.
     for n, c in zip(nodes, content, strict=True):
         n.element.count += c
