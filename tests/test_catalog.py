@@ -47,8 +47,12 @@ def test_query_equals_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table([c[0] for c in cur.description], cur.fetchall())
 
 
+#: Queries that SQL can't express; test_learning.py holds their operators against plain versions.
+LEARNED = {"principal_components", "linear_probe", "shortcut_answers"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | LEARNED
 
 
 def test_bootstrap_interval_holds_the_mean(spark):

@@ -54,7 +54,10 @@ def summed(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np
         total = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column("sums"))
         return pa.table([t.column("share")[:1], pa.array([total.tobytes()], pa.binary())], names=["share", "sums"])
 
-    shares = df.mapInArrow(each, "share int, sums binary").groupBy("share").applyInArrow(add, "share int, sums binary").collect()
+    parts = df.mapInArrow(each, "share int, sums binary")
+    # As few tasks as that send their sums to the driver themselves.
+    few = df.rdd.getNumPartitions() <= SHARES
+    shares = (parts if few else parts.groupBy("share").applyInArrow(add, "share int, sums binary")).collect()
     return sum(np.frombuffer(r.sums, np.float64) for r in sorted(shares, key=lambda r: r.share)) if shares else None
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
-from ..operators import apply, corpus, graph_text, leaks, local, metrics, paths, reach, reports, solve, structure
+from ..operators import apply, boosting, corpus, graph_text, leaks, local, metrics, paths, reach, reports, solve, spectrum, structure, vectors
 from ..operators import sessions as ses
 from ..operators import static_eval
 from ..shared import once
@@ -191,6 +191,11 @@ def _mixed_query(f: Callable[[trade.Graphs], DataFrame]) -> Query:
     return lambda spark, d: f(trade.mixed_graphs(spark, d))
 
 
+def _mixed_answers(spark: SparkSession, d: str) -> DataFrame:
+    g = trade.mixed_graphs(spark, d)
+    return once(spark, d, "mixed-answers", lambda: solve.answer_queries(once(spark, d, "mixed-questions", lambda: trade.mixed_questions(g)), g.nodes, g.edges, g.attrs))
+
+
 def _strong(g: trade.Graphs) -> DataFrame:
     return paths.regions(g.nodes, adj.adjacency(g.edges), ["graph_id"], adj.directed_graphs(g.edges))[0]
 
@@ -248,6 +253,45 @@ def _leaks(s: Sessions) -> DataFrame:
     return leaks.audit(rows.where(ses.learns()), rows.where(~ses.learns()), ["session_id", "turn_index"])
 
 
+def _hashed(g: trade.Graphs) -> DataFrame:
+    return vectors.node_vectors(g.nodes, coded(g).attrs)
+
+
+def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """df with columns rounded, and no negative zeros."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
+
+
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+#: Steps that the query's probe takes; the operator's own number is 500.
+PROBE_ROUNDS = 20
+
+
+def _probe(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the vectors of odd id, by a linear probe fitted on those of even id."""
+    e = _embeddings(spark, d)
+    model = spectrum.fit_probe(e.where("vec_id % 2 = 0"), "label", rounds=PROBE_ROUNDS)
+    return model.predict(e.where("vec_id % 2 = 1"), "label").select("vec_id", "label", "predicted")
+
+
+#: Trees a class that the query grows; the operator's own number is 150.
+SHORTCUT_ROUNDS = 12
+
+
+def _shortcut(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, task, answer, guess, correct): answers guessed from the structure close to the question, trees grown on half of the graphs and asked about the others."""
+    g = trade.mixed_graphs(spark, d)
+    q = trade.mixed_questions(g).where(~F.col("kind").isin(*solve.NAMED))
+    said = _mixed_answers(spark, d)
+    rows = boosting.structure_features(q, g.nodes, g.edges).join(said, "query_id").join(trade.graph_ids(spark, d), "graph_id")
+    rows = once(spark, d, "shortcut-rows", lambda: rows.select("query_id", F.col("kind").alias("task"), "features", tx.normalize_answer(F.col("answer")).alias("answer"), (F.col("gi") % 4 < 2).alias("learns")).where("task <> 'within_hops_list'"))
+    guessed = boosting.predict(rows.where("not learns"), boosting.fit(rows.where("learns"), SHORTCUT_ROUNDS))
+    return guessed.select("query_id", "task", "answer", "guess", tx.answers_match(F.col("task"), F.col("answer"), F.col("guess")).alias("correct"))
+
+
 def _degree_value(g: trade.Graphs) -> DataFrame:
     return adj.degrees(g.nodes, g.edges).select("graph_id", "node_id", F.col("degree").cast("double").alias("x"))
 
@@ -364,9 +408,16 @@ def queries() -> dict[str, Query]:
         "token_budget": _token_budget,
         "set_f1": _set_f1,
         "pooled_mean": _pooled_mean,
-        "mixed_answers": _mixed_query(lambda g: solve.answer_queries(trade.mixed_questions(g), g.nodes, g.edges, g.attrs)),
+        "mixed_answers": _mixed_answers,
         "directed_components": _mixed_query(_strong),
         "directed_closure": _mixed_query(_open_reach),
+        "node_vectors": gq(lambda g: _rounded(_hashed(g), 9, "value")),
+        **{f"message_{how}": gq(lambda g, how=how: _rounded(vectors.messages(g.edges, _hashed(g), how), 9, "value")) for how in ("sum", "mean", "max")},
+        "embedding_covariance": lambda spark, d: _rounded(spectrum.covariance(_embeddings(spark, d)), 6, "value"),
+        "collapse_statistics": lambda spark, d: _rounded(_rounded(spectrum.collapse(_embeddings(spark, d), "label"), 9, "mean_within_cosine"), 6, "effective_rank"),
+        "principal_components": lambda spark, d: spectrum.principal_components(_embeddings(spark, d), 8),
+        "linear_probe": _probe,
+        "shortcut_answers": _shortcut,
         "text_leak_audit": _session_query(_leaks),
         "static_eval": lambda spark, d: _static_rows(spark, d).select("tuple_id", "split", "reasoning_type", "scale_bin", "gold_answer", "predicted_answer", "correct"),
         "static_report": lambda spark, d: static_eval.report(_static_rows(spark, d)),

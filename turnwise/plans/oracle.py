@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import leak_sql, mixed_sql
+from . import leak_sql, mixed_sql, vector_sql
 from .base_sql import base as _base
 
 _HOPS = """, h1 as (select distinct graph_id, src as source, dst as node_id, 1 as depth from adj
@@ -406,4 +406,5 @@ def oracle_sql() -> dict[str, str]:
         "pooled_mean": "with d as (select label, unnest(embedding) as x, cast(unnest(range(len(embedding))) as bigint) as dim from embeddings where label is not null) select label, dim, round(avg(cast(x as double)), 6) as mean from d group by 1, 2",
         "text_leak_audit": leak_sql.audit(w),
         **mixed_sql.oracle_sql(),
+        **vector_sql.oracle_sql(),
     }
