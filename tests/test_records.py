@@ -1,5 +1,6 @@
 """JSON-lines records with typed values: scalars there and back, availability, from file to answers and scores."""
 
+import hashlib
 import json
 
 import pytest
@@ -94,3 +95,35 @@ def test_questions_about_graphs_of_a_file(spark, tmp_path):
     g = records.collection(records.read_static(spark, str(tmp_path / "g.jsonl")))
     q = spark.createDataFrame([(1, "filtered_neighbor_count", "g", "a", None, "k", "n:1", None), (2, "filtered_neighbor_count", "g", "b", None, "k", "n:1", None)], "query_id int, kind string, graph_id string, source string, target string, attribute string, token string, hops int")
     assert {r.query_id: r.answer for r in solve.answer_queries(q, g.nodes, g.edges, g.attrs).collect()} == {1: "1", 2: "0"}
+
+
+def plain_fingerprint(g):
+    ends = lambda e: (e["source"], e["target"]) if g.get("directed") or e["source"] <= e["target"] else (e["target"], e["source"])
+    nodes = sorted([n["id"], n.get("label", n["id"]), sorted(map(list, n.get("attributes", {}).items()))] for n in g["nodes"])
+    edges = sorted([*ends(e), e.get("relation", "connected"), float(e.get("weight", 1)), sorted(map(list, e.get("attributes", {}).items()))] for e in g["edges"])
+    return hashlib.sha256(json.dumps({"directed": bool(g.get("directed")), "nodes": nodes, "edges": edges}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+GRAPHS = [
+    {"graph_id": "1", "nodes": [{"id": "b", "label": "Ä 😀 \"x\"", "attributes": {"z": 1.0, "k": True, "a": None, "s": "1\n", "i": 3, "f": 1e-7, "é": "é"}}, {"id": "a"}], "edges": [{"source": "b", "target": "a", "weight": 2, "attributes": {"built": 1999, "aircon": False}}, {"source": "a", "target": "b", "relation": "r", "weight": 0.1}]},
+    {"graph_id": "2", "directed": True, "nodes": [{"id": "b"}, {"id": "a"}], "edges": [{"source": "b", "target": "a"}]}, {"graph_id": "3", "nodes": [], "edges": []},
+]
+
+
+def test_fingerprints_are_those_of_canonical_json(spark, tmp_path):
+    lines = [{"tuple_id": g["graph_id"], "graph": g} for g in GRAPHS]
+    (tmp_path / "g.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    got = {r.tuple_id: r.f for r in records.read_static(spark, str(tmp_path / "g.jsonl")).select("tuple_id", records.fingerprint(F.col("graph")).alias("f")).collect()}
+    assert got == {g["graph_id"]: plain_fingerprint(g) for g in GRAPHS}
+
+
+def test_chains_of_fingerprints(spark, tmp_path):
+    turn = lambda i, before, after: {"turn_index": i, "before_fingerprint": before, "after_fingerprint": after}
+    own = plain_fingerprint(GRAPHS[0])
+    sessions = [
+        {"session_id": "good", "initial_graph": GRAPHS[0], "turns": [turn(0, own, "x"), turn(1, "x", "y"), turn(2, "y", "z")]}, {"session_id": "start", "initial_graph": GRAPHS[0], "turns": [turn(0, "w", "x"), turn(1, "x", "y")]},
+        {"session_id": "gap", "initial_graph": GRAPHS[0], "turns": [turn(0, own, "x"), turn(1, "x2", "y"), turn(2, None, "z")]}, {"session_id": "none", "initial_graph": GRAPHS[0], "turns": []},
+    ]
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps(x) for x in sessions))
+    got = {tuple(r) for r in records.chain_violations(records.read_sessions(spark, str(tmp_path / "s.jsonl"))).collect()}
+    assert got == {("start", 0, "initial_state"), ("gap", 1, "broken_chain"), ("gap", 2, "broken_chain")}

@@ -18,6 +18,19 @@ def quoted(c: Column) -> Column:
     return F.when(c.isNull(), "null").otherwise(F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON text with every character beyond ASCII as \\u and four digits, in two halves beyond the basic plane."""
+
+    def escape(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n.cast("long"))), 4, "0"))
+
+    def char(c: Column) -> Column:
+        n = F.ascii(c)
+        return F.when(n < 128, c).when(n < 0x10000, escape(n)).otherwise(F.concat(escape(F.shiftright(n - 0x10000, 10) + 0xD800), escape((n - 0x10000) % 1024 + 0xDC00)))
+
+    return F.when(json.rlike(r"^[\x00-\x7f]*$"), json).otherwise(F.array_join(F.transform(F.split(json, ""), char), ""))
+
+
 def float_text(c: Column) -> Column:
     """A double as the shortest text that reads back as it, with a point or an exponent of two digits or more; whole numbers end in .0."""
 

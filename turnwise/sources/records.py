@@ -117,6 +117,50 @@ def _object(pairs: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(scalars.quoted(p["name"]), F.lit(":"), p["json"])), ","), F.lit("}"))
 
 
+def _pairs(attributes: Column) -> Column:
+    """JSON text of an attribute map as an array of [name, value], sorted by name."""
+
+    def one(name: Column) -> Column:
+        held = scalars.scalar(attributes[name])
+        return F.concat(F.lit("["), scalars.quoted(name), F.lit(","), scalars.scalar_json(held["token"], held["text"]), F.lit("]"))
+
+    # A VARIANT can't be compared, so names are sorted first.
+    names = F.array_sort(F.map_keys(attributes))
+    return F.concat(F.lit("["), F.array_join(F.transform(names, one), ","), F.lit("]"))
+
+
+def fingerprint(graph: Column) -> Column:
+    """SHA-256 of a completed graph, whatever the order of its nodes, edges and attributes; its own id and metadata don't count.
+
+    The text hashed is {"directed":…,"edges":[[a,b,relation,weight,[[name,value],…]],…],"nodes":[[id,label,[[name,value],…]],…]}
+    in ASCII without blanks; an undirected edge has its ends in order.
+    """
+    q = scalars.quoted
+    join = lambda rows: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(rows), lambda x: x["json"]), ","), F.lit("]"))
+    nodes = F.transform(graph["nodes"], lambda n: F.struct(n["id"].alias("id"), n["label"].alias("label"), F.concat(F.lit("["), q(n["id"]), F.lit(","), q(n["label"]), F.lit(","), _pairs(n["attributes"]), F.lit("]")).alias("json")))
+
+    def edge(e: Column) -> Column:
+        swap = ~graph["directed"] & (e["source"] > e["target"])
+        a, b = F.when(swap, e["target"]).otherwise(e["source"]), F.when(swap, e["source"]).otherwise(e["target"])
+        text = F.concat(F.lit("["), q(a), F.lit(","), q(b), F.lit(","), q(e["relation"]), F.lit(","), scalars.float_text(e["weight"]), F.lit(","), _pairs(e["attributes"]), F.lit("]"))
+        return F.struct(a.alias("a"), b.alias("b"), e["relation"].alias("relation"), e["weight"].alias("weight"), text.alias("json"))
+
+    text = F.concat(F.lit('{"directed":'), graph["directed"].cast("string"), F.lit(',"edges":'), join(F.transform(graph["edges"], edge)), F.lit(',"nodes":'), join(nodes), F.lit("}"))
+    return F.sha2(scalars.ascii_json(text), 256)
+
+
+def chain_violations(sessions: DataFrame) -> DataFrame:
+    """(session_id, turn_index, rule) of turns whose before_fingerprint is not the initial graph's (initial_state) or not the after_fingerprint of the turn before (broken_chain).
+
+    sessions are as read_sessions gives them. A missing fingerprint is a violation.
+    """
+    first = fingerprint(F.col("initial_graph"))
+    turns = F.transform("turns", lambda t, i: F.struct(t["turn_index"].alias("turn_index"), t["before_fingerprint"].alias("before"), F.when(i > 0, F.get("turns", i - 1)["after_fingerprint"]).alias("last"), (i == 0).alias("first")))
+    each = sessions.select("session_id", first.alias("_initial"), F.explode(turns).alias("t")).select("session_id", "_initial", "t.*")
+    rule = F.when(F.col("first") & ~F.col("before").eqNullSafe(F.col("_initial")), "initial_state").when(~F.col("first") & (F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("last"))), "broken_chain")
+    return each.select("session_id", "turn_index", rule.alias("rule")).where("rule is not null")
+
+
 def graph_json(g: Graphs) -> DataFrame:
     """(graph_id, json): each graph as a JSON record with sorted keys, nodes by id and edges by ends and relation."""
     field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("json"))
