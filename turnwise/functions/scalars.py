@@ -80,7 +80,7 @@ def scalar(v: Column) -> Column:
             F.when(kind == "BOOLEAN", F.when(truth, "True").otherwise("False")).when(kind == "STRING", string)
             .when(whole, digits).when(is_number, float_text(real)).when(kind != "VOID", held)
         )
-        return F.struct(token.alias("token"), text.alias("text"))
+        return F.named_struct(F.lit("token"), token, F.lit("text"), text)
 
     return let(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), read)
 

@@ -137,13 +137,13 @@ def fingerprint(graph: Column) -> Column:
     """
     q = scalars.quoted
     join = lambda rows: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(rows), lambda x: x["json"]), ","), F.lit("]"))
-    nodes = F.transform(graph["nodes"], lambda n: F.struct(n["id"].alias("id"), n["label"].alias("label"), F.concat(F.lit("["), q(n["id"]), F.lit(","), q(n["label"]), F.lit(","), _pairs(n["attributes"]), F.lit("]")).alias("json")))
+    nodes = F.transform(graph["nodes"], lambda n: F.named_struct(F.lit("id"), n["id"], F.lit("label"), n["label"], F.lit("json"), F.concat(F.lit("["), q(n["id"]), F.lit(","), q(n["label"]), F.lit(","), _pairs(n["attributes"]), F.lit("]"))))
 
     def edge(e: Column) -> Column:
         swap = ~graph["directed"] & (e["source"] > e["target"])
         a, b = F.when(swap, e["target"]).otherwise(e["source"]), F.when(swap, e["source"]).otherwise(e["target"])
         text = F.concat(F.lit("["), q(a), F.lit(","), q(b), F.lit(","), q(e["relation"]), F.lit(","), scalars.float_text(e["weight"]), F.lit(","), _pairs(e["attributes"]), F.lit("]"))
-        return F.struct(a.alias("a"), b.alias("b"), e["relation"].alias("relation"), e["weight"].alias("weight"), text.alias("json"))
+        return F.named_struct(F.lit("a"), a, F.lit("b"), b, F.lit("relation"), e["relation"], F.lit("weight"), e["weight"], F.lit("json"), text)
 
     text = F.concat(F.lit('{"directed":'), graph["directed"].cast("string"), F.lit(',"edges":'), join(F.transform(graph["edges"], edge)), F.lit(',"nodes":'), join(nodes), F.lit("}"))
     return F.sha2(scalars.ascii_json(text), 256)
@@ -155,8 +155,8 @@ def chain_violations(sessions: DataFrame) -> DataFrame:
     sessions are as read_sessions gives them. A missing fingerprint is a violation.
     """
     first = fingerprint(F.col("initial_graph"))
-    turns = F.transform("turns", lambda t, i: F.struct(t["turn_index"].alias("turn_index"), t["before_fingerprint"].alias("before"), F.when(i > 0, F.get("turns", i - 1)["after_fingerprint"]).alias("last"), (i == 0).alias("first")))
-    each = sessions.select("session_id", first.alias("_initial"), F.explode(turns).alias("t")).select("session_id", "_initial", "t.*")
+    turns = F.transform("turns", lambda t, i: F.named_struct(F.lit("turn_index"), t["turn_index"], F.lit("before"), t["before_fingerprint"], F.lit("last"), F.when(i > 0, F.get("turns", i - 1)["after_fingerprint"]), F.lit("first"), i == 0))
+    each = sessions.select("session_id", first.alias("_initial"), turns.alias("t")).select("session_id", "_initial", F.explode("t").alias("t")).select("session_id", "_initial", "t.*")
     rule = F.when(F.col("first") & ~F.col("before").eqNullSafe(F.col("_initial")), "initial_state").when(~F.col("first") & (F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("last"))), "broken_chain")
     return each.select("session_id", "turn_index", rule.alias("rule")).where("rule is not null")
 
