@@ -8,6 +8,7 @@ and spelling them out gives the graph as of every turn, in work that is linear i
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,44 +92,79 @@ def edge_state(turns: DataFrame, g: Graphs) -> DataFrame:
 
 @dataclass
 class States:
-    """The graph as of every turn: nodes and edges as in Graphs, graph_id naming session and turn, and base the initial graph."""
+    """Graphs as nodes and edges, as in Graphs, with graph_id naming the state; base is the initial graph."""
 
     nodes: DataFrame
     edges: DataFrame
 
 
-def state_id(session: Column, turn: Column, prefix: str = "") -> Column:
-    return F.concat(F.lit(prefix), session.cast("string"), F.lit(":"), turn.cast("string"))
+def state_id(session: Column, turn: Column) -> Column:
+    return F.concat_ws(":", session.cast("string"), turn.cast("string"))
 
 
-def states(turns: DataFrame, g: Graphs, prefix: str = "") -> States:
-    """The graph after each turn of each session, named ``{prefix}{session}:{turn}``.
+def states(turns: DataFrame, g: Graphs, only: DataFrame | None = None) -> States:
+    """The graph after each turn of each session, named ``{session}:{turn}``.
 
     An edge that a session adds has weight 1 and the relation of its pair; one that was there from
-    the start keeps its weight while it holds.
+    the start keeps its weight while it holds. With only (session_id, turn_index, graph_id, state),
+    the graphs after those turns alone, named state.
     """
-    each = turns.select("session_id", "turn_index", "graph_id")
-    last = each.groupBy("session_id", "graph_id").agg((F.max("turn_index") + 1).alias("_end"))
-    moved = intervals(turns, g).join(last.select("session_id", "_end"), "session_id")
-    # Turns at which a key differs from the initial graph, spelt out; and those it holds in a new way.
+    sid, turn = F.col("session_id"), F.col("turn_index")
+    last = turns.groupBy("session_id").agg((F.max("turn_index") + 1).alias("_end"))
+    # Turns at which a key differs from the initial graph, spelt out; and those at which an edge of it is one put back.
     spell = F.explode(F.sequence(F.col("from_turn"), F.coalesce("to_turn", F.col("_end")) - 1)).alias("turn_index")
-    off = moved.where("on <> begin").select("session_id", "key", "a", "lo", "hi", "on", "relation", spell)
-    again = moved.where("on = begin and key like 'e:%' and on").select("session_id", "lo", "hi", "relation", spell)
-    gone = off.where("key like 'e:%' and not on").select("session_id", "turn_index", "lo", "hi")
-    new = off.where("key like 'e:%' and on").select("session_id", "turn_index", "lo", "hi", "relation")
+    spelt = intervals(turns, g).where("on <> begin or (on and key like 'e:%')").join(last, "session_id").select("session_id", "key", "a", "lo", "hi", "relation", "on", (F.col("on") != F.col("begin")).alias("off"), spell)
+    if only is None:
+        each, spelt = turns.select(state_id(sid, turn).alias("state"), "graph_id"), spelt.withColumn("state", state_id(sid, turn))
+    else:
+        each, spelt = only.select("state", "graph_id"), spelt.join(only.select("session_id", "turn_index", "state"), ["session_id", "turn_index"])
+    edge = spelt.where("key like 'e:%'")
+    gone, renewed = edge.where("off and not on").select("state", "lo", "hi"), edge.where("not off").select("state", "lo", "hi", F.lit(True).alias("_new"))
     start = g.edges.select("graph_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "relation", "weight")
-    kept = each.join(start, "graph_id").join(gone, ["session_id", "turn_index", "lo", "hi"], "left_anti").select("session_id", "turn_index", "lo", "hi", "relation", "weight")
-    # An edge deleted and added again is a new one.
-    renewed = again.withColumn("_new", F.lit(True))
-    kept = kept.join(renewed.drop("relation"), ["session_id", "turn_index", "lo", "hi"], "left").withColumn("weight", F.when(F.col("_new"), F.lit(1.0)).otherwise(F.col("weight"))).drop("_new")
-    both = kept.unionByName(new.withColumn("weight", F.lit(1.0)))
-    edges = both.select(state_id(F.col("session_id"), F.col("turn_index"), prefix).alias("graph_id"), F.col("lo").alias("src"), F.col("hi").alias("dst"), "relation", "weight")
-    flipped = off.where("key like 'n:%'").select("session_id", "turn_index", F.col("a").alias("node_id"), F.col("on").alias("_now"))
-    node = each.join(g.nodes.select("graph_id", "node_id", "label", "is_open"), "graph_id").join(flipped, ["session_id", "turn_index", "node_id"], "left")
-    nodes = node.select(state_id(F.col("session_id"), F.col("turn_index"), prefix).alias("graph_id"), F.col("graph_id").alias("base"), "node_id", "label", F.coalesce("_now", "is_open").alias("is_open"))
+    kept = each.join(start, "graph_id").join(gone, ["state", "lo", "hi"], "left_anti").join(renewed, ["state", "lo", "hi"], "left")
+    kept = kept.select("state", "lo", "hi", "relation", F.when(F.col("_new"), F.lit(1.0)).otherwise(F.col("weight")).alias("weight"))
+    new = edge.where("off and on").select("state", "lo", "hi", "relation", F.lit(1.0).alias("weight"))
+    edges = kept.unionByName(new).select(F.col("state").alias("graph_id"), F.col("lo").alias("src"), F.col("hi").alias("dst"), "relation", "weight")
+    flipped = spelt.where("off and key like 'n:%'").select("state", F.col("a").alias("node_id"), F.col("on").alias("_now"))
+    node = each.join(g.nodes.select("graph_id", "node_id", "label", "is_open"), "graph_id").join(flipped, ["state", "node_id"], "left")
+    nodes = node.select(F.col("state").alias("graph_id"), F.col("graph_id").alias("base"), "node_id", "label", F.coalesce("_now", "is_open").alias("is_open"))
     return States(nodes, edges)
 
 
+def marks(turns: DataFrame, g: Graphs) -> DataFrame:
+    """(session_id, turn_index, graph_id, state, before, shape): names of the graphs after and before each turn, the same wherever the graphs are.
+
+    A state differs from its initial graph by a set of items: nodes with another status, edges that
+    went, came with a relation, or were put back. Its name is the initial graph's with 128 bits of
+    the items' hashes, joined by exclusive or: an item that comes or goes is one term, so running
+    terms name all states of a session without spelling one out. The initial graph keeps its name.
+    shape is the same of the closed nodes and the joined pairs alone.
+    """
+    what = F.when(F.col("on") == F.col("begin"), "again").when(F.col("on"), F.concat_ws(":", F.lit("on"), "relation")).otherwise("off")
+    differs = F.col("on") != F.col("begin")
+    moved = intervals(turns, g).where("on <> begin or (on and key like 'e:%')")
+    terms = {f"_s{i}": F.xxhash64(F.lit(i), "key", what) for i in range(2)} | {f"_k{i}": F.when(differs, F.xxhash64(F.lit(i), "key")).otherwise(F.lit(0)) for i in range(2)}
+    moved = moved.select("session_id", F.explode(F.filter(F.array("from_turn", "to_turn"), lambda x: x.isNotNull())).alias("turn_index"), *[h.alias(n) for n, h in terms.items()])
+    moved = moved.groupBy("session_id", "turn_index").agg(*[F.bit_xor(n).alias(n) for n in terms])
+    order = Window.partitionBy("session_id").orderBy("turn_index")
+    run = turns.select("session_id", "turn_index", "graph_id").join(moved, ["session_id", "turn_index"], "left")
+    run = run.select("session_id", "turn_index", "graph_id", *[F.coalesce(F.bit_xor(n).over(order), F.lit(0)).alias(n) for n in terms])
+    name = lambda x, y: F.when((F.col(x) == 0) & (F.col(y) == 0), F.col("graph_id")).otherwise(F.concat_ws("#", "graph_id", F.hex(x), F.hex(y)))
+    named = run.select("session_id", "turn_index", "graph_id", name("_s0", "_s1").alias("state"), name("_k0", "_k1").alias("shape"))
+    return named.select("session_id", "turn_index", "graph_id", "state", F.coalesce(F.lag("state").over(order), "graph_id").alias("before"), "shape")
+
+
+def distinct_states(runs: list[tuple[DataFrame, DataFrame]], g: Graphs) -> States:
+    """Every graph that the runs (turns and their marks) come to, each spelt out once, from the first turn that leads to it; the initial graphs of g among them."""
+    every = functools.reduce(DataFrame.unionByName, [m.where("state <> graph_id").select("state", F.struct(F.lit(i).alias("run"), "session_id", "turn_index", "graph_id").alias("at")) for i, (_, m) in enumerate(runs)])
+    first = settle(every.groupBy("state").agg(F.min("at").alias("at")).select("state", "at.*"), "first-turns")
+    nodes, edges = g.nodes.select("graph_id", F.col("graph_id").alias("base"), "node_id", "label", "is_open"), g.edges.select("graph_id", "src", "dst", "relation", "weight")
+    for i, (turns, _) in enumerate(runs):
+        s = states(turns, g, first.where(F.col("run") == i))
+        nodes, edges = nodes.unionByName(s.nodes), edges.unionByName(s.edges)
+    return States(settle(nodes, "distinct-nodes"), settle(edges, "distinct-edges"))
+
+
 def asked(turns: DataFrame) -> DataFrame:
     """Turns with their question: kind, source, target, attribute, value (as text), token, hops.
 
@@ -197,38 +233,34 @@ def _status_attrs(nodes: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id", F.lit("status").alias("name"), tok.string_token(status).alias("token"), status.alias("text"))
 
 
-def answers(turns: DataFrame, g: Graphs, after: States, guessed: States) -> DataFrame:
+ROLES = ("gold", "stale", "initial", "shuffled", "predicted")
+
+
+def answers(turns: DataFrame, own: DataFrame, guessed: DataFrame, guess: DataFrame, g: Graphs) -> DataFrame:
     """(session_id, turn_index, graph_id, op, kind, gold, stale, initial, shuffled, predicted): the turn's question on five graphs.
 
     gold on the graph after the turn, stale on the one before it, initial on the session's first
-    graph, shuffled on the next session's first graph, and predicted on the graph that predicted
-    edits have made. One dispatch answers all five.
+    graph, shuffled on the next session's first graph, and predicted on the graph that the edits
+    guessed have made; own and guess are the marks of turns and guessed. Equal graphs have one name,
+    so each question about a graph is answered once, however many turns and roles ask it.
     """
-    q = asked(turns).join(session_ring(turns), "session_id")
-    sid, turn = F.col("session_id"), F.col("turn_index")
-    where = F.array(*[
-        F.struct(F.lit(name).alias("role"), at.alias("at"))
-        for name, at in (
-            ("gold", state_id(sid, turn)), ("stale", F.when(turn == 0, F.col("graph_id")).otherwise(state_id(sid, turn - 1))),
-            ("initial", F.col("graph_id")), ("shuffled", F.col("other")), ("predicted", state_id(sid, turn, "p")),
-        )
-    ])
-    base = F.when(F.col("w.role") == "shuffled", F.col("other")).otherwise(F.col("graph_id"))
-    each = q.select("session_id", "turn_index", "kind", "source", "target", "attribute", "token", "hops", F.explode(where).alias("w"), "graph_id", "other")
-    each = settle(each.select(F.concat_ws("/", state_id(sid, turn), "w.role").alias("query_id"), F.col("w.at").alias("graph_id"), base.alias("base"), "kind", "source", "target", "attribute", "token", "hops"), "session-queries")
-    nodes = g.nodes.select("graph_id", F.col("graph_id").alias("base"), "node_id", "label", "is_open").unionByName(after.nodes).unionByName(guessed.nodes)
-    edges = g.edges.select("graph_id", "src", "dst", "relation", "weight").unionByName(after.edges).unionByName(guessed.edges)
+    said = guess.select("session_id", "turn_index", F.col("state").alias("predicted"))
+    q = asked(turns).join(session_ring(turns), "session_id").join(own.drop("graph_id", "shape"), ["session_id", "turn_index"]).join(said, ["session_id", "turn_index"])
+    at = {"gold": "state", "stale": "before", "initial": "graph_id", "shuffled": "other", "predicted": "predicted"}
+    where = F.array(*[F.struct(F.lit(r).alias("role"), F.col(at[r]).alias("at"), F.col("other" if r == "shuffled" else "graph_id").alias("base")) for r in ROLES])
+    each = q.select("session_id", "turn_index", "graph_id", "op", "kind", "source", "target", "attribute", "token", "hops", F.explode(where).alias("w"))
+    ask = ["kind", "source", "target", "attribute", "token", "hops"]
+    each = each.withColumn("query_id", F.sha2(F.to_json(F.struct("w.at", *ask)), 256))
+    each = settle(each, "session-queries")
+    once = settle(each.groupBy("query_id").agg(F.first(F.struct(F.col("w.at").alias("graph_id"), F.col("w.base").alias("base"), *ask)).alias("q")).select("query_id", "q.*"), "distinct-queries")
+    s = distinct_states([(turns, own), (guessed, guess)], g)
     # Of the attributes only the status differs between the states of a graph; the others are looked up where they are asked for.
-    fixed = each.where("attribute is not null and attribute <> 'status'").select("graph_id", "base", F.col("attribute").alias("name")).distinct()
-    fixed = fixed.join(g.attrs.withColumnRenamed("graph_id", "base"), ["base", "name"]).select("graph_id", "node_id", "name", "token", "text")
-    nodes = settle(nodes, "all-nodes")
-    attrs = settle(fixed.unionByName(_status_attrs(nodes)), "all-attributes")
-    edges = settle(edges, "all-edges")
-    said = solve.answer_queries(each.drop("base"), nodes, edges, attrs)
-    said = said.select(F.split("query_id", "/")[0].alias("_id"), F.split("query_id", "/")[1].alias("role"), "answer")
-    roles = ["gold", "stale", "initial", "shuffled", "predicted"]
-    wide = said.groupBy("_id").agg(*[F.max(F.when(F.col("role") == r, F.col("answer"))).alias(r) for r in roles])
-    return q.withColumn("_id", state_id(sid, turn)).join(wide, "_id").select("session_id", "turn_index", "graph_id", "op", "kind", *roles)
+    about = once.where("attribute is not null").select("graph_id", "base", F.col("attribute").alias("name")).distinct()
+    fixed = about.where("name <> 'status'").join(g.attrs.withColumnRenamed("graph_id", "base"), ["base", "name"]).select("graph_id", "node_id", "name", "token", "text")
+    status = _status_attrs(s.nodes.join(about.where("name = 'status'"), "graph_id", "left_semi"))
+    replies = solve.answer_queries(once.drop("base"), s.nodes, s.edges, settle(fixed.unionByName(status), "all-attributes"))
+    wide = each.join(replies, "query_id").groupBy("session_id", "turn_index", "graph_id", "op", "kind")
+    return wide.agg(*[F.max(F.when(F.col("w.role") == r, F.col("answer"))).alias(r) for r in ROLES])
 
 
 def majority_prior(answered: DataFrame) -> DataFrame:
@@ -273,24 +305,18 @@ def evaluation_rows(answered: DataFrame, labels: DataFrame, writes: DataFrame) -
     )
 
 
-def writes(turns: DataFrame, guessed: DataFrame, after: States, after_guess: States) -> DataFrame:
+def writes(turns: DataFrame, own: DataFrame, guessed: DataFrame, guess: DataFrame) -> DataFrame:
     """(session_id, turn_index, op, said_op, edit_correct, state_exact): how the predicted edit and the state it leads to did.
 
     An edit is correct if it equals the turn's field by field; no edit equals none, not even NOOP. A
-    state is exact if the same nodes are closed and the same pairs joined as in the turn's own.
+    state is exact if the same nodes are closed and the same pairs joined as in the turn's own: if
+    the shapes in own and guess, the marks of turns and guessed, are the same.
     """
     p = guessed.select("session_id", "turn_index", *[F.col(c).alias(f"_{c}") for c in ("op", "a", "b", "relation")])
     ends = F.when(F.col("op") == "DEL", F.concat_ws("-", "lo", "hi")).otherwise(F.concat_ws("-", "a", "b"))
     set_right = F.col("op").startswith("SET") & (F.col("a") == F.col("_a"))
     edge_right = F.col("op").isin("ADD", "DEL") & (ends == F.concat_ws("-", "_a", "_b")) & F.col("relation").eqNullSafe(F.col("_relation"))
     right = (F.col("op") == F.col("_op")) & (set_right | edge_right)
-    marks = []
-    for s, prefix in ((after, ""), (after_guess, "p")):
-        # Sums of hashes tell sets of closed nodes and of pairs apart without gathering a graph.
-        shut = s.nodes.where("not is_open").select("graph_id", F.xxhash64(F.lit("n"), "node_id").alias("h"))
-        joined = s.edges.select("graph_id", F.xxhash64(F.lit("e"), F.least("src", "dst"), F.greatest("src", "dst")).alias("h"))
-        both = shut.unionByName(joined).groupBy("graph_id").agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("n"))
-        marks.append(both.select(F.substring("graph_id", len(prefix) + 1, 100).alias("_id"), F.struct("x", "y", "n").alias(f"mark{prefix}")))
-    out = turns.join(p, ["session_id", "turn_index"]).withColumn("_id", state_id(F.col("session_id"), F.col("turn_index")))
-    out = out.join(marks[0], "_id", "left").join(marks[1], "_id", "left")
-    return out.select("session_id", "turn_index", "op", F.col("_op").alias("said_op"), F.coalesce(right, F.lit(False)).alias("edit_correct"), F.col("mark").eqNullSafe(F.col("markp")).alias("state_exact"))
+    shapes = own.select("session_id", "turn_index", "shape").join(guess.select("session_id", "turn_index", F.col("shape").alias("_shape")), ["session_id", "turn_index"])
+    out = turns.join(p, ["session_id", "turn_index"]).join(shapes, ["session_id", "turn_index"])
+    return out.select("session_id", "turn_index", "op", F.col("_op").alias("said_op"), F.coalesce(right, F.lit(False)).alias("edit_correct"), (F.col("shape") == F.col("_shape")).alias("state_exact"))

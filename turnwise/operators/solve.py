@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import settle, shared_dir
 from . import local, paths
 
 #: The kinds of question.
@@ -38,14 +41,18 @@ _PLANS = {
 def answer_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
     """(query_id, answer) of every query (query_id, kind, graph_id, source, target, attribute, token, hops).
 
-    Each kind sees only the graphs that its queries ask about. A query that lacks the target or the
+    Each kind sees only the graphs that its queries ask about, and all kinds are answered side by side. A query that lacks the target or the
     attribute its kind needs is invalid, and so is one whose source is not in its graph.
     """
-    parts = []
-    for kinds, plan in _PLANS.items():
+    def one(kinds: str, plan) -> DataFrame:
         q = queries.where(F.col("kind").isin(*kinds.split()))
         about = q.select("graph_id").distinct()
         n, e, a = (t.join(about, "graph_id", "left_semi") for t in (nodes, edges, attrs))
         answer = F.when(F.col("attribute").isNull() & F.col("kind").isin(*NAMED), "invalid").otherwise(F.col("answer"))
-        parts.append(plan(q, n, e, a).select("query_id", answer.alias("answer")))
+        return settle(plan(q, n, e, a).select("query_id", answer.alias("answer")), "kind-answers")
+
+    # The plans don't depend on each other, and the rounds of one leave executors idle that another can use.
+    shared_dir(spark := queries.sparkSession)
+    with ThreadPoolExecutor(len(_PLANS)) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(one), _PLANS, _PLANS.values()))
     return functools.reduce(DataFrame.unionByName, parts)

@@ -59,25 +59,26 @@ class Sessions:
     def guessed(self) -> DataFrame:
         return self._once("predicted-edits", lambda: ses.predicted_edits(self.said, self.graphs))
 
-    def _states(self, turns: DataFrame, prefix: str) -> ses.States:
-        s = ses.states(turns, self.graphs, prefix)
-        return ses.States(self._once(f"{prefix}state-nodes", lambda: s.nodes), self._once(f"{prefix}state-edges", lambda: s.edges))
-
     @property
     def after(self) -> ses.States:
-        return self._states(self.turns, "")
+        s = ses.states(self.turns, self.graphs)
+        return ses.States(self._once("state-nodes", lambda: s.nodes), self._once("state-edges", lambda: s.edges))
+
+    @property
+    def marks(self) -> DataFrame:
+        return self._once("marks", lambda: ses.marks(self.turns, self.graphs))
 
     @property
-    def after_guess(self) -> ses.States:
-        return self._states(self.guessed, "p")
+    def guessed_marks(self) -> DataFrame:
+        return self._once("guessed-marks", lambda: ses.marks(self.guessed, self.graphs))
 
     @property
     def answers(self) -> DataFrame:
-        return self._once("answers", lambda: ses.answers(self.turns, self.graphs, self.after, self.after_guess))
+        return self._once("answers", lambda: ses.answers(self.turns, self.marks, self.guessed, self.guessed_marks, self.graphs))
 
     @property
     def writes(self) -> DataFrame:
-        return self._once("writes", lambda: ses.writes(self.turns, self.guessed, self.after, self.after_guess))
+        return self._once("writes", lambda: ses.writes(self.turns, self.marks, self.guessed, self.guessed_marks))
 
     @property
     def rows(self) -> DataFrame:
