@@ -6,6 +6,8 @@ in the shared folder, so plans stay short and a lost executor costs one round at
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,16 +18,22 @@ from .adjacency import adjacency, directed_graphs, open_adjacency, two_way
 from .local import _held, _null_safe, checked
 
 
-def components(nodes: DataFrame, adj: DataFrame, keys: list[str]) -> DataFrame:
+def components(nodes: DataFrame, adj: DataFrame, keys: list[str], held: int = reach.HELD) -> DataFrame:
     """(keys, node_id, component): the smallest node id reachable within the same key values.
 
     nodes has keys and node_id, adj has keys, src and dst in both directions; edges to nodes that
-    are not listed are ignored.
+    are not listed are ignored. Keys with up to held edges are searched by the task that holds them,
+    larger ones together in rounds of joins.
     """
     node = nodes.select(*keys, "node_id").distinct()
-    near = adj.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")).where("a < b")
+    near = adj.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")).where("a < b").distinct()
     near = near.join(node.withColumnRenamed("node_id", "a"), [*keys, "a"], "left_semi").join(node.withColumnRenamed("node_id", "b"), [*keys, "b"], "left_semi")
-    found = linked_components(near, tuple(keys), "component").withColumnRenamed("node", "node_id")
+    near = settle(near, "component-edges")
+    large = settle(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > held).select(*keys), "component-large")
+    small = near.join(large, keys, "left_anti")
+    found = reach.searched(small.toDF(*keys, "src", "dst").unionByName(small.toDF(*keys, "dst", "src")), keys)
+    if not large.isEmpty():
+        found = found.unionByName(linked_components(near.join(large, keys, "left_semi"), tuple(keys), "component").withColumnRenamed("node", "node_id"))
     return node.join(found, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
@@ -88,12 +96,62 @@ def best_paths(sources: DataFrame, adj: DataFrame) -> DataFrame:
     return state.select("graph_id", "source", "node_id", "best.cost", "best.path")
 
 
-def _query_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Queries with the best open path between source and target, null where there is none."""
-    ok = nodes.where("is_open").select("graph_id", F.col("node_id").alias("source"))
-    starts = queries.select("graph_id", "source").distinct().join(ok, ["graph_id", "source"], "left_semi")
-    best = best_paths(starts, open_adjacency(nodes, edges)).withColumnRenamed("node_id", "target")
-    return queries.join(best, ["graph_id", "source", "target"], "left")
+#: Work on one graph, its edges times the sources asked about, that one task does by itself.
+SEARCHED = 5_000_000
+
+
+def _query_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame, held: int = SEARCHED) -> DataFrame:
+    """Queries with the best open path between source and target, null where there is none.
+
+    A task that holds a graph with the ends asked about searches it from each source; graphs with
+    more work than held go together through the rounds of best_paths, to the same paths.
+    """
+    ends, ok, key = ["graph_id", "source", "target"], nodes.where("is_open").select("graph_id", F.col("node_id").alias("source")), "graph_id"
+    asked = settle(queries.where("target is not null").select(*ends).distinct().join(ok, ends[:2], "left_semi"), "path-ends")
+    near = settle(open_adjacency(nodes, edges).groupBy(key, "src", "dst").agg(F.min("weight").alias("weight")), "open-edges")
+    work = near.groupBy(key).agg(F.count(F.lit(1)).alias("_e")).join(asked.groupBy(key).agg(F.countDistinct("source").alias("_s")), key)
+    large = settle(work.where(F.col("_e") * F.col("_s") > held).select(key), "path-large")
+    best = searched_paths(asked.join(large, key, "left_anti"), near.join(large, key, "left_anti"))
+    if not large.isEmpty():
+        rest = best_paths(asked.join(large, key, "left_semi").select(*ends[:2]).distinct(), near.join(large, key, "left_semi"))
+        best = best.unionByName(rest.withColumnRenamed("node_id", "target"))
+    return queries.join(best, ends, "left")
+
+
+def searched_paths(ends: DataFrame, near: DataFrame) -> DataFrame:
+    """(graph_id, source, target, cost, path) of the ends (graph_id, source, target) that near (graph_id, src, dst, weight) joins: one search a source, in the task that holds the graph."""
+    prepare(near.sparkSession)
+
+    def each(asked: pa.Table, links: pa.Table) -> pa.Table:
+        step, goals, rows = {}, {}, []
+        for a, b, w in zip(*(links.column(c).to_pylist() for c in ("src", "dst", "weight")), strict=True):
+            step.setdefault(a, []).append((b, w))
+        for a, b in zip(asked.column("source").to_pylist(), asked.column("target").to_pylist(), strict=True):
+            goals.setdefault(a, set()).add(b)
+        for source, wanted in goals.items():
+            rows += [(source, t, *found) for t, found in nearest(step, source, wanted).items()]
+        cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())))]
+        ids = pa.array([asked.column("graph_id")[0].as_py()] * len(rows) if rows else [], asked.schema.field("graph_id").type)
+        return pa.table([ids, *cols], names=["graph_id", "source", "target", "cost", "path"])
+
+    kind = ends.schema["graph_id"].dataType.simpleString()
+    return ends.groupBy("graph_id").cogroup(near.groupBy("graph_id")).applyInArrow(each, f"graph_id {kind}, source string, target string, cost double, path array<string>")
+
+
+def nearest(step: dict[str, list[tuple[str, float]]], source: str, wanted: set[str]) -> dict[str, tuple[float, list[str]]]:
+    """Cost and path from source to each wanted node it leads to: least cost, the smallest path among equals, weights being positive."""
+    out, done, heap = {}, set(), [(0.0, [source])]
+    while heap and len(out) < len(wanted):
+        cost, path = heapq.heappop(heap)
+        if (at := path[-1]) in done:
+            continue
+        done.add(at)
+        if at in wanted:
+            out[at] = (cost, path)
+        for to, w in step.get(at, ()):
+            if to not in done:
+                heapq.heappush(heap, (cost + w, [*path, to]))
+    return out
 
 
 def shortest_path(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -34,14 +34,14 @@ def strong_components(nodes: DataFrame, adj: DataFrame, keys: list[str], held: i
     near = near.join(node.withColumnRenamed("node_id", "src"), [*keys, "src"], "left_semi").join(node.withColumnRenamed("node_id", "dst"), [*keys, "dst"], "left_semi")
     near = settle(near, "strong-edges")
     large = settle(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > held).select(*keys), "strong-large")
-    found = [_searched(near.join(large, keys, "left_anti"), keys)]
+    found = [searched(near.join(large, keys, "left_anti"), keys)]
     if not large.isEmpty():
         found.append(_divided(node.join(large, keys, "left_semi"), near.join(large, keys, "left_semi"), keys))
     whole = functools.reduce(DataFrame.unionByName, found)
     return node.join(whole, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def _searched(near: DataFrame, keys: list[str]) -> DataFrame:
+def searched(near: DataFrame, keys: list[str]) -> DataFrame:
     """Components of graphs that a task holds whole, one depth-first search each; nodes without edges are left out."""
     prepare(near.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in near.schema}

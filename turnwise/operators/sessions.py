@@ -132,12 +132,13 @@ def states(turns: DataFrame, g: Graphs, only: DataFrame | None = None) -> States
 
 
 def marks(turns: DataFrame, g: Graphs) -> DataFrame:
-    """(session_id, turn_index, graph_id, state, before, shape): names of the graphs after and before each turn, the same wherever the graphs are.
+    """(session_id, turn_index, graph_id, state, before, shape): names of the graphs after and before each turn; what has one name is one graph.
 
     A state differs from its initial graph by a set of items: nodes with another status, edges that
     went, came with a relation, or were put back. Its name is the initial graph's with 128 bits of
     the items' hashes, joined by exclusive or: an item that comes or goes is one term, so running
     terms name all states of a session without spelling one out. The initial graph keeps its name.
+    Equal graphs have one name too, but for an edge put back that weighed 1 from the start.
     shape is the same of the closed nodes and the joined pairs alone.
     """
     what = F.when(F.col("on") == F.col("begin"), "again").when(F.col("on"), F.concat_ws(":", F.lit("on"), "relation")).otherwise("off")
