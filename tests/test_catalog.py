@@ -47,8 +47,8 @@ def test_query_equals_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table([c[0] for c in cur.description], cur.fetchall())
 
 
-#: Queries that SQL can't express; test_learning.py holds their operators against plain versions.
-LEARNED = {"principal_components", "linear_probe", "shortcut_answers"}
+#: Queries without SQL; test_learning.py and test_what_if.py hold their operators against plain versions.
+LEARNED = {"principal_components", "linear_probe", "shortcut_answers", "counterfactual_pairs"}
 
 
 def test_every_query_has_sql():

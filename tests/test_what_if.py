@@ -2,7 +2,7 @@
 
 import random
 
-from turnwise.operators import paths, what_if
+from turnwise.operators import paths, quota, what_if
 
 KINDS = what_if.KINDS
 
@@ -94,3 +94,76 @@ def test_index_equals_solving_every_edited_graph(spark):
 def test_no_queries_no_rows(spark):
     nodes, edges = frames(spark, {"g": ({"a": True}, {("a", "a", "r"): 1.0})})
     assert what_if.changing_edits(spark.createDataFrame([], SCHEMA), nodes, edges).count() == 0
+
+
+def test_pairs_change_the_answer(spark):
+    rng = random.Random(5)
+    graphs = {f"g{i}": graph(rng, *size) for i, size in enumerate([(1, 0, 0), (6, 5, 1), (8, 9, 0), (9, 7, 0)])}
+    nodes, edges = frames(spark, graphs)
+    q = spark.createDataFrame(queries(graphs), SCHEMA)
+    pairs = what_if.counterfactual_pairs(q, nodes, edges, 5, seed=1)
+    rows = pairs.collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, what_if.counterfactual_pairs(q, nodes, edges, 5, seed=1).collect()))
+    said = lambda kind, x: {True: "yes", False: "no", None: "unreachable"}.get(x) if kind != "node_degree" and not isinstance(x, float) else f"{x:g}"
+    n = {}
+    for r in rows:
+        ns, es = graphs[r.graph_id]
+        n2, e2 = next((b, c) for e, b, c in edits(ns, es) if e == (r.op, r.a, r.b, r.relation))
+        if r.kind in ("reachability", "path_cost"):
+            assert ns[r.source] and ns[r.target]
+        assert r.before == said(r.kind, answer(r.kind, r.source, r.target, ns, es))
+        assert r.after == said(r.kind, answer(r.kind, r.source, r.target, n2, e2)) != r.before
+        n[r.graph_id, r.kind] = n.get((r.graph_id, r.kind), 0) + 1
+    assert max(n.values()) == 5 and len(n) >= 12
+    both = {(r.before, r.after) for r in rows if r.kind == "reachability"}
+    assert both == {("yes", "no"), ("no", "yes")}
+
+
+def dealt(rows, needs):
+    """The same fill by dealing row after row."""
+    out = set()
+    for g, need in needs.items():
+        cells = {}
+        for r in sorted(r for r in rows if r[0] == g and r[1] is not None):
+            cells.setdefault(r[1], []).append(r)
+        turn = 0
+        while need > 0 and any(len(c) > turn for c in cells.values()):
+            for k in sorted(cells):
+                if need > 0 and len(cells[k]) > turn:
+                    out.add(cells[k][turn])
+                    need -= 1
+            turn += 1
+    return out
+
+
+def test_levels_equal_dealing_in_turn(spark):
+    rng = random.Random(7)
+    rows = [(f"g{g}", rng.choice("aaaabbcd") if g else "a", i) for g in range(6) for i in range(g * 9 + 4)] + [("g1", None, 99), (None, "a", 98)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "g string, c string, i int, _rank_of string")
+    for k in (0, 1, 2, 3, 7, 13, 30, 48, 100):
+        needs = {f"g{g}": k for g in range(5)}
+        got = quota.level_fill(df, ["g"], "c", ["i"], spark.createDataFrame(list(needs.items()), "g string, need long"))
+        assert got.columns == df.columns
+        assert sorted(r[:3] for r in map(tuple, got.collect())) == sorted(dealt([r for r in rows if r[0]], needs))
+
+
+def test_changed_quota_is_met(spark):
+    rng = random.Random(9)
+    rows = []
+    for kind, changed, all_ in [("reachability", 30, 200), ("path_cost", 150, 200), ("node_count", 0, 20), ("edge_exists", 9, 9)]:
+        for i in range(all_):
+            new = i < changed
+            gold = rng.choice(("yes", "yes", "yes", "no")) if kind in quota.YES_NO else str(rng.randrange(4))
+            rows.append((len(rows) // 10, len(rows) % 10, kind, gold, gold + "!" if new else gold))
+    rows.append((None, None, "path_cost", None, "1"))
+    a = spark.createDataFrame(rows, "session_id long, turn_index long, kind string, gold string, stale string")
+    out = quota.changed_quota(a).collect()
+    side = lambda kind, ch: [r for r in out if r.kind == kind and r.changed == ch]
+    for kind in ("reachability", "path_cost"):
+        c, u = len(side(kind, True)), len(side(kind, False))
+        assert c and abs(c - 0.45 * (c + u)) <= 1
+    assert len(side("path_cost", False)) == 50 and len(side("node_count", False)) == 20
+    for kind in ("reachability", "edge_exists"):
+        golds = [r.gold for r in side(kind, True)]
+        assert golds.count("yes") == golds.count("no")
+    assert quota.changed_quota(a.limit(0)).count() == 0

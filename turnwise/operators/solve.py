@@ -38,12 +38,15 @@ _PLANS = {
 }
 
 
-def answer_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
+def answer_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(query_id, answer) of every query (query_id, kind, graph_id, source, target, attribute, token, hops).
 
     Each kind sees only the graphs that its queries ask about, and all kinds are answered side by side. A query that lacks the target or the
-    attribute its kind needs is invalid, and so is one whose source is not in its graph.
+    attribute its kind needs is invalid, and so is one whose source is not in its graph. With kinds
+    given, queries are of these only, and nothing is planned for others.
     """
+    plans = {k: f for k, f in _PLANS.items() if set(kinds) & set(k.split())}
+
     def one(kinds: str, plan) -> DataFrame:
         q = queries.where(F.col("kind").isin(*kinds.split()))
         about = q.select("graph_id").distinct()
@@ -53,6 +56,6 @@ def answer_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, attrs
 
     # The plans don't depend on each other, and the rounds of one leave executors idle that another can use.
     shared_dir(spark := queries.sparkSession)
-    with ThreadPoolExecutor(len(_PLANS)) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(one), _PLANS, _PLANS.values()))
+    with ThreadPoolExecutor(len(plans)) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(one), plans, plans.values()))
     return functools.reduce(DataFrame.unionByName, parts)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import prepare, settle
-from . import paths, solve
+from . import paths, quota, solve
 from .adjacency import adjacency, open_adjacency
 
 #: Kinds whose answers the index knows about.
@@ -264,3 +264,52 @@ def changing_edits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, weigh
         about = mine.select("graph_id").distinct()
         parts.append(plan(mine, nodes.join(about, "graph_id", "left_semi"), edges.join(about, "graph_id", "left_semi")))
     return functools.reduce(DataFrame.unionByName, parts)
+
+
+def edited(edits: DataFrame, nodes: DataFrame, edges: DataFrame, weight: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graph after each of the edits (name, graph_id, op, a, b, relation), with name in place of graph_id.
+
+    An ADD has the given weight and no relation.
+    """
+    e = edits.select("name", "graph_id", "op", "a", "b", "relation")
+    node = e.join(nodes.select("graph_id", "node_id", "is_open"), "graph_id")
+    node = node.select(F.col("name").alias("graph_id"), "node_id", F.when(F.col("op").startswith("SET") & (F.col("a") == F.col("node_id")), F.col("op") == "SET_OPEN").otherwise(F.col("is_open")).alias("is_open"))
+    gone = (F.col("op") == "DEL") & (F.col("a") == F.least("src", "dst")) & (F.col("b") == F.greatest("src", "dst")) & F.col("relation").eqNullSafe(F.col("_own"))
+    edge = e.join(edges.select("graph_id", "src", "dst", F.col("relation").alias("_own"), "weight"), "graph_id").where(~gone).select(F.col("name").alias("graph_id"), "src", "dst", F.col("_own").alias("relation"), "weight")
+    new = e.where("op = 'ADD'").select(F.col("name").alias("graph_id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast("string").alias("relation"), F.lit(weight).alias("weight"))
+    return node, edge.unionByName(new)
+
+
+def counterfactual_pairs(queries: DataFrame, nodes: DataFrame, edges: DataFrame, each: int, seed: int = 0, weight: float = 1.0) -> DataFrame:
+    """(query_id, kind, graph_id, source, target, op, a, b, relation, before, after): for each graph and kind up to each questions with an edit that changes the answer.
+
+    The index says which edits do, so only the chosen ones are carried out and answered. The ops
+    take turns, and within an op chance decides by the seed, so answers change in both directions
+    where the graph allows it. As for candidates of a corpus, questions about ways have open ends
+    before the edit, and those about cycles a source of two edges. Pairs of one answer after
+    rounding are left out.
+    """
+    up, ways = nodes.where("is_open").select("graph_id", "node_id"), F.col("kind").isin("reachability", "path_cost")
+    q = queries.where(F.col("kind").isin(*KINDS)).select("query_id", "kind", "graph_id", "source", "target")
+    two = adjacency(edges).groupBy("graph_id", F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("_d")).where("_d = 2").drop("_d")
+    open_ends = q.where(ways).join(up.withColumnRenamed("node_id", "source"), ["graph_id", "source"], "left_semi").join(up.withColumnRenamed("node_id", "target"), ["graph_id", "target"], "left_semi")
+    on_two = q.where("kind = 'cycle_membership'").join(two, ["graph_id", "source"], "left_semi")
+    q = settle(open_ends.unionByName(on_two).unionByName(q.where(F.col("kind").isin("edge_exists", "node_degree"))), "pair-queries")
+    found = changing_edits(q, nodes, edges, weight).join(q, "query_id").withColumn("_by", quota.seeded(seed, "query_id", "op", "a", "b", "relation"))
+    # Row numbers that a limit follows keep each rows a partition before the shuffle.
+    nth = F.row_number().over(Window.partitionBy("graph_id", "kind", "op").orderBy("_by", "query_id", "a", "b"))
+    found = found.withColumn("_nth", nth).where(F.col("_nth") <= each)
+    turn = F.row_number().over(Window.partitionBy("graph_id", "kind").orderBy("_nth", "op"))
+    pick = found.withColumn("_turn", turn).where(F.col("_turn") <= each).withColumn("name", F.concat_ws("~", F.col("graph_id").cast("string"), "op", "a", "b", "relation"))
+    pick = settle(pick.select("query_id", "kind", "graph_id", "source", "target", "op", "a", "b", "relation", "name"), "pairs")
+    n, e = edited(pick.select("name", "graph_id", "op", "a", "b", "relation").distinct(), nodes, edges, weight)
+    n = n.unionByName(nodes.select(F.col("graph_id").cast("string").alias("graph_id"), "node_id", "is_open"))
+    e = e.unionByName(edges.select(F.col("graph_id").cast("string").alias("graph_id"), "src", "dst", "relation", "weight"))
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    when = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("graph_id").cast("string").alias("at")), F.struct(F.lit("after").alias("side"), F.col("name").alias("at"))))
+    ask = pick.select("query_id", "name", "kind", "source", "target", when.alias("w"))
+    asked = settle(ask.select(F.to_json(F.struct("query_id", "name", "w.side")).alias("_id"), "query_id", "name", "kind", F.col("w.side").alias("side"), F.col("w.at").alias("graph_id"), "source", "target"), "pair-questions")
+    no_attrs = nodes.where("false").select(F.col("graph_id").cast("string").alias("graph_id"), "node_id", text.alias("name"), text.alias("token"), text.alias("text"))
+    said = solve.answer_queries(asked.select(F.col("_id").alias("query_id"), "kind", "graph_id", "source", "target", text.alias("attribute"), text.alias("token"), none.alias("hops")), settle(n, "pair-nodes"), settle(e, "pair-edges"), no_attrs, KINDS)
+    both = asked.join(said.withColumnRenamed("query_id", "_id"), "_id").groupBy("query_id", "name").agg(*[F.max(F.when(F.col("side") == s, F.col("answer"))).alias(s) for s in ("before", "after")])
+    return pick.join(both.where("before <> after"), ["query_id", "name"]).drop("name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
-from ..operators import apply, boosting, corpus, graph_text, leaks, local, metrics, paths, reach, reports, solve, spectrum, structure, vectors
+from ..operators import apply, boosting, corpus, graph_text, leaks, local, metrics, paths, quota, reach, reports, solve, spectrum, structure, vectors, what_if
 from ..operators import sessions as ses
 from ..operators import static_eval
 from ..shared import once
@@ -254,6 +254,25 @@ def _leaks(s: Sessions) -> DataFrame:
     return leaks.audit(rows.where(ses.learns()), rows.where(~ses.learns()), ["session_id", "turn_index"])
 
 
+def edit_questions(g: trade.Graphs) -> DataFrame:
+    """(query_id, kind, graph_id, source, target): every node of every graph about its cycles and degree, every pair about its ways and edge."""
+    one = _nodes_query(g).withColumn("target", F.lit(None).cast("string")).select("*", F.explode(F.array(*map(F.lit, ("cycle_membership", "node_degree")))).alias("kind"))
+    two = trade.pair_queries(g).select("*", F.explode(F.array(*map(F.lit, ("reachability", "path_cost", "edge_exists")))).alias("kind"))
+    return one.unionByName(two).select(F.concat_ws("/", "kind", "graph_id", "source", "target").alias("query_id"), "kind", "graph_id", "source", "target")
+
+
+def _changing_edits(g: trade.Graphs) -> DataFrame:
+    """For each question and operation how many edits change the answer, the first and the last of them."""
+    q = edit_questions(g)
+    edit = F.concat_ws("-", "a", "b", "relation")
+    out = what_if.changing_edits(q, g.nodes, g.edges).groupBy("query_id", "op").agg(F.count(F.lit(1)).alias("edits"), F.min(edit).alias("first_edit"), F.max(edit).alias("last_edit"))
+    return out.join(q, "query_id").select("kind", "graph_id", "source", "target", "op", "edits", "first_edit", "last_edit")
+
+
+def _counterfactuals(g: trade.Graphs) -> DataFrame:
+    return what_if.counterfactual_pairs(edit_questions(g), g.nodes, g.edges, 12).drop("query_id")
+
+
 def _hashed(g: trade.Graphs) -> DataFrame:
     return vectors.node_vectors(g.nodes, coded(g).attrs)
 
@@ -391,6 +410,9 @@ def queries() -> dict[str, Query]:
         "last_states": _session_query(lambda s: corpus.last_wins(s.turns.withColumn("_key", ses.touched_key(F.col("op"), F.col("a"), F.col("lo"), F.col("hi"))).where("_key is not null"), ["session_id", "_key"], "turn_index").select("session_id", F.col("_key").alias("key"), "turn_index", "op")),
         "first_states": _session_query(lambda s: corpus.first_wins(s.turns.withColumn("_key", ses.touched_key(F.col("op"), F.col("a"), F.col("lo"), F.col("hi"))).where("_key is not null"), ["session_id", "_key"], "turn_index").select("session_id", F.col("_key").alias("key"), "turn_index", "op")),
         "changed_questions": _session_query(lambda s: corpus.changed_questions(s.answers)),
+        "changed_quota": _session_query(lambda s: quota.changed_quota(s.answers)),
+        "changing_edits": gq(_changing_edits),
+        "counterfactual_pairs": gq(_counterfactuals),
         "two_sided_strata": _session_query(lambda s: corpus.two_sided(s.answers.select("kind", "op", F.col("gold").alias("answer")), ["kind", "op"])),
         "training_examples": _session_query(lambda s: corpus.session_examples(graph_text.questions(ses.asked(s.turns), s.graphs.nodes, s.graphs.attrs), s.answers)),
         "session_records": _session_query(lambda s: records.round_trip(records.turn_records(s.said, s.answers), "session-records")),
