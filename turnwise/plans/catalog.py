@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.tokens import literal_token, string_token
 from ..operators import adjacency as adj
-from ..operators import apply, boosting, corpus, graph_text, leaks, local, metrics, paths, quota, reach, reports, solve, spectrum, structure, vectors, what_if
+from ..operators import apply, boosting, corpus, graph_text, leaks, local, metrics, paths, prompts, quota, reach, reports, solve, spectrum, structure, vectors, what_if
 from ..operators import sessions as ses
 from ..operators import static_eval
 from ..shared import once
@@ -371,6 +371,7 @@ def queries() -> dict[str, Query]:
         "write_accuracy": _session_query(lambda s: s.writes),
         "session_questions": _session_query(lambda s: graph_text.questions(ses.asked(s.turns), s.graphs.nodes, s.graphs.attrs).select("session_id", "turn_index", "question")),
         "session_answers": _session_query(lambda s: s.answers),
+        "prompt_sizes": _session_query(lambda s: prompts.input_sizes(s.turns, s.said, graph_text.questions(ses.asked(s.turns), s.graphs.nodes, s.graphs.attrs), s.graphs)),
         "edit_programs": _session_query(_programs),
         "parse_programs": _session_query(_parsed),
         "malformed_edits": _session_query(_malformed),

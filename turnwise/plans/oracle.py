@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import leak_sql, mixed_sql, vector_sql, what_if_sql
+from . import leak_sql, mixed_sql, prompt_sql, vector_sql, what_if_sql
 from .base_sql import base as _base
 
 _HOPS = """, h1 as (select distinct graph_id, src as source, dst as node_id, 1 as depth from adj
@@ -288,6 +288,7 @@ def oracle_sql() -> dict[str, str]:
     h2 = "select n.graph_id, n.node_id as source, tok.token, {x} as answer from nodes n cross join (select unnest(['s:small', 's:large']) as token) tok left join hops2 h on h.graph_id = n.graph_id and h.source = n.node_id left join nodes m on m.graph_id = h.graph_id and m.node_id = h.node_id and 's:' || m.size = tok.token group by 1, 2, 3"
     return {
         **what_if_sql.sql(b, w),
+        **prompt_sql.sql(t + _states("p", "turns"), _NODE_ATTRS.format(c=", "), _question()),
         "node_degree": b + "select graph_id, node_id as source, cast(degree as varchar) as answer from deg",
         "node_count": b + "select graph_id, node_id as source, cast(count(*) over (partition by graph_id) as varchar) as answer from nodes",
         "edge_exists": b + "select *, case when exists (from adj a where a.graph_id = pq.graph_id and a.src = source and a.dst = target) then 'yes' else 'no' end as answer from pq",
