@@ -228,3 +228,13 @@ def test_blocks_of_items_give_the_same_matches(spark):
 
 def test_names_clash_with_no_column():
     assert common.own_name(type("D", (), {"columns": ["_a", "A"]})(), "a") == "__a" and zlib.crc32(b"") == 0
+
+
+def test_cosines_of_very_large_and_small_vectors(spark):
+    """Squares that would overflow or vanish change no cosine; ordinary vectors keep every bit."""
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [3e-200, 1e-210]), (4, [0.0, -1e308]), (5, [5e-324, 0.0]), (6, [1e-300, 1.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_links(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (0, 6), 7: (0, 7)}
+    x = np.random.default_rng(4).normal(size=(500, 16)) * 10.0 ** np.arange(500)[:, None].astype(float).clip(0, 60)
+    assert (embedding_dedup._unit(x) == x / np.sqrt((x * x).sum(1, keepdims=True))).all()
