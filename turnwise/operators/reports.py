@@ -148,3 +148,9 @@ def split_overlap(turns: DataFrame) -> DataFrame:
     """(graph_id, learn_sessions, score_sessions): graphs that sessions of both splits start from."""
     n = turns.select("graph_id", "session_id").distinct().groupBy("graph_id").agg(F.count_if(ses.learns()).alias("learn_sessions"), F.count_if(~ses.learns()).alias("score_sessions"))
     return n.where("learn_sessions > 0 and score_sessions > 0")
+
+
+def structure_overlap(hashes: DataFrame, splits: DataFrame) -> DataFrame:
+    """(wl_hash, learn_sessions, score_sessions): structures that graphs (graph_id, wl_hash) of both splits (graph_id, learns) have, whatever their ids."""
+    n = hashes.join(splits, "graph_id").groupBy("wl_hash").agg(F.count_if("learns").alias("learn_sessions"), F.count_if(~F.col("learns")).alias("score_sessions"))
+    return n.where("learn_sessions > 0 and score_sessions > 0")

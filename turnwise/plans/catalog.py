@@ -254,6 +254,16 @@ def _leaks(s: Sessions) -> DataFrame:
     return leaks.audit(rows.where(ses.learns()), rows.where(~ses.learns()), ["session_id", "turn_index"])
 
 
+def _structure_overlap(s: Sessions) -> DataFrame:
+    """Structures that the graphs after their first turn share between sessions to learn from and sessions to score."""
+    first = s.turns.where("turn_index = 0").select("session_id", "turn_index", "graph_id", F.col("session_id").cast("string").alias("state"))
+    at = ses.states(s.turns, s.graphs, first)
+    fixed = first.select("state", "graph_id").join(s.graphs.attrs.where("name in ('line', 'size')"), "graph_id").select(F.col("state").alias("graph_id"), "node_id", "name", "text")
+    status = at.nodes.select("graph_id", "node_id", F.lit("status").alias("name"), F.when(F.col("is_open"), "open").otherwise("closed").alias("text"))
+    hashes = structure.neighborhood_hash(at.nodes, at.edges, fixed.unionByName(status))
+    return reports.structure_overlap(hashes, first.select(F.col("state").alias("graph_id"), ses.learns().alias("learns")))
+
+
 def edit_questions(g: trade.Graphs) -> DataFrame:
     """(query_id, kind, graph_id, source, target): every node of every graph about its cycles and degree, every pair about its ways and edge."""
     one = _nodes_query(g).withColumn("target", F.lit(None).cast("string")).select("*", F.explode(F.array(*map(F.lit, ("cycle_membership", "node_degree")))).alias("kind"))
@@ -404,6 +414,7 @@ def queries() -> dict[str, Query]:
         "session_violations": _session_query(lambda s: reports.violations(s.said, s.answers)),
         "chance_of_mention": _session_query(lambda s: reports.chance_of_mention(ses.asked(s.turns), s.graphs.nodes)),
         "split_overlap": _session_query(lambda s: reports.split_overlap(s.turns)),
+        "structure_overlap": _session_query(_structure_overlap),
         "majority_prior": _session_query(lambda s: ses.majority_prior(s.answers)),
         "lookup_ladder": _session_query(lambda s: s.ladder),
         "stride_sample": _session_query(lambda s: corpus.stride_sample(s.turns, ["session_id", "turn_index"], 7, 50)),

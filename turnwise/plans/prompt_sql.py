@@ -1,4 +1,4 @@
-"""SQL for the lengths of prompts, by writing every prompt out and counting its words."""
+"""SQL for the lengths of prompts, by writing every prompt out and counting its words, and for the structures of graphs after a first turn."""
 
 from __future__ import annotations
 
@@ -29,5 +29,21 @@ _SIZES = """, gt as (
 select session_id, turn_index, condition, len(list_filter(string_split_regex(prompt, '\\s+'), lambda x: x <> '')) as input_tokens from prompts"""
 
 
+def _round(i: int) -> str:
+    return f""", c{i} as (
+  select c.session_id, c.node_id, md5(any_value(c.c) || '|' || coalesce(string_agg(o.c, ',' order by o.c), '')) as c
+  from c{i - 1} c left join ladj a on a.session_id = c.session_id and a.src = c.node_id left join c{i - 1} o on o.session_id = a.session_id and o.node_id = a.dst group by 1, 2
+)"""
+
+
+_STRUCTURES = """, opening as (select session_id, turn_index from turns where turn_index = 0
+), ladj as (
+  select distinct session_id, lo as src, hi as dst from pse join opening using (session_id, turn_index) union select session_id, hi, lo from pse join opening using (session_id, turn_index)
+), c0 as (select session_id, node_id, md5('line=' || line || ',size=' || size || ',status=' || status) as c from psn join opening using (session_id, turn_index))""" + "".join(map(_round, (1, 2, 3))) + """
+, h as (select session_id, md5(string_agg(c, ',' order by c)) as wl_hash from c3 group by 1)
+select wl_hash, count(*) filter (where session_id % 2 = 0) as learn_sessions, count(*) filter (where session_id % 2 = 1) as score_sessions from h group by 1
+having count(*) filter (where session_id % 2 = 0) > 0 and count(*) filter (where session_id % 2 = 1) > 0"""
+
+
 def sql(turns_and_states: str, attrs: str, question: str) -> dict[str, str]:
-    return {"prompt_sizes": turns_and_states + _SIZES.replace("{attrs}", attrs).replace("{question}", question)}
+    return {"structure_overlap": turns_and_states + _STRUCTURES, "prompt_sizes": turns_and_states + _SIZES.replace("{attrs}", attrs).replace("{question}", question)}
