@@ -1,14 +1,14 @@
 """Embedding near-dedup by E8 lattice hashing.
 
-Each table projects a unit vector onto eight random directions (or 16, below), scales the result
-and decodes it to the nearest point of the lattice E8. A vector is filed under that cell and under
-the PROBES neighbouring cells whose points lie nearest to it. Two vectors are candidates if, in some
+Each table projects a unit vector onto sixteen random directions, scales the result and decodes it
+to the nearest pair of points of the lattice E8. A vector is filed under that cell and under the
+PROBES neighbouring cells whose points lie nearest to it. Two vectors are candidates if, in some
 table, the own cell of one is among the cells of the other; candidates are verified by cosine in
-double precision. At cosine 0.98 one table finds a pair with probability 0.61, eight find 0.9995.
+double precision. At cosine 0.98 one table finds a pair with probability 0.47, twelve find 0.9995.
+Whether a pair is found depends on its two vectors alone, and on nothing else in the table.
 
-Cells of one lattice point fill up as the table grows. From FINE distinct vectors on a cell is a
-pair of E8 points of a coarser scale, of which there are some 300 times as many, so that the
-candidates of a vector stay few; a table then finds a pair with probability 0.47, twelve do 0.9995.
+A caller may ask for cells of one point of E8 and eight tables (a table finds 0.61 then): fewer
+rows are filed, but the cells are some 300 times as large.
 
 Exact copies are collapsed first and counted. A cell with many members is split into blocks of about
 BLOCK members, and each pair of blocks is one unit of work, so no cell is gathered whole. A pair is
@@ -35,9 +35,13 @@ from . import _common as C
 PROBES, SEED, BLOCK = 4, 20_240_607, 256
 #: Scale of the projections, by the number of lattice points a cell is made of.
 SCALE = {1: 1.4, 2: 0.9}
-#: Tables by the number of lattice points a cell is made of, and the distinct vectors from which it is two.
-TABLES, FINE = {1: 8, 2: 12}, 4_000_000
+#: Tables by the number of lattice points a cell is made of.
+TABLES = {1: 8, 2: 12}
+#: A cell is made of so many lattice points, however many vectors there are.
+POINTS = 2
 COSINE = 0.98
+#: More than a cosine of unit vectors is off by.
+ROUNDING = 1e-9
 
 
 @functools.lru_cache(maxsize=1)
@@ -87,7 +91,10 @@ def cells(unit: np.ndarray, salt: np.ndarray, points: int = 1) -> np.ndarray:
         x = unit @ project[t]
         own = nearest_e8(x.reshape(-1, 8)).reshape(x.shape)
         toward = (x - own) @ steps.T
-        best = np.argsort(-toward, axis=1, kind="stable")[:, :PROBES]
+        best, every = np.empty((len(unit), PROBES), np.int64), np.arange(len(unit))
+        for i in range(PROBES):  # a sort of all 480 steps takes longer
+            best[:, i] = toward.argmax(1)
+            toward[every, best[:, i]] = -np.inf
         near = np.concatenate([own[:, None, :], own[:, None, :] + steps[best]], axis=1)
         twice = np.rint(near * 2).astype(np.int64)
         with np.errstate(over="ignore"):
@@ -120,14 +127,19 @@ def _near_pairs(u: np.ndarray, begin: np.ndarray, size: np.ndarray, own: np.ndar
         for at in range(0, len(of), step):
             rows = of[at : at + step, None] + np.arange(m)
             x = u[rows]
-            near = x @ x.transpose(0, 2, 1) >= cosine
+            near = x @ x.transpose(0, 2, 1) >= cosine - ROUNDING
             near &= np.triu(np.ones((m, m), bool), 1)
             near &= own[rows][:, :, None] | own[rows][:, None, :]
             apart = side[rows][:, :, None] != side[rows][:, None, :]
             near &= apart | ~other[rows[:, 0]][:, None, None]
             k, a, b = np.nonzero(near)
-            out_a.append(rows[k, a])
-            out_b.append(rows[k, b])
+            a, b = rows[k, a], rows[k, b]
+            # A product of matrices rounds by its shape; what counts is a sum that two vectors give in any unit.
+            for at_pair in range(0, len(a), 100_000):
+                p, q = a[at_pair : at_pair + 100_000], b[at_pair : at_pair + 100_000]
+                true = (u[p] * u[q]).sum(1) >= cosine
+                out_a.append(p[true])
+                out_b.append(q[true])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -186,14 +198,13 @@ def _verified(t: pa.Table, cosine: float, points: int) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array(col["rep"][hung], pa.int64()), pa.array(col["rep"][low[hung]], pa.int64()), pa.array(np.zeros(len(hung), np.int64))], names=["a", "b", "links"])
 
 
-def embedding_links(vectors: DataFrame, cosine: float = COSINE, points: int | None = None) -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = COSINE, points: int = POINTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
     A row links with nothing if its id, label or vector is null, or its vector is empty, zero or
     holds a null or non-finite number; its component is its own vec_id. Vectors of different length
     never link. Repeated rows, and rows that share a vec_id, are vectors of their own. An empty
-    table gives no rows, other columns are ignored. points: lattice points of a cell, by default as
-    the number of distinct vectors asks.
+    table gives no rows, other columns are ignored. points: lattice points of a cell, 1 or 2.
     """
     spark = vectors.sparkSession
     C.prepare(spark)
@@ -206,7 +217,6 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, points: int | No
     rows = rows.withColumn("_fine", F.coalesce(fine, F.lit(False)))
     reps = rows.where("_fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     reps = C.materialize(reps.withColumn("salt", F.xxhash64("label")).withColumn("rep", F.monotonically_increasing_id()), "e8-vectors")
-    points = points or (1 if reps.count() < FINE else 2)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TABLES[points] * (1 + PROBES)
