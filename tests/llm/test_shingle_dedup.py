@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from turnwise.llm import shingle_dedup
 
@@ -66,3 +68,46 @@ def test_a_crowd_of_texts_below_the_bound(spark):
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
     kept = {r.doc_id for r in shingle_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert 10 < len(want) < 200 and kept == want
+
+
+def test_keys_are_the_golay_codewords_that_agree_best_with_the_sums():
+    """Held against all 4,096 codewords, made from the generator polynomial, and against sums bit by bit."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    sums = shingle_dedup.bit_sums(x)
+    for i in (0, 63, 64, 500, 959):
+        word = np.uint64((i // 64 + 1) * int(shingle_dedup._MULTIPLIER) % (1 << 64))
+        h = shingle_dedup._mix(x + word).view(np.uint8).reshape(-1, 8)
+        assert sums[i] == sum(1 if h[k, i % 64 // 8] >> (7 - i % 8) & 1 else -1 for k in range(len(x)))
+    words = {0}
+    for i in range(12):
+        words |= {w ^ (0b101011100011 << i) for w in words}
+    by_index = {w >> 11: w for w in words}
+    assert len(by_index) == 4096
+    sign = np.array([[1 if by_index[i] >> b & 1 else -1 for b in range(23)] for i in range(4096)])
+    keys = shingle_dedup.golay_keys(sums[None].repeat(20, 0), np.full(20, 40))[11]
+    m = np.rint(sums * 1024 / 40**0.5)
+    for t in range(shingle_dedup.TABLES):
+        one, two = (sign @ m[46 * t + at : 46 * t + at + 23] for at in (0, 23))
+        best = np.sort((one[:, None] + two[None, :]).ravel())[-4:][::-1]
+        got = keys[4 * t : 4 * t + 4]
+        assert (got >> 24 == t).all() and (one[got >> 12 & 4095] + two[got & 4095] == best).all()
+
+
+def test_golay_keys_find_nearly_all_pairs_at_0_8():
+    """Sets of equal and unequal size at the bound and of few and many shingles; hardly any pair of unlike sets meets."""
+    rng = np.random.default_rng(5)
+    for shared, left, right in ((8, 1, 1), (4, 0, 1), (80, 10, 10), (80, 0, 20), (400, 50, 50)):
+        sets = []
+        for _ in range(1000):
+            x = rng.integers(0, 1 << 64, shared + left + right, dtype=np.uint64)
+            sets += [x[: shared + left], np.concatenate([x[:shared], x[shared + left :]])]
+        sums = np.stack([shingle_dedup.bit_sums(x) for x in sets])
+        keys = shingle_dedup.golay_keys(sums, np.array([len(x) for x in sets]))
+        more = np.unpackbits(shingle_dedup.further_bits(sums).view(np.uint8), axis=1)
+
+        def met(a, b):
+            return (keys[a][:, :, None] == keys[b][:, None, :]).any((1, 2)) & ((more[a] != more[b]).sum(1) <= shingle_dedup.CHECK)  # noqa: B023
+
+        assert met(slice(0, None, 2), slice(1, None, 2)).mean() >= 0.997
+        assert met(slice(0, -2, 2), slice(3, None, 2)).mean() <= 0.001
