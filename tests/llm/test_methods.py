@@ -132,6 +132,20 @@ def test_split_keys_meet_within_two_bits():
             assert len(np.intersect1d(pa[1], pb[1]))
 
 
+# 1, packing
+
+
+def test_ids_as_bytes_are_those_of_the_reference_library():
+    """Blanks of all kinds, names of special tokens and other scripts included."""
+    path = tokens.default_path()
+    some = ["word", "Word's", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "it's", "42", "a1b2", "--", "\u00a0", "\u0085", "\x1c", "caf\u00e9", "\u4e2d\u6587", "<|x|>", ".", "x" * 40, "don't.\n", "\u2019s", "\u20ac5"]
+    rng = np.random.default_rng(9)
+    texts = [None, "", " ", "a ", " a", "a  b", "a \n b"] + [rng.choice(["", " "]).join(rng.choice(some, rng.integers(1, 12))) for _ in range(3000)]
+    for t in texts:
+        want = tokens._full(path).encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(tokens.bpe_bytes(t, path), "<u4").tolist() == want, repr(t)
+
+
 # 7, embeddings
 
 
