@@ -2,10 +2,13 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
+from turnwise.llm import _common as common
 from turnwise.llm import shingle_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,3 +114,48 @@ def test_golay_keys_find_nearly_all_pairs_at_0_8():
 
         assert met(slice(0, None, 2), slice(1, None, 2)).mean() >= 0.997
         assert met(slice(0, -2, 2), slice(3, None, 2)).mean() <= 0.001
+
+
+def test_workers_get_few_texts_at_a_time(spark, monkeypatch):
+    """All tables of the stage are written under the small batches, and the session's own size is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, materialize = spark.conf.get(name), {}, common.materialize
+
+    def noted(df, table, *args):
+        seen[table] = int(spark.conf.get(name))
+        return materialize(df, table, *args)
+
+    monkeypatch.setattr(common, "materialize", noted)
+    rows = [(i, f"one text of some few words under the number {i // 2}", "en", "a", 1) for i in range(40)]
+    assert shingle_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA)).count() == 20
+    assert {"shingle-signatures", "shingle-sets", "shingle-star", "shingle-links"} <= set(seen)
+    assert set(seen.values()) == {256} and spark.conf.get(name) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+
+    with common.small_batches(spark, 256):
+        got = [r.n for r in spark.range(0, 2000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 2000 and max(got) <= 256
+
+
+def test_a_unit_of_a_crowd_takes_little_memory(monkeypatch):
+    """256 sets of which few hashes are shared, and sets that need several tiles, against a comparison set by set."""
+    rng = np.random.default_rng(7)
+    wide = [np.unique(rng.integers(0, 1 << 63, 700, dtype=np.uint64)) for _ in range(254)]
+    wide += [wide[0][:600], np.concatenate([wide[1][70:], wide[2][:5]])]
+    wide[-1].sort()
+    tracemalloc.start()
+    got = shingle_dedup.similar_pairs(wide)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    assert {(i, j) for i, j in zip(*np.nonzero(got), strict=True) if i < j} == {(0, 254), (1, 255)}
+
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < share, rng.integers(0, 1 << 63, 300, dtype=np.uint64), base)) for share in np.linspace(0, 0.3, 40)]
+    want = [[len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) for y in sets] for x in sets]
+    for entries in (1, 1000, 4_000_000):
+        monkeypatch.setattr(shingle_dedup, "MATRIX", entries)
+        assert (shingle_dedup.similar_pairs(sets) == want).all()
