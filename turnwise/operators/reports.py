@@ -22,13 +22,18 @@ def named_nodes() -> Column:
     return F.array_distinct(F.array_compact(F.array("source", "target")))
 
 
-def turn_dimensions(asked: DataFrame, said: DataFrame, answers: DataFrame) -> DataFrame:
-    """(session_id, turn_index, task, length, turn, family, changed, mentions, ops): what breakdowns go by, a row a turn."""
+def edit_mentions(asked: DataFrame) -> DataFrame:
+    """(session_id, turn_index, mentions): whether a turn's question names a node that its edit touches."""
+    return asked.select(*TURN, F.arrays_overlap(touched_nodes(), named_nodes()).alias("mentions"))
+
+
+def turn_dimensions(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(session_id, turn_index, task, length, turn, family, changed, mentions, ops): what breakdowns go by, a row a turn; asked are utterances with their questions."""
     length = asked.groupBy("session_id").agg(F.count(F.lit(1)).alias("length"))
     a = answers.select(*TURN, (tx.normalize_answer(F.col("gold")) != tx.normalize_answer(F.col("stale"))).alias("changed"))
     ops = F.when(F.col("op") == "NOOP", "noop").when(F.col("op").startswith("SET"), "SET NODE").otherwise(F.concat("op", F.lit(" EDGE")))
-    t = asked.select(*TURN, F.col("kind").alias("task"), (F.col("turn_index") + 1).alias("turn"), F.arrays_overlap(touched_nodes(), named_nodes()).alias("mentions"), ops.alias("ops"))
-    return t.join(said.select(*TURN, "family"), TURN).join(a, TURN).join(length, "session_id").select(*TURN, "task", "length", "turn", "family", "changed", "mentions", "ops")
+    t = asked.select(*TURN, F.col("kind").alias("task"), (F.col("turn_index") + 1).alias("turn"), F.arrays_overlap(touched_nodes(), named_nodes()).alias("mentions"), ops.alias("ops"), "family")
+    return t.join(a, TURN).join(length, "session_id").select(*TURN, "task", "length", "turn", "family", "changed", "mentions", "ops")
 
 
 def breakdowns(rows: DataFrame, dimensions: DataFrame) -> DataFrame:

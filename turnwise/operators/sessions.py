@@ -18,7 +18,7 @@ from ..functions import text as tx
 from ..functions import tokens as tok
 from ..shared import numbered, settle
 from ..sources.trade import Graphs
-from . import solve
+from . import replay, solve
 
 #: The families of wording, by session_id modulo three.
 FAMILIES = ("direct", "service", "notice")
@@ -35,14 +35,11 @@ def resolved(turns: DataFrame, g: Graphs) -> DataFrame:
     lo = F.when(F.col("op") == "ADD", F.least("a", "b")).when(F.col("op") == "DEL", F.least("src", "dst"))
     hi = F.when(F.col("op") == "ADD", F.greatest("a", "b")).when(F.col("op") == "DEL", F.greatest("src", "dst"))
     t = t.select("session_id", "turn_index", "graph_id", "op", "a", "b", "event_id", lo.alias("lo"), hi.alias("hi"))
-    return t.join(line_pairs(g), ["graph_id", "lo", "hi"], "left").select(*t.columns, "relation")
-
-
-def line_pairs(g: Graphs) -> DataFrame:
-    """(graph_id, lo, hi, relation): what an edge between two nodes is called, track on one line and transfer between lines."""
-    line = g.attrs.where("name = 'line'").select("graph_id", "node_id", F.col("text").alias("line"))
-    both = line.toDF("graph_id", "lo", "x").join(line.toDF("graph_id", "hi", "y"), "graph_id").where("lo < hi")
-    return both.select("graph_id", "lo", "hi", F.when(F.col("x") == F.col("y"), "track").otherwise("transfer").alias("relation"))
+    # What an edge between two nodes is called: track on one line, transfer between lines.
+    line = g.attrs.where("name = 'line'").select("graph_id", "node_id", F.struct("text").alias("line"))
+    both = t.join(line.toDF("graph_id", "lo", "_x"), ["graph_id", "lo"], "left").join(line.toDF("graph_id", "hi", "_y"), ["graph_id", "hi"], "left")
+    named = F.when(F.col("_x.text") == F.col("_y.text"), "track").otherwise("transfer")
+    return both.select(*t.columns, F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull() & (F.col("lo") < F.col("hi")), named).alias("relation"))
 
 
 def touched_key(op: Column, a: Column, lo: Column, hi: Column) -> Column:
@@ -199,11 +196,12 @@ def utterances(turns: DataFrame, g: Graphs) -> DataFrame:
     return t.select(*turns.columns, "family", tx.utterance(F.col("op"), F.col("family"), F.col("x"), F.col("y"), F.col("relation"), F.col("event_id") % 3).alias("utterance"))
 
 
-def predicted_edits(said: DataFrame, g: Graphs) -> DataFrame:
-    """Turns with the edit that the wording alone suggests, in op, a, b, lo, hi and relation: NOOP where it suggests none.
+def edits(said: DataFrame, g: Graphs) -> DataFrame:
+    """Turns with the edit that the wording alone suggests, in said_op, said_a, said_b, said_lo, said_hi and said_relation: NOOP where it suggests none.
 
     A closing or an opening word together with a node's label sets that node, the first in node
-    order among several; else the utterance is read as an edit text, with labels for names.
+    order among several; else the utterance is read as an edit text, with labels for names. Each
+    wording is read once a graph, however many turns have it.
     """
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("nk", "node_id", F.lower("label").alias("label")))), lambda x: F.struct(x.node_id.alias("node_id"), x.label.alias("label")))
     table = g.nodes.groupBy("graph_id").agg(in_order.alias("_nodes"))
@@ -211,57 +209,60 @@ def predicted_edits(said: DataFrame, g: Graphs) -> DataFrame:
     low = F.lower(F.regexp_replace(tx.stripped(F.col("utterance")), r"\.+$", ""))
     status = F.when(low.rlike("closed|suspended"), "closed").when(low.rlike("open|reopened|resumed"), "open")
     hit = F.try_element_at(F.filter("_nodes", lambda x: F.contains(low, x.label)), F.lit(1))["node_id"]
-    t = said.join(table, "graph_id").withColumn("_hit", F.when(status.isNotNull(), hit)).withColumn("_status", status)
+    t = said.select("graph_id", "utterance").distinct().join(table, "graph_id").withColumn("_hit", F.when(status.isNotNull(), hit)).withColumn("_status", status)
     t = t.withColumn("_e", tx.parse_edit(F.regexp_replace(tx.stripped(F.col("utterance")), r"\.+$", ""), F.col("_names")))
     edge = F.col("_hit").isNull() & (F.col("_e.target") == "EDGE") & (F.col("_e.first") != F.col("_e.second"))
     op = F.when(F.col("_hit").isNotNull(), F.when(F.col("_status") == "closed", "SET_CLOSED").otherwise("SET_OPEN")).when(edge, F.col("_e.operation")).otherwise("NOOP")
-    out = t.withColumn("_op", op).withColumn("_a", F.coalesce("_hit", F.when(edge, F.col("_e.first")), "a")).withColumn("_b", F.coalesce(F.when(edge, F.col("_e.second")), "b"))
-    lo, hi = F.when(edge, F.least("_a", "_b")), F.when(edge, F.greatest("_a", "_b"))
-    cols = {"op": F.col("_op"), "a": F.col("_a"), "b": F.col("_b"), "lo": lo, "hi": hi, "relation": F.when(edge, F.col("_e.relation"))}
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in said.columns])
+    t = t.withColumn("_op", op).withColumn("_a", F.coalesce("_hit", F.when(edge, F.col("_e.first")))).withColumn("_b", F.when(edge, F.col("_e.second")))
+    read = settle(t.select("graph_id", "utterance", "_op", "_a", "_b", F.when(edge, F.col("_e.relation")).alias("said_relation"), edge.alias("_edge")), "wordings")
+    out = said.join(read.withColumnRenamed("graph_id", "_g").withColumnRenamed("utterance", "_u"), (F.col("graph_id") == F.col("_g")) & F.col("utterance").eqNullSafe(F.col("_u")))
+    out = out.withColumn("said_a", F.coalesce("_a", "a")).withColumn("said_b", F.coalesce("_b", "b"))
+    lo, hi = F.when(F.col("_edge"), F.least("said_a", "said_b")), F.when(F.col("_edge"), F.greatest("said_a", "said_b"))
+    return out.select(*said.columns, F.col("_op").alias("said_op"), "said_a", "said_b", lo.alias("said_lo"), hi.alias("said_hi"), "said_relation")
+
+
+def as_said(both: DataFrame) -> DataFrame:
+    """Turns with the edit that edits() read from the wording in place of their own."""
+    guess = {c[5:]: F.col(c) for c in both.columns if c.startswith("said_")}
+    return both.select(*[guess[c].alias(c) if c in guess else F.col(c) for c in both.columns if not c.startswith("said_")])
+
+
+def predicted_edits(said: DataFrame, g: Graphs) -> DataFrame:
+    """Turns with the edit that the wording alone suggests, in op, a, b, lo, hi and relation."""
+    return as_said(edits(said, g))
 
 
 def session_ring(turns: DataFrame) -> DataFrame:
-    """(session_id, other): the initial graph of the next session, in order of id; the last takes the first's."""
+    """(session_id, graph_id, other): the initial graphs of each session and the next, in order of id; the last takes the first's."""
     ring = numbered(turns.select("session_id", "graph_id").distinct(), ["session_id"], "_no")
     n = ring.agg(F.count(F.lit(1)).alias("_n"))
     after = ring.crossJoin(n).select(F.pmod(F.col("_no") - 1, F.col("_n")).alias("_no"), F.col("graph_id").alias("other"))
-    return ring.join(after, "_no").select("session_id", "other")
+    return ring.join(after, "_no").select("session_id", "graph_id", "other")
 
 
-def _status_attrs(nodes: DataFrame) -> DataFrame:
-    status = F.when(F.col("is_open"), "open").otherwise("closed")
-    return nodes.select("graph_id", "node_id", F.lit("status").alias("name"), tok.string_token(status).alias("token"), status.alias("text"))
-
-
-ROLES = ("gold", "stale", "initial", "shuffled", "predicted")
+def played(both: DataFrame, g: Graphs) -> DataFrame:
+    """(session_id, turn_index, graph_id, op, said_op, kind, gold, stale, initial, shuffled, predicted, edit_correct, state_exact): the turn's question on five graphs, and how the guessed edit and the state it leads to did.
 
+    both is edits(). gold is the answer on the graph after the turn, stale on the one before it,
+    initial on the session's first graph, shuffled on the next session's first graph, and predicted
+    on the graph that the edits guessed have made. Sessions are replayed by the tasks that hold
+    them, so graphs after turns are not written. An edit is correct if it equals the turn's field by
+    field; no edit equals none, not even NOOP. A state is exact if the same nodes are closed and the
+    same pairs joined as in the turn's own.
+    """
+    ends = F.when(F.col("op") == "DEL", F.concat_ws("-", "lo", "hi")).otherwise(F.concat_ws("-", "a", "b"))
+    set_right = F.col("op").startswith("SET") & (F.col("a") == F.col("said_a"))
+    edge_right = F.col("op").isin("ADD", "DEL") & (ends == F.concat_ws("-", "said_a", "said_b")) & F.col("relation").eqNullSafe(F.col("said_relation"))
+    right = (F.col("op") == F.col("said_op")) & (set_right | edge_right)
+    graphs = settle(replay.packed(g), "graphs")
+    heads = session_ring(both).join(graphs.toDF("graph_id", "own"), "graph_id").join(graphs.toDF("other", "_far"), "other").select("session_id", "own", F.col("_far").alias("other"))
+    q = asked(both).withColumn("edit_correct", F.coalesce(right, F.lit(False)))
+    return replay.replayed(q, heads, ["session_id", "turn_index", "graph_id", "op", "said_op", "kind", "edit_correct"])
 
-def answers(turns: DataFrame, own: DataFrame, guessed: DataFrame, guess: DataFrame, g: Graphs) -> DataFrame:
-    """(session_id, turn_index, graph_id, op, kind, gold, stale, initial, shuffled, predicted): the turn's question on five graphs.
 
-    gold on the graph after the turn, stale on the one before it, initial on the session's first
-    graph, shuffled on the next session's first graph, and predicted on the graph that the edits
-    guessed have made; own and guess are the marks of turns and guessed. Equal graphs have one name,
-    so each question about a graph is answered once, however many turns and roles ask it.
-    """
-    said = guess.select("session_id", "turn_index", F.col("state").alias("predicted"))
-    q = asked(turns).join(session_ring(turns), "session_id").join(own.drop("graph_id", "shape"), ["session_id", "turn_index"]).join(said, ["session_id", "turn_index"])
-    at = {"gold": "state", "stale": "before", "initial": "graph_id", "shuffled": "other", "predicted": "predicted"}
-    where = F.array(*[F.struct(F.lit(r).alias("role"), F.col(at[r]).alias("at"), F.col("other" if r == "shuffled" else "graph_id").alias("base")) for r in ROLES])
-    each = q.select("session_id", "turn_index", "graph_id", "op", "kind", "source", "target", "attribute", "token", "hops", F.explode(where).alias("w"))
-    ask = ["kind", "source", "target", "attribute", "token", "hops"]
-    each = each.withColumn("query_id", F.sha2(F.to_json(F.struct("w.at", *ask)), 256))
-    each = settle(each, "session-queries")
-    once = settle(each.groupBy("query_id").agg(F.first(F.struct(F.col("w.at").alias("graph_id"), F.col("w.base").alias("base"), *ask)).alias("q")).select("query_id", "q.*"), "distinct-queries")
-    s = distinct_states([(turns, own), (guessed, guess)], g)
-    # Of the attributes only the status differs between the states of a graph; the others are looked up where they are asked for.
-    about = once.where("attribute is not null").select("graph_id", "base", F.col("attribute").alias("name")).distinct()
-    fixed = about.where("name <> 'status'").join(g.attrs.withColumnRenamed("graph_id", "base"), ["base", "name"]).select("graph_id", "node_id", "name", "token", "text")
-    status = _status_attrs(s.nodes.join(about.where("name = 'status'"), "graph_id", "left_semi"))
-    replies = solve.answer_queries(once.drop("base"), s.nodes, s.edges, settle(fixed.unionByName(status), "all-attributes"))
-    wide = each.join(replies, "query_id").groupBy("session_id", "turn_index", "graph_id", "op", "kind")
-    return wide.agg(*[F.max(F.when(F.col("w.role") == r, F.col("answer"))).alias(r) for r in ROLES])
+def answers(done: DataFrame) -> DataFrame:
+    """(session_id, turn_index, graph_id, op, kind, gold, stale, initial, shuffled, predicted) of played()."""
+    return done.select("session_id", "turn_index", "graph_id", "op", "kind", *replay.ROLES)
 
 
 def majority_prior(answered: DataFrame) -> DataFrame:
@@ -284,40 +285,32 @@ CONDITIONS = {
 }
 
 
-def evaluation_rows(answered: DataFrame, labels: DataFrame, writes: DataFrame) -> DataFrame:
+def evaluation_rows(done: DataFrame, labels: DataFrame) -> DataFrame:
     """(session_id, turn_index, condition, kind, gold, stale_answer, predicted, correct, stale, edit_correct, state_exact): a row for each scored turn and condition.
 
-    answered holds what the solvers say on the graphs of each turn; labels (session_id, turn_index,
-    gold, stale) are stored apart, and answers are scored against them. writes (session_id,
-    turn_index, edit_correct, state_exact) says how the predicted edit and state did. stale marks
-    every answer that matches the label before the edit.
+    done, from played(), holds what the solvers say on the graphs of each turn and how the predicted
+    edit and state did; labels (session_id, turn_index, gold, stale) are stored apart, and answers
+    are scored against them. stale marks every answer that matches the label before the edit.
+    Conditions share answers, so each answer is normalised and matched once a turn, before the
+    conditions are spelt out.
     """
-    held = answered.select("session_id", "turn_index", "kind", F.col("gold").alias("gold_state"), "initial", "shuffled", "predicted")
-    both = labels.where(~learns()).select("session_id", "turn_index", F.col("gold").alias("label"), F.col("stale").alias("stale")).join(held, ["session_id", "turn_index"])
-    both = both.join(majority_prior(answered), "kind", "left").join(writes, ["session_id", "turn_index"], "left")
-    said = F.array(*[F.struct(F.lit(k).alias("condition"), (F.col(v) if v else F.lit(None).cast("string")).alias("raw")) for k, v in CONDITIONS.items()])
-    rows = both.select("session_id", "turn_index", "kind", "label", F.col("stale").alias("was"), "edit_correct", "state_exact", F.explode(said).alias("s"))
-    rows = rows.select("*", tx.normalize_answer(F.col("label")).alias("gold"), tx.normalize_answer(F.col("was")).alias("stale_answer"), tx.normalize_answer(F.col("s.raw")).alias("predicted"))
+    held = done.where(~learns()).select("session_id", "turn_index", "kind", F.col("gold").alias("gold_state"), "initial", "shuffled", "predicted", "edit_correct", "state_exact")
+    both = labels.where(~learns()).select("session_id", "turn_index", F.col("gold").alias("label"), "stale").join(held, ["session_id", "turn_index"])
+    both = both.join(majority_prior(done), "kind", "left")
+    raw = sorted({v for v in CONDITIONS.values() if v})
+    turn = ["session_id", "turn_index", "kind", "edit_correct", "state_exact"]
+    both = both.select(*turn, tx.normalize_answer(F.col("label")).alias("gold"), *[tx.normalize_answer(F.col(c)).alias(c) for c in raw]).withColumn("nothing", F.lit(None).cast("string"))
+    match = lambda a, b: tx.normalized_match(F.col("kind"), F.col(a), F.col(b))
+    both = both.select("*", *[match("gold", c).alias(f"right_{c}") for c in (*raw, "nothing")], *[match("stale", c).alias(f"old_{c}") for c in (*raw, "nothing")])
+    said = F.array(*[F.struct(F.lit(k).alias("condition"), F.col(v).alias("predicted"), F.col(f"right_{v}").alias("correct"), F.col(f"old_{v}").alias("old")) for k, v in ((k, v or "nothing") for k, v in CONDITIONS.items())])
+    rows = both.select(*turn, "gold", F.col("stale").alias("stale_answer"), F.explode(said).alias("s"))
     from_edits = F.col("s.condition") == "predicted_updated_graph"
     return rows.select(
-        "session_id", "turn_index", F.col("s.condition").alias("condition"), "kind", "gold", "stale_answer", "predicted",
-        tx.normalized_match(F.col("kind"), F.col("gold"), F.col("predicted")).alias("correct"), tx.normalized_match(F.col("kind"), F.col("stale_answer"), F.col("predicted")).alias("stale"),
+        "session_id", "turn_index", "s.condition", "kind", "gold", "stale_answer", "s.predicted", "s.correct", F.col("s.old").alias("stale"),
         F.when(from_edits, F.col("edit_correct")).alias("edit_correct"), F.when(from_edits, F.col("state_exact")).otherwise(True).alias("state_exact"),
     )
 
 
-def writes(turns: DataFrame, own: DataFrame, guessed: DataFrame, guess: DataFrame) -> DataFrame:
-    """(session_id, turn_index, op, said_op, edit_correct, state_exact): how the predicted edit and the state it leads to did.
-
-    An edit is correct if it equals the turn's field by field; no edit equals none, not even NOOP. A
-    state is exact if the same nodes are closed and the same pairs joined as in the turn's own: if
-    the shapes in own and guess, the marks of turns and guessed, are the same.
-    """
-    p = guessed.select("session_id", "turn_index", *[F.col(c).alias(f"_{c}") for c in ("op", "a", "b", "relation")])
-    ends = F.when(F.col("op") == "DEL", F.concat_ws("-", "lo", "hi")).otherwise(F.concat_ws("-", "a", "b"))
-    set_right = F.col("op").startswith("SET") & (F.col("a") == F.col("_a"))
-    edge_right = F.col("op").isin("ADD", "DEL") & (ends == F.concat_ws("-", "_a", "_b")) & F.col("relation").eqNullSafe(F.col("_relation"))
-    right = (F.col("op") == F.col("_op")) & (set_right | edge_right)
-    shapes = own.select("session_id", "turn_index", "shape").join(guess.select("session_id", "turn_index", F.col("shape").alias("_shape")), ["session_id", "turn_index"])
-    out = turns.join(p, ["session_id", "turn_index"]).join(shapes, ["session_id", "turn_index"])
-    return out.select("session_id", "turn_index", "op", F.col("_op").alias("said_op"), F.coalesce(right, F.lit(False)).alias("edit_correct"), (F.col("shape") == F.col("_shape")).alias("state_exact"))
+def writes(done: DataFrame) -> DataFrame:
+    """(session_id, turn_index, op, said_op, edit_correct, state_exact) of played()."""
+    return done.select("session_id", "turn_index", "op", "said_op", "edit_correct", "state_exact")

@@ -55,9 +55,13 @@ class Sessions:
     def said(self) -> DataFrame:
         return self._once("utterances", lambda: ses.utterances(self.turns, self.graphs))
 
+    @property
+    def edits(self) -> DataFrame:
+        return self._once("edits", lambda: ses.edits(self.said, self.graphs))
+
     @property
     def guessed(self) -> DataFrame:
-        return self._once("predicted-edits", lambda: ses.predicted_edits(self.said, self.graphs))
+        return ses.as_said(self.edits)
 
     @property
     def after(self) -> ses.States:
@@ -72,18 +76,22 @@ class Sessions:
     def guessed_marks(self) -> DataFrame:
         return self._once("guessed-marks", lambda: ses.marks(self.guessed, self.graphs))
 
+    @property
+    def played(self) -> DataFrame:
+        return self._once("played", lambda: ses.played(self.edits, self.graphs))
+
     @property
     def answers(self) -> DataFrame:
-        return self._once("answers", lambda: ses.answers(self.turns, self.marks, self.guessed, self.guessed_marks, self.graphs))
+        return ses.answers(self.played)
 
     @property
     def writes(self) -> DataFrame:
-        return self._once("writes", lambda: ses.writes(self.turns, self.marks, self.guessed, self.guessed_marks))
+        return ses.writes(self.played)
 
     @property
     def rows(self) -> DataFrame:
         labels = records.round_trip(self.answers.select("session_id", "turn_index", "gold", "stale"), "labels")
-        return self._once("rows", lambda: ses.evaluation_rows(self.answers, labels, self.writes))
+        return self._once("rows", lambda: ses.evaluation_rows(self.played, labels))
 
     @property
     def ladder(self) -> DataFrame:
@@ -91,7 +99,7 @@ class Sessions:
 
     @property
     def dimensions(self) -> DataFrame:
-        return self._once("dimensions", lambda: reports.turn_dimensions(ses.asked(self.turns), self.said, self.answers))
+        return self._once("dimensions", lambda: reports.turn_dimensions(ses.asked(self.said), self.answers))
 
 
 def _session_query(f: Callable[[Sessions], DataFrame]) -> Query:
@@ -388,7 +396,7 @@ def queries() -> dict[str, Query]:
         "applied_effects": _session_query(lambda s: applied_programs(s).where("what = 'effect'").select(F.col("graph_id").cast("long").alias("session_id"), "pos", "applied", "error")),
         "applied_edges": _session_query(lambda s: applied_programs(s).where("what = 'edge'").select(F.col("graph_id").cast("long").alias("session_id"), F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "relation", "weight")),
         "program_equivalence": _session_query(_equivalence),
-        "edit_mentions": _session_query(lambda s: s.dimensions.select("session_id", "turn_index", "mentions")),
+        "edit_mentions": _session_query(lambda s: reports.edit_mentions(ses.asked(s.turns))),
         "operation_sets": _session_query(_op_sets),
         "asked_before": _session_query(_asked_before),
         "turn_dimensions": _session_query(lambda s: s.dimensions),

@@ -71,7 +71,8 @@ def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
     every = graph_ids(spark, d).crossJoin(nations)  # the nodes: every graph has every nation
     every = every.withColumn("node_id", F.concat(F.lit("n"), F.col("nk").cast("string")))
     every = every.withColumn("status", F.when((F.col("nk") * 7 + F.col("gi") * 3) % 11 == 0, "closed").otherwise("open"))
-    nodes = every.select("graph_id", "node_id", "label", (F.col("status") != "closed").alias("is_open"), "gi", "nk")
+    # Nodes and attributes are settled, as edges are, so that joins know how small they are.
+    nodes = once(spark, d, "nodes", lambda: every.select("graph_id", "node_id", "label", (F.col("status") != "closed").alias("is_open"), "gi", "nk"))
     rail, access = F.col("nk") % 2 == 0, F.floor(F.col("nk") / 5) % 2 == 0
     clean = F.element_at(F.array(*map(F.lit, ("clean", "average", "dirty"))), (F.col("nk") % 3 + 1).cast("int"))
     size = F.element_at(F.array(*map(F.lit, ("small", "medium", "large", "small"))), (F.col("nk") % 4 + 1).cast("int"))
@@ -84,7 +85,7 @@ def trade_graphs(spark: SparkSession, d: str, k: int = 1) -> Graphs:
         attr("disabled_access", tok.bool_token(access), tok.bool_text(access)),
         *[attr(n, tok.string_token(c), c) for n, c in (("line", F.col("line")), ("cleanliness", clean), ("size", size), ("status", F.col("status")))],
     )
-    attrs = every.select("graph_id", "node_id", F.explode(values).alias("a")).select("graph_id", "node_id", "a.*")
+    attrs = once(spark, d, "attributes", lambda: every.select("graph_id", "node_id", F.explode(values).alias("a")).select("graph_id", "node_id", "a.*"))
     ranked = trade_counts(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "s").orderBy(F.desc("cnt"), "t"))).where(F.col("rank") <= k)
     pairs = ranked.groupBy("graph_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.max("cnt").alias("cnt"))
     line = nations.select("nk", "line")
