@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import prepare, settle
+
 Z = 1.96
 
 
@@ -71,13 +77,48 @@ def draw(seed: int, replicate: Column, key: Column) -> Column:
     return weight
 
 
+def resampled(totals: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(label, rep, x, n): the sums of x and n over sessions, each as often as draw() says; totals has label, session_id, x and n, a row a label and session.
+
+    A session's weights are drawn once for all labels, in the task that holds it, and a task hands
+    on a row for each label and replicate, so no draw is written or shuffled.
+    """
+    spark = totals.sparkSession
+    prepare(spark)
+    per = totals.groupBy(F.col("session_id").cast("string").alias("id")).agg(F.collect_list(F.struct("label", "x", "n")).alias("cells"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            ids, cells = b.column("id").to_pylist(), b.column("cells").to_pylist()
+            for at in range(0, len(ids), 64):
+                w = np.array([weights(seed, replicates, x) for x in ids[at : at + 64]])
+                of: dict[str, np.ndarray] = {}
+                for i, listed in enumerate(cells[at : at + 64]):
+                    for c in listed:
+                        of.setdefault(c["label"], np.zeros((2, len(w)), np.int64))[:, i] = c["x"], c["n"]
+                # Sums of whole numbers below 2 to the 53rd, so exact as doubles.
+                drawn = np.concatenate(list(of.values())).astype(float) @ w.astype(float)
+                for i, label in enumerate(of):
+                    sums[label] = sums.get(label, 0) + drawn[2 * i : 2 * i + 2].astype(np.int64)
+        for label, (x, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * replicates, pa.string()), pa.array(range(1, replicates + 1), pa.int32()), pa.array(x), pa.array(n)], ["label", "rep", "x", "n"])
+
+    parts = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(each, "label string, rep int, x long, n long")
+    return parts.groupBy("label", "rep").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
+def weights(seed: int, replicates: int, session: str) -> np.ndarray:
+    """draw() of a session in all replicates."""
+    digests = b"".join([hashlib.md5(f"{seed}/{r}/{session}".encode(), usedforsecurity=False).digest()[:8] for r in range(1, replicates + 1)])
+    return np.searchsorted(POISSON, (np.frombuffer(digests, ">u8") >> 12) / float(1 << 52), side="right")
+
+
 def bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """(condition, accuracy, low, high): percentile interval from resampling whole sessions with Poisson(1) weights."""
-    totals = session_totals(rows)
-    # A session's weight in a replicate is drawn once for all conditions.
-    weights = totals.select("session_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draw(seed, F.col("rep"), F.col("session_id"))).where("w > 0")
-    drawn = weights.join(totals, "session_id").groupBy("condition", "rep").agg(F.sum(F.col("w") * F.col("right")).alias("r"), F.sum(F.col("w") * F.col("turns")).alias("t"))
-    ci = drawn.groupBy("condition").agg(F.percentile(F.col("r") / F.col("t"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    totals = settle(session_totals(rows), "session-totals")
+    drawn = resampled(totals.select(F.col("condition").alias("label"), "session_id", F.col("right").alias("x"), F.col("turns").alias("n")), replicates, seed).where("n > 0")
+    ci = drawn.groupBy(F.col("label").alias("condition")).agg(F.percentile(F.col("x") / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     point = totals.groupBy("condition").agg((F.sum("right") / F.sum("turns")).alias("accuracy"))
     return point.join(ci, "condition").select("condition", "accuracy", F.round(F.col("p")[0], 9).alias("low"), F.round(F.col("p")[1], 9).alias("high"))
 
@@ -91,10 +132,9 @@ def paired_bootstrap(rows: DataFrame, left: str, right: str, replicates: int = 2
     key = ["session_id", "turn_index"]
     a = rows.where(F.col("condition") == left).select(*key, F.col("correct").cast("int").alias("x"))
     b = rows.where(F.col("condition") == right).groupBy(*key).agg(F.max(F.col("correct").cast("int")).alias("y"))
-    both = a.join(b, key)
-    per = both.groupBy("session_id").agg(F.sum(F.col("x") - F.col("y")).alias("d"), F.count(F.lit(1)).alias("n"))
-    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draw(seed, F.col("rep"), F.col("session_id")))
-    drawn = drawn.groupBy("rep").agg(F.sum(F.col("w") * F.col("d")).alias("d"), F.sum(F.col("w") * F.col("n")).alias("n")).select((F.col("d") / F.greatest("n", F.lit(1))).alias("delta"))
+    both = settle(a.join(b, key), "paired-turns")
+    per = both.groupBy("session_id").agg(F.sum(F.col("x") - F.col("y")).alias("x"), F.count(F.lit(1)).alias("n"))
+    drawn = resampled(per.select(F.lit("all").alias("label"), "session_id", "x", "n"), replicates, seed).select((F.col("x") / F.greatest("n", F.lit(1))).alias("delta"))
     many = F.count(F.lit(1))
     side = F.least(F.try_divide(F.count_if(F.col("delta") <= 0), many), F.try_divide(F.count_if(F.col("delta") >= 0), many))
     ci = drawn.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.when(many > 0, F.least(F.lit(1.0), 2 * side)).alias("p_value"))
