@@ -90,8 +90,8 @@ class Sessions:
 
     @property
     def rows(self) -> DataFrame:
-        labels = records.round_trip(self.answers.select("session_id", "turn_index", "gold", "stale"), "labels")
-        return self._once("rows", lambda: ses.evaluation_rows(self.played, labels))
+        labels = lambda: records.round_trip(self.answers.select("session_id", "turn_index", "gold", "stale"), "labels")
+        return self._once("rows", lambda: ses.evaluation_rows(self.played, labels()))
 
     @property
     def ladder(self) -> DataFrame:
