@@ -104,7 +104,8 @@ def resampled(totals: DataFrame, replicates: int, seed: int) -> DataFrame:
         for label, (x, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([label] * replicates, pa.string()), pa.array(range(1, replicates + 1), pa.int32()), pa.array(x), pa.array(n)], ["label", "rep", "x", "n"])
 
-    parts = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(each, "label string, rep int, x long, n long")
+    # Sessions are few bytes and much work: dealt in turn, for by key they would be left in the few tasks that their bytes fill.
+    parts = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(each, "label string, rep int, x long, n long")
     return parts.groupBy("label", "rep").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
 
 
